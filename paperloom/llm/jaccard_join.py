@@ -2,9 +2,10 @@
 
 All n-grams get one global order: those that are seen often go last, the rest
 by hash. The order is cut into fragments; a set's part in a fragment is its
-segment. Sets that may link share an n-gram among their first ones in the order
-(prefix filter). For a pair of sets the overlap is counted in each fragment on
-its own and summed per pair.
+segment. For a pair of sets the overlap is counted in each fragment on its own
+and summed per pair. Pairs that may link are found by a prefix filter: from the
+first n - ceil(t n) + l n-grams of each set, linked sets share l at least, with
+l a tenth of the smaller set and 1.
 
 To link groups of near copies without making all their pairs, it runs twice:
 first each set is compared with one pivot, the set that holds most of its
@@ -26,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import materialize, table
+from paperloom.llm.common import materialize, release, table
 from paperloom.llm.components import components
 from paperloom.llm.shingles import shingle_sets
 
@@ -68,9 +70,9 @@ class GlobalOrder:
         return np.where(self.frequent[at] == tokens, self.rank[at], 0)
 
     def prefix(self, tokens: np.ndarray) -> np.ndarray:
-        """The first n - ceil(t n) + 1 tokens of a sorted set in the order."""
+        """The first n - ceil(t n) + l tokens of a sorted set in the order."""
         n = len(tokens)
-        size = n - (PERCENT * n + 99) // 100 + 1
+        size = n - (PERCENT * n + 99) // 100 + 1 + n // 10
         ranks = self.ranks(tokens)
         rare = tokens[ranks == 0]
         if len(rare) >= size:
@@ -123,12 +125,52 @@ def _global_order(counted: DataFrame) -> GlobalOrder:
     return GlobalOrder(pdf["a"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(np.int64))
 
 
-def _verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link. Overlaps are counted by fragment, then summed per pair."""
-    of = lambda side: segments.select(F.col("class").alias(side), "fragment", F.col("n").alias(f"n_{side}"), F.col("tokens").alias(f"t_{side}"))
-    both = pairs.join(of("b"), "b").join(of("a"), ["a", "fragment"])
-    partial = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("t_a", "t_b")).alias("part"))
-    overlap = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("overlap"))
+#: A pivot that is compared with more sets than this is copied, so that the sets spread over tasks.
+SETS_PER_PIVOT = 500
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, least_id: DataFrame, order: Broadcast) -> DataFrame:
+    """The pairs (a, b) that link. Overlaps are counted by fragment, then summed per pair.
+
+    Segments of b go to where the segments of a are, in one shuffle of (a, fragment, salt).
+    """
+    copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / SETS_PER_PIVOT).cast("int").alias("copies"))
+    of_b = pairs.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt")).join(least_id.withColumnRenamed("class", "b"), "b")
+    of_a = copies.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt")).join(least_id.withColumnRenamed("class", "a"), "a")
+    asked = rows.join(of_a.select("id", "a", "b", "salt").unionByName(of_b.select("id", "a", "b", "salt")), "id")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {k: [] for k in ("a", "b", "salt", "fragment", "n", "tokens")}
+            for tokens, a, b, salt in zip(shingle_sets(batch.column(0), SIZE), *(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                # Rows may share an id: only the one of the asked class counts.
+                if len(tokens) and _signature(tokens) == (a if b is None else b):
+                    for k, x in enumerate(order.value.fragments(tokens)):
+                        if len(x):
+                            for key, value in zip(out, (a, b, salt, k, len(tokens), x.tobytes())):
+                                out[key].append(value)
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
+
+    segments = asked.select("text", "a", "b", "salt").mapInArrow(cut, "a long, b long, salt int, fragment int, n int, tokens binary")
+
+    def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, pivot, size = None, np.zeros(0, np.uint64), 0
+        for batch in batches:
+            out = []
+            for a, b, salt, fragment, n, data in zip(*(c.to_pylist() for c in batch.columns)):
+                tokens = np.frombuffer(data, np.uint64)
+                if b is None:
+                    at, pivot, size = (a, fragment, salt), tokens, n
+                elif at == (a, fragment, salt):
+                    out.append((a, b, fragment, size, n, len(np.intersect1d(pivot, tokens, True))))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)] or [pa.array([], pa.int64())] * 6, names=["a", "b", "fragment", "n_a", "n_b", "part"])
+
+    met = segments.repartition("a", "fragment", "salt").sortWithinPartitions("a", "fragment", "salt", F.col("b").asc_nulls_first())
+    partial = met.mapInArrow(overlaps, "a long, b long, fragment long, n_a long, n_b long, part long")
+    # A repeated row of an id comes twice.
+    partial = partial.groupBy("a", "b", "fragment").agg(F.max("part").alias("part"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    overlap = partial.groupBy("a", "b").agg(F.sum("part").alias("overlap"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
     return overlap.where(100 * F.col("overlap") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b")
 
 
@@ -158,24 +200,15 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text")
     postings = postings.withColumn("low", F.min("class").over(by_token)).withColumn("high", F.max("class").over(by_token)).where("low < high")
     postings = materialize(postings.select("token", "class", "n", "low"), "postings")
 
-    wanted = postings.select("class").distinct()
-    chosen = described.groupBy("class").agg(F.min("doc_id").alias("id")).join(wanted, "class", "left_semi").select("id")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for tokens in shingle_sets(batch.column(0), SIZE):
-                if len(tokens):
-                    parts = [(k, x) for k, x in enumerate(order.value.fragments(tokens)) if len(x)]
-                    yield pa.RecordBatch.from_pydict({"class": pa.array([_signature(tokens)] * len(parts), pa.int64()), "fragment": pa.array([k for k, _ in parts], pa.int32()), "n": pa.array([len(tokens)] * len(parts), pa.int32()), "tokens": pa.array([_signed(x) for _, x in parts], pa.list_(pa.int64()))})
-
-    # An id may be on several rows; each row's class is taken from its text.
-    segments = rows.join(chosen, "id", "left_semi").select("text").mapInArrow(cut, "class long, fragment int, n int, tokens array<long>")
-    segments = materialize(segments.dropDuplicates(["class", "fragment"]), "segments")
+    release(docs.sparkSession)
+    least_id = materialize(described.groupBy("class").agg(F.min("doc_id").alias("id")), "classes")
+    enough = lambda n: 1 + F.floor(n / 10)  # noqa: E731  so many n-grams are shared by prefixes of linked sets
 
-    ranked = postings.where("class <> low").groupBy(F.col("class").alias("b"), F.col("low").alias("a")).agg(F.count("*").alias("shared"))
-    best = ranked.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
+    ranked = postings.where("class <> low").groupBy(F.col("class").alias("b"), F.col("low").alias("a")).agg(F.count("*").alias("shared"), F.max("n").alias("n"))
+    best = ranked.where(F.col("shared") >= enough(0.7 * F.col("n"))).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
     first = materialize(best.select("a", "b"), "pairs")
-    linked = materialize(_verified(first, segments), "links")
+    linked = materialize(_verified(first, rows, least_id, order), "links")
+    release(docs.sparkSession)
     found = components(linked)
 
     labelled = postings.join(found.withColumnRenamed("node", "class"), "class", "left").select("token", "class", "n", F.coalesce("component", "class").alias("component"))
@@ -183,12 +216,16 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text")
     labelled = materialize(labelled.join(mixed, "token", "left_semi").distinct(), "mixed")
     counts = labelled.groupBy("token", "component").agg(F.count("*").alias("k"))
     main = counts.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-    minor = labelled.join(main, "token").where("component <> main").select("token", F.col("class").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"))
-    other = labelled.select("token", F.col("class").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"))
-    small = (F.least("n_a", "n_b") * 100) >= (F.greatest("n_a", "n_b") * PERCENT)
-    crossing = minor.join(other, "token").where((F.col("c_a") != F.col("c_b")) & small)
-    crossing = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    linked = linked.unionByName(_verified(materialize(crossing, "pairs"), segments))
+    labelled = labelled.join(main, "token")
+    minor = labelled.where("component <> main").select("token", F.col("class").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"))
+    other = labelled.select("token", F.col("class").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), (F.col("component") == F.col("main")).alias("in_main"))
+    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
+    once = F.col("in_main") | (F.col("a") < F.col("b"))
+    crossing = minor.join(other, "token").where((F.col("c_a") != F.col("c_b")) & near & once)
+    crossing = crossing.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("n_a", "n_b")).alias("n"))
+    crossing = materialize(crossing.where(F.col("shared") >= enough(F.col("n"))).select("a", "b").join(first, ["a", "b"], "left_anti"), "pairs")
+    release(docs.sparkSession)
+    linked = linked.unionByName(_verified(crossing, rows, least_id, order))
 
     found = components(linked).withColumnRenamed("node", "class")
     empty = F.col("n_shingles") == 0
