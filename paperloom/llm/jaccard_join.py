@@ -3,13 +3,15 @@
 All n-grams get one global order: those that are seen often go last, the rest
 by hash. The order is cut into fragments; a set's part in a fragment is its
 segment. For a pair of sets the overlap is counted in each fragment on its own
-and summed per pair. Pairs that may link are found by a prefix filter: from the
-first n - ceil(t n) + l n-grams of each set, linked sets share l at least, with
-l a tenth of the smaller set and 1.
+and summed per pair. Pairs that may link are found by a prefix filter: of the
+first p n-grams of each set (p is a tenth of the set more than the least that
+works), linked sets share so many as the overlap that they need leaves over for
+the shorter prefix.
 
 To link groups of near copies without making all their pairs, it runs twice:
-first each set is compared with one pivot, the set that holds most of its
-shared prefix n-grams as their smallest member. Then, for n-grams whose sets
+first each set is compared with one pivot. An n-gram's pivot is the set of which
+the largest part is shared with others (a copy without own changes); a set takes
+the pivot of most of its n-grams. Then, for n-grams whose sets
 are still in different components, all pairs across components are compared.
 Pairs within a component need no comparison, so no link between components is
 lost and the components are exact.
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import materialize, release, table
@@ -53,6 +55,20 @@ def _signature(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _prefix_size(n: Column) -> Column:
+    return F.least(n, n - F.ceil(n * PERCENT / 100) + 1 + F.floor(n / 10))
+
+
+def _least_shared(n_a: Column, n_b: Column) -> Column:
+    """How many n-grams the prefixes of two sets that link share at least.
+
+    They overlap in o or more. Of these, n - p at most lie beyond a prefix of p; the prefix that ends first in the
+    order has the rest, and the other prefix has them too.
+    """
+    o = F.ceil((n_a + n_b) * PERCENT / (100 + PERCENT))
+    return F.greatest(F.lit(1), F.least(o - n_a + _prefix_size(n_a), o - n_b + _prefix_size(n_b)))
+
+
 class GlobalOrder:
     """n-grams by (frequent or not, how frequent, hash). ``frequent``: sorted hashes; ``rank``: their places."""
 
@@ -72,7 +88,7 @@ class GlobalOrder:
     def prefix(self, tokens: np.ndarray) -> np.ndarray:
         """The first n - ceil(t n) + l tokens of a sorted set in the order."""
         n = len(tokens)
-        size = n - (PERCENT * n + 99) // 100 + 1 + n // 10
+        size = min(n, n - (PERCENT * n + 99) // 100 + 1 + n // 10)
         ranks = self.ranks(tokens)
         rare = tokens[ranks == 0]
         if len(rare) >= size:
@@ -194,36 +210,46 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text")
             lengths = [len(x) for x in some]
             yield pa.RecordBatch.from_pydict({"token": _signed(np.concatenate([np.zeros(0, np.uint64), *some])), "class": np.repeat(np.array(classes, np.int64), lengths), "n": np.repeat(np.array(sizes, np.int32), lengths)})
 
-    # No n-gram is in more than one of a set's prefix n-grams, so none holds a large part of these rows.
+    # A set has many prefix n-grams, each once, so no n-gram holds a large part of these rows.
     by_token = Window.partitionBy("token")
     postings = rows.select("text").mapInArrow(prefixes, "token long, class long, n int")
     postings = postings.withColumn("low", F.min("class").over(by_token)).withColumn("high", F.max("class").over(by_token)).where("low < high")
-    postings = materialize(postings.select("token", "class", "n", "low"), "postings")
-
+    postings = materialize(postings.select("token", "class", "n"), "postings")
     release(docs.sparkSession)
     least_id = materialize(described.groupBy("class").agg(F.min("doc_id").alias("id")), "classes")
-    enough = lambda n: 1 + F.floor(n / 10)  # noqa: E731  so many n-grams are shared by prefixes of linked sets
 
-    ranked = postings.where("class <> low").groupBy(F.col("class").alias("b"), F.col("low").alias("a")).agg(F.count("*").alias("shared"), F.max("n").alias("n"))
-    best = ranked.where(F.col("shared") >= enough(0.7 * F.col("n"))).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
+    held = postings.groupBy("class").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") >= 1 + F.floor(F.col("n") * 0.075)).select("class", "c")
+    postings = postings.join(held, "class").withColumn("k", F.count("*").over(by_token)).where("k > 1")
+    postings = postings.withColumn("pivot", F.max(F.struct((F.col("c") / F.col("n")).alias("part"), "class", "n")).over(by_token))
+    postings = postings.withColumn("n_low", F.min("n").over(by_token)).withColumn("n_high", F.max("n").over(by_token))
+    postings = materialize(postings.select("token", "class", "n", "c", "n_low", "n_high", F.col("pivot.class").alias("a"), F.col("pivot.n").alias("n_a")), "postings")
+    release(docs.sparkSession)
+
+    ranked = postings.where("class <> a").groupBy(F.col("class").alias("b"), "a").agg(F.count("*").alias("shared"), F.max("n").alias("n_b"), F.max("n_a").alias("n_a"))
+    best = ranked.where(F.col("shared") >= _least_shared(F.col("n_a"), F.col("n_b"))).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
     first = materialize(best.select("a", "b"), "pairs")
     linked = materialize(_verified(first, rows, least_id, order), "links")
     release(docs.sparkSession)
     found = components(linked)
 
-    labelled = postings.join(found.withColumnRenamed("node", "class"), "class", "left").select("token", "class", "n", F.coalesce("component", "class").alias("component"))
+    labelled = postings.join(found.withColumnRenamed("node", "class"), "class", "left").select("token", "class", "n", "c", "n_low", "n_high", F.coalesce("component", "class").alias("component"))
+    # Sets that share too little with any size of set that is there can't link.
+    low, high = F.greatest("n_low", F.ceil(F.col("n") * PERCENT / 100)), F.least("n_high", F.floor(F.col("n") * 100 / PERCENT))
+    labelled = labelled.where(F.col("c") >= F.least(_least_shared(F.col("n"), low), _least_shared(F.col("n"), high)))
     mixed = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    labelled = materialize(labelled.join(mixed, "token", "left_semi").distinct(), "mixed")
+    labelled = materialize(labelled.join(mixed, "token", "left_semi").select("token", "class", "n", "c", "component").distinct(), "mixed")
     counts = labelled.groupBy("token", "component").agg(F.count("*").alias("k"))
     main = counts.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
     labelled = labelled.join(main, "token")
-    minor = labelled.where("component <> main").select("token", F.col("class").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"))
-    other = labelled.select("token", F.col("class").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), (F.col("component") == F.col("main")).alias("in_main"))
+    minor = labelled.where("component <> main").select("token", F.col("class").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("c").alias("h_a"))
+    other = labelled.select("token", F.col("class").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("c").alias("h_b"), (F.col("component") == F.col("main")).alias("in_main"))
     near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
     once = F.col("in_main") | (F.col("a") < F.col("b"))
-    crossing = minor.join(other, "token").where((F.col("c_a") != F.col("c_b")) & near & once)
-    crossing = crossing.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("n_a", "n_b")).alias("n"))
-    crossing = materialize(crossing.where(F.col("shared") >= enough(F.col("n"))).select("a", "b").join(first, ["a", "b"], "left_anti"), "pairs")
+    needed = _least_shared(F.col("n_a"), F.col("n_b"))
+    crossing = minor.join(other, "token").where((F.col("c_a") != F.col("c_b")) & near & once & (F.least("h_a", "h_b") >= needed))
+    crossing = crossing.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared"), F.min(needed).alias("needed"))
+    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    crossing = materialize(crossing.where("shared >= needed").select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
     release(docs.sparkSession)
     linked = linked.unionByName(_verified(crossing, rows, least_id, order))
 
