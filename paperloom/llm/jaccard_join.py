@@ -235,21 +235,22 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text")
     labelled = postings.join(found.withColumnRenamed("node", "class"), "class", "left").select("token", "class", "n", "c", "n_low", "n_high", F.coalesce("component", "class").alias("component"))
     # Sets that share too little with any size of set that is there can't link.
     low, high = F.greatest("n_low", F.ceil(F.col("n") * PERCENT / 100)), F.least("n_high", F.floor(F.col("n") * 100 / PERCENT))
-    labelled = labelled.where(F.col("c") >= F.least(_least_shared(F.col("n"), low), _least_shared(F.col("n"), high)))
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    labelled = materialize(labelled.join(mixed, "token", "left_semi").select("token", "class", "n", "c", "component").distinct(), "mixed")
+    labelled = labelled.withColumn("needed", F.least(_least_shared(F.col("n"), low), _least_shared(F.col("n"), high))).where("c >= needed")
+    mixed = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).where("x < y").select("token", "k")
+    labelled = materialize(labelled.join(mixed, "token").select("token", "k", "class", "n", "needed", "component").distinct(), "mixed")
+    # Linked sets share `needed` of these, so they meet in the first ones, rarest first.
+    by_class = Window.partitionBy("class")
+    labelled = labelled.withColumn("left", F.count("*").over(by_class) - F.min("needed").over(by_class) + 1)
+    labelled = labelled.withColumn("place", F.row_number().over(by_class.orderBy("k", "token"))).where("place <= left").select("token", "class", "n", "component")
+    labelled = materialize(labelled, "mixed")
     counts = labelled.groupBy("token", "component").agg(F.count("*").alias("k"))
-    main = counts.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-    labelled = labelled.join(main, "token")
-    minor = labelled.where("component <> main").select("token", F.col("class").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("c").alias("h_a"))
-    other = labelled.select("token", F.col("class").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("c").alias("h_b"), (F.col("component") == F.col("main")).alias("in_main"))
+    main = counts.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("components")).where("components > 1")
+    minor = labelled.join(main, "token").where("component <> main").select("token", F.col("class").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"))
+    other = labelled.select("token", F.col("class").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"))
     near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
-    once = F.col("in_main") | (F.col("a") < F.col("b"))
-    needed = _least_shared(F.col("n_a"), F.col("n_b"))
-    crossing = minor.join(other, "token").where((F.col("c_a") != F.col("c_b")) & near & once & (F.least("h_a", "h_b") >= needed))
-    crossing = crossing.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared"), F.min(needed).alias("needed"))
+    crossing = minor.join(other, "token").where((F.col("c_a") != F.col("c_b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crossing = materialize(crossing.where("shared >= needed").select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
+    crossing = materialize(crossing.join(tested, ["a", "b"], "left_anti"), "pairs")
     release(docs.sparkSession)
     linked = linked.unionByName(_verified(crossing, rows, least_id, order))
 
