@@ -1,7 +1,7 @@
 """Queries of the training-data operators, and their SQL where there is one."""
 
-from paperloom.llm import bpe, jaccard_join, language_id, mixing, secrets
+from paperloom.llm import bpe, extraction, fingerprints, jaccard_join, language_id, licenses, mixing, neighbours, quality, secrets
 
-_MODULES = [language_id, jaccard_join, bpe, mixing, secrets]
+_MODULES = [quality, language_id, licenses, extraction, fingerprints, jaccard_join, neighbours, bpe, mixing, secrets]
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
