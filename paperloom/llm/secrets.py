@@ -78,7 +78,7 @@ def _analyse(node) -> _Info:  # noqa: ANN001
         part = _Info(None)
         if op is sre.LITERAL:
             part = _Info({chr(arg)})
-        elif op is sre.IN and all(o is sre.LITERAL for o, _ in arg) and len(arg) <= 4:
+        elif op is sre.IN and all(o is sre.LITERAL for o, _ in arg) and len(arg) <= 8:
             part = _Info({chr(c) for _, c in arg})
         elif op is sre.SUBPATTERN:
             part = _analyse(arg[-1])
