@@ -28,8 +28,8 @@ TABLES = 3
 #: Cells of a sub-table in a fingerprint.
 CELLS = 5
 #: Passes over the cells when peeling; retries, each twice as large.
-PASSES, RETRIES = 12, 3
-ROWS_PER_BUCKET, MOST_BUCKETS = 4_000, 512
+PASSES, RETRIES = 24, 3
+ROWS_PER_BUCKET, MOST_BUCKETS = 1_000, 512
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -47,46 +47,62 @@ def _check(k: Column) -> Column:
 
 
 def _place(k: Column, table_no: int, width: Column) -> Column:
-    return table_no * width + F.pmod(F.xxhash64(k, F.lit(table_no)), width).cast("int")
+    return F.pmod(F.xxhash64(k, F.lit(table_no)), width).cast("int")
 
 
-def _add_from(cells: Column, k: Column, sign: Column, width: Column, t: int) -> Column:
-    """``cells`` with a digest added (or taken out, sign -1) in sub-table t and those after it."""
+def _tables(make: Callable[[int], Column]) -> Column:
+    """A sketch: a struct of sub-tables, so that a change copies one of them only."""
+    return F.struct(*[make(t).alias(f"t{t}") for t in range(TABLES)])
 
-    def put(at: Column) -> Column:
-        cell = F.get(cells, at)
+
+def _add(cells: Column, k: Column, sign: Column, width: Column) -> Column:
+    """``cells`` with a digest added (or taken out, sign -1) in each sub-table."""
+
+    def put(table: Column, at: Column) -> Column:
+        cell = F.get(table, at)
         new = F.struct((cell["n"] + sign).alias("n"), cell["k"].bitwiseXOR(k).alias("k"), cell["c"].bitwiseXOR(_check(k)).alias("c"))
-        return F.concat(F.slice(cells, F.lit(1), at), F.array(new), F.slice(cells, at + 2, F.size(cells)))
+        return F.concat(F.slice(table, F.lit(1), at), F.array(new), F.slice(table, at + 2, width))
 
-    grown = _let(_place(k, t, width), put)
-    return grown if t + 1 == TABLES else _let(grown, lambda c: _add_from(c, k, sign, width, t + 1))
+    return _tables(lambda t: _let(_place(k, t, width), lambda at: put(cells[f"t{t}"], at)))
 
 
 def sketch(keys: Column, width: Column) -> Column:
     """The cells of a sketch with ``width`` cells in each sub-table."""
-    zero = F.array_repeat(F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c")), TABLES * width)
-    return F.aggregate(keys, zero, lambda cells, k: _add_from(cells, k, F.lit(1), width, 0))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
+    return F.aggregate(keys, _tables(lambda t: F.array_repeat(zero, width)), lambda cells, k: _add(cells, k, F.lit(1), width))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c")))
+    less = lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c"))
+    return _let(a, lambda x: _let(b, lambda y: _tables(lambda t: F.zip_with(x[f"t{t}"], y[f"t{t}"], less))))
+
+
+def _visitor(visit: Callable[[Column, Column, int], Column], t: int) -> Callable[[Column, Column], Column]:
+    return lambda s, at: visit(s, at, t)
 
 
 def peel(cells: Column, width: Column) -> Column:
     """The digests that differ, or null if some can't be told."""
-    zero = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("out"))
-    empty = lambda s: F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0))
+    zero = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("out"), F.lit(-1).alias("before"))
+    # Each digest is in a cell of every sub-table, so the first one tells.
+    empty = lambda s: F.forall(s["cells"]["t0"], lambda c: (c["n"] == 0) & (c["k"] == 0))
+    places = F.sequence(F.lit(0), width - 1)
 
-    def visit(s: Column, at: Column) -> Column:
+    def visit(s: Column, at: Column, t: int) -> Column:
         def look(cell: Column) -> Column:
-            single = (F.abs(cell["n"]) == 1) & (cell["c"] == _check(cell["k"]))
-            taken = F.struct(_add_from(s["cells"], cell["k"], -cell["n"], width, 0).alias("cells"), F.concat(s["out"], F.array(cell["k"])).alias("out"))
-            return F.when(single, taken).otherwise(s)
+            taken = F.struct(_add(s["cells"], cell["k"], -cell["n"], width).alias("cells"), F.concat(s["out"], F.array(cell["k"])).alias("out"), s["before"].alias("before"))
+            return F.when(cell["c"] == _check(cell["k"]), taken).otherwise(s)
+
+        return F.when(F.abs(F.get(s["cells"][f"t{t}"], at)["n"]) == 1, _let(F.get(s["cells"][f"t{t}"], at), look)).otherwise(s)
 
-        return F.when(F.abs(F.get(s["cells"], at)["n"]) == 1, _let(F.get(s["cells"], at), look)).otherwise(s)
+    def sweep(s: Column) -> Column:
+        s = F.struct(s["cells"].alias("cells"), s["out"].alias("out"), F.size(s["out"]).alias("before"))
+        for t in range(TABLES):
+            s = F.aggregate(places, s, _visitor(visit, t))
+        return s
 
-    places = F.sequence(F.lit(0), TABLES * width - 1)
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(PASSES)), zero, lambda s, _: F.when(empty(s), s).otherwise(F.aggregate(places, s, visit)))
+    # A sweep that finds nothing is the last one.
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(PASSES)), zero, lambda s, _: F.when((F.size(s["out"]) == s["before"]) | empty(s), s).otherwise(sweep(s)))
     return _let(done, lambda s: F.when(empty(s), s["out"]))
 
 
@@ -108,7 +124,7 @@ def likeness(a: Column, b: Column, a_cells: Column, b_cells: Column) -> Column:
 
 
 def serialise(keys: Column, cells: Column) -> Column:
-    return F.concat_ws(":", F.hex(F.size(keys)), F.array_join(F.transform(cells, lambda c: F.when(c["n"] == 0, F.when(c["k"] == 0, "")).otherwise(F.concat_ws(".", F.hex(c["n"]), F.hex(c["k"]), F.hex(c["c"])))), ":", "?"))
+    return F.concat_ws(":", F.hex(F.size(keys)), F.array_join(F.transform(F.flatten(F.array(*[cells[f"t{t}"] for t in range(TABLES)])), lambda c: F.when(c["n"] == 0, F.when(c["k"] == 0, "")).otherwise(F.concat_ws(".", F.hex(c["n"]), F.hex(c["k"]), F.hex(c["c"])))), ":", "?"))
 
 
 def with_next(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
