@@ -238,6 +238,8 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text")
     labelled = labelled.withColumn("needed", F.least(_least_shared(F.col("n"), low), _least_shared(F.col("n"), high))).where("c >= needed")
     mixed = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).where("x < y").select("token", "k")
     labelled = materialize(labelled.join(mixed, "token").select("token", "k", "class", "n", "needed", "component").distinct(), "mixed")
+    # A set's shared prefix n-grams; fewer than its prefix holds.
+    shares = labelled.groupBy("class").agg(F.collect_set("token").alias("tokens"), F.max("n").alias("n"))
     # Linked sets share `needed` of these, so they meet in the first ones, rarest first.
     by_class = Window.partitionBy("class")
     labelled = labelled.withColumn("left", F.count("*").over(by_class) - F.min("needed").over(by_class) + 1)
@@ -250,7 +252,11 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text")
     near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
     crossing = minor.join(other, "token").where((F.col("c_a") != F.col("c_b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crossing = materialize(crossing.join(tested, ["a", "b"], "left_anti"), "pairs")
+    crossing = crossing.join(tested, ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        crossing = crossing.join(shares.select(F.col("class").alias(side), F.col("tokens").alias(f"t_{side}"), F.col("n").alias(f"n_{side}")), side)
+    enough = F.size(F.array_intersect("t_a", "t_b")) >= _least_shared(F.col("n_a"), F.col("n_b"))
+    crossing = materialize(crossing.where(enough).select("a", "b"), "pairs")
     release(docs.sparkSession)
     linked = linked.unionByName(_verified(crossing, rows, least_id, order))
 
