@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; one longer text is handled alone.
-CHUNK = 2_000_000
+CHUNK = 500_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.default_rng(20240229)
