@@ -243,13 +243,16 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text")
     # Linked sets share `needed` of these, so they meet in the first ones, rarest first.
     by_class = Window.partitionBy("class")
     labelled = labelled.withColumn("left", F.count("*").over(by_class) - F.min("needed").over(by_class) + 1)
-    labelled = labelled.withColumn("place", F.row_number().over(by_class.orderBy("k", "token"))).where("place <= left").select("token", "class", "n", "component")
+    labelled = labelled.withColumn("place", F.row_number().over(by_class.orderBy("k", "token"))).withColumn("rest", F.count("*").over(by_class) - F.col("place") + 1)
+    labelled = labelled.where("place <= left").select("token", "class", "n", "component", "rest")
     labelled = materialize(labelled, "mixed")
     counts = labelled.groupBy("token", "component").agg(F.count("*").alias("k"))
     main = counts.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("components")).where("components > 1")
-    minor = labelled.join(main, "token").where("component <> main").select("token", F.col("class").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"))
-    other = labelled.select("token", F.col("class").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"))
+    minor = labelled.join(main, "token").where("component <> main").select("token", F.col("class").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"))
+    other = labelled.select("token", F.col("class").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"))
     near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
+    # All n-grams come in one order, so a pair shares no more than what is left from its first shared one on.
+    near &= F.least("rest_a", "rest_b") >= _least_shared(F.col("n_a"), F.col("n_b"))
     crossing = minor.join(other, "token").where((F.col("c_a") != F.col("c_b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crossing = crossing.join(tested, ["a", "b"], "left_anti")
