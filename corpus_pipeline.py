@@ -46,7 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document."""
-    done = encode_texts(docs, tokenizer_path())
+    done = encode_texts(docs, tokenizer_path(), keep=["doc_id", "lang", "source"])
     ids = F.when(F.col("bpe.ids") == "", F.array().cast("array<int>")).otherwise(F.split("bpe.ids", " ").cast("array<int>"))
     return done.select("doc_id", "lang", "source", F.col("bpe.n_tokens").alias("n_tokens"), ids.alias("ids"))
 

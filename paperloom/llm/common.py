@@ -13,7 +13,18 @@ from pyspark.sql import functions as F
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+#: Rows and bytes that Spark sends to Python at once; Spark's own bounds are 10,000 rows and 64 MB or more.
+BATCH_ROWS, BATCH_BYTES = 2_000, 4_000_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Small Arrow batches in this session: off-heap buffers and Python workers hold one batch each."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
