@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import images
 from paperloom.plans.catalogue import query
-from paperloom.sources import delimited, packages
+from paperloom.sources import delimited, packages, pdf
 
 RELS = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
 OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -106,3 +106,10 @@ def image_sizes(part: DataFrame) -> DataFrame:
     ]
     content = F.unhex(F.concat(F.element_at(F.array(*heads), (F.col("p_partkey") % len(heads) + 1).cast("int")), F.lit("00" * 24)))
     return part.select("p_partkey", images.image_size(content).alias("s")).select("p_partkey", "s.width", "s.height")
+
+
+@query("conversations", r"SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS number, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) < 40 AS needs_vision FROM conversations")
+def pdf_page_text(conversations: DataFrame) -> DataFrame:
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
+    files = conversations.groupBy("conv_id").agg(pdf.pdf_file(F.transform(turns, lambda t: t["text"])).alias("content"))
+    return pdf.pdf_pages(files, "conv_id").select(_long(F.col("path")).alias("conv_id"), F.col("number").cast("long").alias("number"), "text", "needs_vision")

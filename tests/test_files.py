@@ -1,13 +1,17 @@
 """Readers of files on odd input."""
 
 import io
+import json
 import zipfile
+import zlib
 
 from pyspark.sql import functions as F
 
 from paperloom.functions.images import image_size, model_size
-from paperloom.sources import packages
+from paperloom.sources import packages, pdf
 from paperloom.sources.delimited import parse_delimited
+from paperloom.sources.reader import read_documents
+from paperloom.streaming.folder import stream_folder
 
 
 def _zip(entries):
@@ -58,3 +62,40 @@ def test_image_sizes(spark):
     got = spark.createDataFrame([r[:2] for r in rows], "id int, content binary").select("id", image_size(F.col("content")).alias("s")).collect()
     assert {r.id: (r.s and r.s.width, r.s and r.s.height) for r in got} == {r[0]: r[2:] for r in rows}
     assert tuple(spark.range(1).select(model_size(F.lit(4000), F.lit(1000)).alias("s")).head().s) == (2000, 500)
+
+
+def _pdf(content, packed=False):
+    body = zlib.compress(content) if packed else content
+    head = b"<< /Length %d%s >>" % (len(body), b" /Filter /FlateDecode" if packed else b"")
+    return b"%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 2 0 obj << /Type /Pages /Kids [3 0 R] >> endobj\n3 0 obj << /Type /Page /Resources << /XObject << /I 5 0 R >> >> /Contents [4 0 R] >> endobj\n4 0 obj " + head + b"\nstream\n" + body + b"\nendstream endobj 5 0 obj << /Subtype /Image >> endobj"
+
+
+def test_pdf_pages(spark):
+    content = rb"BT /F 9 Tf (a \(b\) (c)\051) Tj [(wo) -20 (rd) -300 (next)] TJ <41 42> Tj ET 0 0 5 5 re f /I Do"
+    rows = [("raw", _pdf(content)), ("flate", _pdf(content, True)), ("no", b"x"), ("none", None), ("secret", _pdf(content) + b"/Encrypt")]
+    got = {r.path: r for r in pdf.pdf_pages(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    for k in ("raw", "flate"):
+        assert (got[k].number, got[k].text, got[k].images, got[k].paths, got[k].needs_vision) == (1, "a (b) (c)) word next AB", 1, 1, True)
+    assert {got[k].error for k in ("no", "none", "secret")} == {"EXTRACTION_FAILED"}
+
+
+def test_read_documents(spark):
+    deck = _zip({"ppt/slides/slide1.xml": "<s><t>one</t></s>", "ppt/slides/slide2.xml": "<s><t>two</t></s>"})
+    rows = [("a.txt", b"hi"), ("b.html", b"<p>x</p>"), ("c.pdf", _pdf(b"(page) Tj")), ("d.pptx", deck), ("e.docx", b"x"), ("f.doc", b"x"), ("g.bin", b"x"), ("h.txt", None)]
+    got = {r.path: (r.kind, r.text, r.units, r.error) for r in read_documents(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert got["a.txt"] == ("text", "hi", 1, None) and got["b.html"][1] == "x" and got["c.pdf"] == ("pdf", "page", 1, None)
+    assert got["d.pptx"] == ("pptx", "one\n\ntwo", 2, None) and got["e.docx"][3] == "EXTRACTION_FAILED" and got["f.doc"][3] == "LEGACY_FORMAT"
+    assert got["g.bin"][3] == "UNSUPPORTED_TYPE" and got["h.txt"][3] == "EXTRACTION_FAILED" and len(got) == len(rows)
+
+
+def test_stream_folder(spark, tmp_path):
+    landing = tmp_path / "in"
+    landing.mkdir()
+    (landing / "a.txt").write_text("one")
+    (landing / "bad.docx").write_text("x")
+    run = lambda: stream_folder(spark, str(landing), str(tmp_path / "out"), str(tmp_path / "cache"), str(tmp_path / "state")).awaitTermination(120)
+    assert run()
+    (landing / "copy.txt").write_text("one")
+    assert run()
+    lines = {d["path"].rsplit("/", 1)[1]: d for f in (tmp_path / "out").rglob("part-*") for d in map(json.loads, f.read_text().splitlines())}
+    assert {k: (d.get("text"), d.get("error"), d["cached"]) for k, d in lines.items()} == {"a.txt": ("one", None, False), "bad.docx": (None, "EXTRACTION_FAILED", False), "copy.txt": ("one", None, True)}
