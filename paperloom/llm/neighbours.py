@@ -3,8 +3,8 @@
 Equal vectors are one node. A first graph comes from blocks of vectors that are
 next to each other in the order of random-projection signs. Each round of
 NN-descent gathers, for every node, its neighbours and those that it is a
-neighbour of, compares them with each other, and keeps the nearest of each. A
-query walks the graph from seeds: it looks at the neighbours of its nearest
+neighbour of, compares them with each other, and keeps the nearest of each;
+rounds go on until few edges change. A query walks the graph from seeds: it looks at the neighbours of its nearest
 nodes that it has not looked at, until its best ones are all looked at. All
 vectors are indexed; recall is measured in the tests.
 
@@ -24,15 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import materialize, table
+from paperloom.llm.common import materialize, release, table
 
 #: Neighbours of a node; those that a node is a neighbour of, for the local join.
-DEGREE, REVERSE = 16, 16
-ROUNDS = 2
+DEGREE, REVERSE = 32, 32
+#: Rounds go on until less than this share of the graph's edges is new.
+SETTLED = 0.02
 #: Orders that the first graph comes from, and how many vectors in a row are compared.
 ORDERS, BLOCK = 4, 256
-#: Nodes that a query keeps, looks at in one round, and starts from besides its own; most rounds.
-BEAM, STEP, SEEDS, MOST_ROUNDS = 48, 12, 16, 10
+#: Nodes that a query keeps, looks at in one round, and starts from besides its own.
+BEAM, STEP, SEEDS = 256, 48, 16
 
 
 def valid(v: Column) -> Column:
@@ -61,11 +62,19 @@ def _nearest(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return np.repeat(ids, k), ids[near].ravel(), np.take_along_axis(d, near, 1).ravel()
 
 
-EDGE = "src long, dst long, d float"
+#: Neighbours of a node travel as one binary of these.
+NEAR = np.dtype([("dst", "<i8"), ("d", "<f4")])
+PACKED = "src long, near binary"
 
 
 def _batch(src: np.ndarray, dst: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"src": src.astype(np.int64), "dst": dst.astype(np.int64), "d": d.astype(np.float32)})
+    """Edges, those of one ``src`` next to each other, packed in one row for each run of a ``src``."""
+    near = np.empty(len(src), NEAR)
+    near["dst"], near["d"] = dst, d
+    first = np.flatnonzero(np.diff(src, prepend=src[0] - 1)) if len(src) else np.zeros(0, np.int64)
+    offsets = np.append(first, len(src)).astype(np.int32) * NEAR.itemsize
+    packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(near.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(src[first].astype(np.int64)), packed], names=["src", "near"])
 
 
 def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,36 +92,68 @@ def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (mid, id, vector) come sorted by mid; the vectors of a mid are compared with each other."""
-    mids, ids, rows = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+    """Rows (mid, id, vector, worst) come sorted by mid; the vectors of a mid are compared with each other.
 
-    def groups(upto: int) -> Iterator[tuple]:
+    Only what can enter the DEGREE nearest of a node goes on: its nearest here, no further than its ``worst`` one yet.
+    """
+    mids, ids, worst, rows = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), None
+
+    def joined(upto: int) -> Iterator[pa.RecordBatch]:
         cuts = [0, *(np.flatnonzero(np.diff(mids[:upto])) + 1).tolist(), upto]
+        found = []
         for a, b in zip(cuts[:-1], cuts[1:]):
             if b - a > 1:
-                yield _nearest(ids[a:b], rows[a:b], DEGREE // 2)
-
-    def joined(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+                src, dst, d = _nearest(ids[a:b], rows[a:b], DEGREE)
+                keep = d <= np.repeat(worst[a:b], len(d) // (b - a))
+                found.append((src[keep], dst[keep], d[keep]))
         if found:
-            src, dst, d = (np.concatenate([f[i] for f in found]) for i in range(3))
-            order = np.lexsort((d, src))
-            src, dst, d = src[order], dst[order], d[order]
-            first = np.flatnonzero(np.diff(src, prepend=src[0] - 1))
-            place = np.arange(len(src)) - np.repeat(first, np.diff(np.append(first, len(src))))
-            keep = place < 2 * DEGREE
-            yield _batch(src[keep], dst[keep], d[keep])
+            yield _batch(*(np.concatenate([f[i] for f in found]) for i in range(3)))
 
     for batch in batches:
         mids = np.concatenate((mids, batch.column(0).to_numpy()))
         ids = np.concatenate((ids, batch.column(1).to_numpy()))
         x = _matrix(batch.column(2))
         rows = x if rows is None or not len(rows) else np.concatenate((rows, x))
+        worst = np.concatenate((worst, batch.column(3).to_numpy()))
         if len(mids):
             whole = int(np.searchsorted(mids, mids[-1]))  # the last mid may go on
-            yield from joined(list(groups(whole)))
-            mids, ids, rows = mids[whole:], ids[whole:], rows[whole:]
+            yield from joined(whole)
+            mids, ids, worst, rows = mids[whole:], ids[whole:], worst[whole:], rows[whole:]
     if len(mids):
-        yield from joined(list(groups(len(mids))))
+        yield from joined(len(mids))
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows come sorted by src; of each src the DEGREE nearest stay, as (src, dst, d)."""
+    held_src, held = np.zeros(0, np.int64), np.zeros(0, NEAR)
+
+    def least(src: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((near["d"], near["dst"], src))
+        src, near = src[order], near[order]
+        once = np.ones(len(src), bool)
+        once[1:] = (src[1:] != src[:-1]) | (near["dst"][1:] != near["dst"][:-1])
+        src, near = src[once], near[once]
+        order = np.lexsort((near["dst"], near["d"], src))
+        src, near = src[order], near[order]
+        first = np.flatnonzero(np.diff(src, prepend=src[0] - 1))
+        keep = np.arange(len(src)) - np.repeat(first, np.diff(np.append(first, len(src)))) < DEGREE
+        return pa.RecordBatch.from_pydict({"src": src[keep], "dst": near["dst"][keep].astype(np.int64), "d": near["d"][keep].astype(np.float32)})
+
+    for batch in batches:
+        data = batch.column(1).to_pylist()
+        held_src = np.concatenate((held_src, np.repeat(batch.column(0).to_numpy(), [len(x) // NEAR.itemsize for x in data])))
+        held = np.concatenate((held, np.frombuffer(b"".join(data), NEAR)))
+        if len(held):
+            whole = int(np.searchsorted(held_src, held_src[-1]))  # the last src may go on
+            if whole:
+                yield least(held_src[:whole], held[:whole])
+            held_src, held = held_src[whole:], held[whole:]
+    if len(held):
+        yield least(held_src, held)
+
+
+def _merged(packed: DataFrame) -> DataFrame:
+    return packed.repartition(F.col("src")).sortWithinPartitions("src").mapInArrow(_merge, "src long, dst long, d float")
 
 
 def _top(edges: DataFrame, by: str, k: int) -> DataFrame:
@@ -122,7 +163,7 @@ def _top(edges: DataFrame, by: str, k: int) -> DataFrame:
     return edges.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
-def neighbour_graph(nodes: DataFrame, dim: int, rounds: int = ROUNDS) -> DataFrame:
+def neighbour_graph(nodes: DataFrame, dim: int) -> DataFrame:
     """(src, dst, d): about the DEGREE nearest nodes of each of ``nodes`` (id, v)."""
     parts = max(2, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -141,16 +182,23 @@ def neighbour_graph(nodes: DataFrame, dim: int, rounds: int = ROUNDS) -> DataFra
     edges = None
     for seed in range(ORDERS):
         coded = nodes.withColumn("code", signed(seed)("v"))
-        blocks = coded.repartitionByRange(parts, "code", "id").sortWithinPartitions("code", "id").select("id", "v").mapInArrow(_in_blocks, EDGE)
+        blocks = coded.repartitionByRange(parts, "code", "id").sortWithinPartitions("code", "id").select("id", "v").mapInArrow(_in_blocks, PACKED)
         edges = blocks if edges is None else edges.unionByName(blocks)
-    edges = materialize(_top(edges.groupBy("src", "dst").agg(F.min("d").alias("d")), "src", DEGREE), "graph")
-    for _ in range(rounds):
+    edges = materialize(_merged(edges), "graph")
+    while True:
         back = _top(edges, "dst", REVERSE).select(F.col("dst").alias("mid"), F.col("src").alias("id"))
-        around = edges.select(F.col("src").alias("mid"), F.col("dst").alias("id")).unionByName(back).distinct()
-        met = around.join(nodes, "id").select("mid", "id", "v").repartition(F.col("mid")).sortWithinPartitions("mid", "id")
-        grown = edges.unionByName(met.mapInArrow(_local_join, EDGE)).groupBy("src", "dst").agg(F.min("d").alias("d"))
-        edges = materialize(_top(grown, "src", DEGREE), "graph")
-    return edges
+        # A node is compared with its own neighbours too, which brings its edges along.
+        around = edges.select(F.col("src").alias("mid"), F.col("dst").alias("id")).unionByName(back).unionByName(nodes.select(F.col("id").alias("mid"), "id")).distinct()
+        # Distances of the same pair differ in the last digits from block to block.
+        worst = edges.groupBy(F.col("src").alias("id")).agg(F.when(F.count("*") >= DEGREE, F.max("d") * 1.0001 + 1e-6).cast("float").alias("worst"))
+        held = nodes.join(worst, "id", "left").select("id", "v", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst"))
+        met = around.join(held, "id").select("mid", "id", "v", "worst").repartition(F.col("mid")).sortWithinPartitions("mid", "id")
+        grown = materialize(_merged(met.mapInArrow(_local_join, PACKED)), "graph")
+        new = grown.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").count()
+        edges = grown
+        release(nodes.sparkSession)
+        if new <= SETTLED * edges.count():
+            return edges
 
 
 def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, keep: int = BEAM) -> DataFrame:
@@ -162,7 +210,7 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, keep: int = B
     start = queries.select("q", F.col("node").alias("id")).unionByName(queries.select("q").join(F.broadcast(seeds)))  # SEEDS rows
     state = materialize(near(start.distinct()).withColumn("seen", F.lit(False)), "search")
     by_query = Window.partitionBy("q").orderBy("d", "id")
-    for _ in range(MOST_ROUNDS):
+    while True:
         ranked = state.withColumn("place", F.row_number().over(by_query)).where(F.col("place") <= keep)
         fresh = F.sum((~F.col("seen")).cast("int")).over(by_query.rowsBetween(Window.unboundedPreceding, 0))
         ranked = materialize(ranked.withColumn("look", ~F.col("seen") & (fresh <= STEP)), "search")
