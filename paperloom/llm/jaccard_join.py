@@ -69,6 +69,16 @@ def _least_shared(n_a: Column, n_b: Column) -> Column:
     return F.greatest(F.lit(1), F.least(o - n_a + _prefix_size(n_a), o - n_b + _prefix_size(n_b)))
 
 
+def _least_shared_between(n: Column, low: Column, high: Column) -> Column:
+    """No more than _least_shared of n and of any size from low to high that may link with it.
+
+    Of the two terms there, the first never falls with the other size. The second falls by a constant slope, with a
+    ceil and a floor that move it by less than 3 in all, so no size has one less by more than 2 than the greatest size.
+    """
+    o = lambda m: F.ceil((n + m) * PERCENT / (100 + PERCENT))
+    return F.greatest(F.lit(1), F.least(o(low) - n + _prefix_size(n), o(high) - high + _prefix_size(high) - 2))
+
+
 class GlobalOrder:
     """n-grams by (frequent or not, how frequent, hash). ``frequent``: sorted hashes; ``rank``: their places."""
 
@@ -235,7 +245,7 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text")
     labelled = postings.join(found.withColumnRenamed("node", "class"), "class", "left").select("token", "class", "n", "c", "n_low", "n_high", F.coalesce("component", "class").alias("component"))
     # Sets that share too little with any size of set that is there can't link.
     low, high = F.greatest("n_low", F.ceil(F.col("n") * PERCENT / 100)), F.least("n_high", F.floor(F.col("n") * 100 / PERCENT))
-    labelled = labelled.withColumn("needed", F.least(_least_shared(F.col("n"), low), _least_shared(F.col("n"), high))).where("c >= needed")
+    labelled = labelled.withColumn("needed", _least_shared_between(F.col("n"), low, high)).where("c >= needed")
     mixed = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).where("x < y").select("token", "k")
     labelled = materialize(labelled.join(mixed, "token").select("token", "k", "class", "n", "needed", "component").distinct(), "mixed")
     # A set's shared prefix n-grams; fewer than its prefix holds.
