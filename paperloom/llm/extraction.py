@@ -41,6 +41,8 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\
 #: Pages at which what is seen counts as much as the prior; importance below which a branch is cut.
 PRIOR_PAGES = 4.0
 LEAST_IMPORTANCE = 0.3
+#: On a page that marks its article, the importance below which a branch beside it is cut.
+LEAST_BESIDE = 0.6
 PRIOR_CONTENT, PRIOR_PLAIN, PRIOR_NOISE = 1.0, 0.6, 0.0
 
 
@@ -52,7 +54,7 @@ def _style(tag: str, attrs: str) -> tuple[str, float]:
             names.append((a or b or c).lower())
     said = " ".join(names)
     label = tag + ("." + ".".join(sorted(re.sub(r"\d+", "0", said).split())) if said else "")
-    if tag in NOISE_TAGS or NOISE_NAMES.search(said):
+    if tag not in ("html", "body") and (tag in NOISE_TAGS or NOISE_NAMES.search(said)):
         return label, PRIOR_NOISE
     return label, PRIOR_CONTENT if tag in ("article", "main") or "article" in said.split() else PRIOR_PLAIN
 
@@ -60,15 +62,17 @@ def _style(tag: str, attrs: str) -> tuple[str, float]:
 def page_blocks(page: str | None) -> list[tuple[str, float, str]]:
     """The blocks of a page in order: path, prior (of the branch that decides), text."""
     page = page or ""
-    stack: list[tuple[str, str, float]] = []  # tag, path, prior
-    out: list[tuple[str, float, str]] = []
+    stack: list[tuple[str, str, int]] = []  # tag, path, branch
+    # Branches with a prior of their own: branch above, prior, whether an article is in it; what their text comes to.
+    branches: list[list] = [[-1, PRIOR_PLAIN, False]]
+    found: list[tuple[str, int, str]] = []
     text: list[str] = []
 
     def flush() -> None:
         said = " ".join("".join(text).split())
         text.clear()
         if said:
-            out.append((stack[-1][1] if stack else "", stack[-1][2] if stack else PRIOR_PLAIN, said))
+            found.append((stack[-1][1] if stack else "", stack[-1][2] if stack else 0, said))
 
     at, skip = 0, ""
     for m in TOKEN.finditer(page):
@@ -82,6 +86,12 @@ def page_blocks(page: str | None) -> list[tuple[str, float, str]]:
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        if skip == "head" and not m["end"]:
+            if tag in BLOCKS and tag != "html":  # the end tag of the head may be left out
+                skip = ""
+            elif tag in SKIPPED and tag != "head" and not m["attrs"].rstrip().endswith("/"):
+                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = end.end() if end else at
         if skip:
             skip = "" if m["end"] and tag == skip else skip
             continue
@@ -108,13 +118,41 @@ def page_blocks(page: str | None) -> list[tuple[str, float, str]]:
                     stack.pop()
             if tag not in VOID and not m["attrs"].rstrip().endswith("/"):
                 label, prior = _style(tag, m["attrs"])
-                above = stack[-1][2] if stack else PRIOR_PLAIN
-                settled = prior if prior == PRIOR_NOISE or above == PRIOR_PLAIN else above
+                branch = stack[-1][2] if stack else 0
+                if tag in ("article", "main"):
+                    above = branch
+                    while above >= 0 and not branches[above][2]:
+                        branches[above][2], above = True, branches[above][0]
+                if prior != PRIOR_PLAIN:
+                    branches.append([branch, prior, tag in ("article", "main")])
+                    branch = len(branches) - 1
                 named = tag in BLOCKS or prior != PRIOR_PLAIN
-                stack.append((tag, (f"{stack[-1][1]}>{label}" if stack else label) if named else (stack[-1][1] if stack else ""), settled))
+                stack.append((tag, (f"{stack[-1][1]}>{label}" if stack else label) if named else (stack[-1][1] if stack else ""), branch))
     if not skip:
         text.append(entities.unescape(page[at:]))
     flush()
+    settled = _settled(branches, found)
+    return [(path, settled[branch], said) for path, branch, said in found]
+
+
+def _settled(branches: list[list], found: list[tuple[str, int, str]]) -> list[float]:
+    """The prior of each branch. One that looks like noise but holds most of the page's text, or an article, is left to the entropy."""
+    size = [0] * len(branches)
+    for _, branch, said in found:
+        size[branch] += len(said)
+    for i in range(len(branches) - 1, 0, -1):
+        size[branches[i][0]] += size[i]
+    out, opened = [PRIOR_PLAIN], [True]  # within a branch that is not opened, an article is as likely a teaser
+    for i in range(1, len(branches)):
+        above, prior, holds = branches[i]
+        most = 2 * size[i] > size[0]
+        if prior == PRIOR_NOISE:
+            doubt = (most or holds) and out[above] != PRIOR_NOISE
+            out.append(PRIOR_PLAIN if doubt else PRIOR_NOISE)
+            opened.append(opened[above] and most)
+        else:
+            out.append(prior if out[above] == PRIOR_PLAIN and opened[above] else out[above])
+            opened.append(opened[above])
     return out
 
 
@@ -138,13 +176,15 @@ def extract_main_text(pages: DataFrame, ident: str = "page_id", url: str = "url"
     seen = contents.groupBy("host", "path", "prior").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log("k")).alias("klogk"))
     entropy = F.when(F.col("n") > 1, (F.log("n") - F.col("klogk") / F.col("n")) / F.log("n")).otherwise(F.lit(1.0))
     importance = (F.col("n") * entropy + PRIOR_PAGES * F.col("prior")) / (F.col("n") + PRIOR_PAGES)
-    cut = seen.where(importance < LEAST_IMPORTANCE).groupBy("host").agg(F.collect_set("path").alias("cut"))
+    rated = seen.withColumn("importance", importance).where(F.col("importance") < LEAST_BESIDE)
+    cut = rated.groupBy("host").agg(F.collect_set(F.when(F.col("importance") < LEAST_IMPORTANCE, F.col("path"))).alias("cut"), F.collect_set("path").alias("beside"))
     joined = parsed.join(cut, "host", "left")
-    low = F.coalesce("cut", F.array().cast("array<string>"))
-    keep = F.filter("blocks", lambda b: (b["prior"] > PRIOR_NOISE) & ((b["prior"] != PRIOR_PLAIN) | ~F.array_contains(low, b["path"])))
-    # On a page that marks its article, what is outside of it is around it.
-    marked = F.exists("blocks", lambda b: b["prior"] == PRIOR_CONTENT)
-    main = F.filter(keep, lambda b: (b["prior"] == PRIOR_CONTENT) | ~marked)
+    # An article is a strong prior: beside it a branch must say more, unless that is more text than the article.
+    left = lambda low: lambda b: (b["prior"] == PRIOR_PLAIN) & ~F.array_contains(F.coalesce(low, F.array().cast("array<string>")), b["path"])
+    size = lambda blocks: F.aggregate(blocks, F.lit(0), lambda s, b: s + F.length(b["text"]))
+    article, plain = F.filter("blocks", lambda b: b["prior"] == PRIOR_CONTENT), F.filter("blocks", left(F.col("cut")))
+    strict = (F.size(article) > 0) & (size(article) >= size(plain))
+    main = F.filter("blocks", lambda b: (b["prior"] == PRIOR_CONTENT) | F.when(strict, left(F.col("beside"))(b)).otherwise(left(F.col("cut"))(b)))
     return joined.select("page_id", "url", "host", F.array_join(F.transform(main, lambda b: b["text"]), "\n").alias("text"), (F.size("blocks") - F.size(main)).alias("n_cut"))
 
 
