@@ -169,10 +169,11 @@ def extract_main_text(pages: DataFrame, ident: str = "page_id", url: str = "url"
 
         return pd.Series([[{"path": p, "prior": w, "text": t} for p, w, t in page_blocks(x)] for x in column.tolist()])
 
-    parsed = materialize(pages.select(F.col(ident).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), parse(html).alias("blocks")), "blocks")
+    parsed = materialize(pages.select(F.col(ident).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.xxhash64(F.col(html)).alias("page"), parse(html).alias("blocks")), "blocks")
     # Nodes that the presentation settles need no statistics.
-    nodes = parsed.select("host", F.explode("blocks").alias("b")).where(F.col("b.prior") == PRIOR_PLAIN).select("host", "b.path", "b.prior", F.xxhash64("b.text").alias("content"))
-    contents = nodes.groupBy("host", "path", "prior", "content").agg(F.count("*").alias("k"))
+    # Copies of a page on a host count once: what they repeat is the page, not the site's frame.
+    nodes = parsed.select("host", "page", F.posexplode("blocks").alias("place", "b")).where(F.col("b.prior") == PRIOR_PLAIN).select("host", "page", "place", "b.path", "b.prior", F.xxhash64("b.text").alias("content"))
+    contents = nodes.distinct().groupBy("host", "path", "prior", "content").agg(F.count("*").alias("k"))
     seen = contents.groupBy("host", "path", "prior").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log("k")).alias("klogk"))
     entropy = F.when(F.col("n") > 1, (F.log("n") - F.col("klogk") / F.col("n")) / F.log("n")).otherwise(F.lit(1.0))
     importance = (F.col("n") * entropy + PRIOR_PAGES * F.col("prior")) / (F.col("n") + PRIOR_PAGES)
