@@ -9,6 +9,7 @@ with the regular expression. A rule without mandatory trigrams scans all texts.
 Defined results: null text counts as empty and has no span. Texts of any length
 are scanned whole. Offsets count code points, end exclusive. Repeated rows are
 scanned each on their own; extra columns are kept, and results go to one column.
+A private key goes from its BEGIN to its END line, or to where its base64 lines end.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ RULES = [
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", True, True, 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", False, True, 0, 20),
     Rule("hex", r"[0-9a-f]+", False, True, 0, 24),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:(?!-----(?:BEGIN|END) )[\x00-\x7f])*-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:(?:\\[nr]|[\s\x22'+,>])*(?:(?:Proc-Type|DEK-Info):[^\r\n]*|[A-Za-z0-9+/=]{16,}))*(?:(?:\\[nr]|\s)+[A-Za-z0-9+/]*={1,2})?)"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
