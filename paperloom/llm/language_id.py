@@ -140,8 +140,9 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     n, k = scores.shape
     best = int(scores.sum(0).argmax())
     gain = np.cumsum(np.concatenate((np.zeros((1, k)), scores - scores[:, [best]])), axis=0)
-    # No interval gains more than one change costs: then the constant path is the best one.
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty:
+    # No interval gains more than half of what one change costs: then each stretch off the best label, which has a change
+    # at an end at least, and as many changes as labels if it is inside, gains no more than its changes cost.
+    if 2 * (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty:
         return np.full(n, best)
     back, rows = [], scores.tolist()
     value, labels = rows[0], range(k)
