@@ -28,9 +28,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; of rows that share an id, one."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS).dropDuplicates(["doc_id"])
+    """Of each group of near copies the document with the smallest id stays, one without an id only if all are.
+
+    Rows are told apart by id and text, so rows that share an id, or have none, stay if their texts are no near copies.
+    """
+    keyed = docs.withColumn("key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    component = near_duplicates(keyed, ident="key").select(F.col("doc_id").alias("key"), "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key"))
+    kept = keyed.select("doc_id", "key").distinct().join(component, "key").groupBy("component_id").agg(first.alias("first")).select("first.key")
+    return keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select(COLUMNS)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +46,12 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = mix_sources(docs).where("epochs > 0").select("doc_id", "epochs")
-    return docs.join(taken, "doc_id").withColumn("epoch", F.explode(F.sequence(F.lit(1), "epochs"))).select(COLUMNS)
+    # Rows that share id, source and text are one here, with the epochs of all.
+    taken = mix_sources(docs).groupBy("doc_id", "source", "text_hash").agg(F.sum("epochs").cast("int").alias("epochs")).where("epochs > 0").alias("t")
+    rows = docs.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "text_hash"]).alias("d")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("doc_id", "source", "text_hash")]
+    found = rows.join(taken, same[0] & same[1] & same[2]).select(*[F.col(f"d.{c}") for c in COLUMNS], "t.epochs")
+    return found.withColumn("epoch", F.explode(F.sequence(F.lit(1), "epochs"))).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
