@@ -40,9 +40,9 @@ def roll_up_text(children: DataFrame, group: str, name: Column, text: str, order
 
 
 def admitted(entries: Column, most: int) -> Column:
-    """Which of an array of sizes are taken while the sum of those taken stays within ``most``."""
-    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<boolean>").alias("taken"))
-    fold = lambda s, n: F.struct(F.when(s["sum"] + n <= most, s["sum"] + n).otherwise(s["sum"]).alias("sum"), F.concat(s["taken"], F.array(s["sum"] + n <= most)).alias("taken"))
+    """How many of an array of sizes are taken while the sum of those taken stays within ``most``."""
+    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("taken"))
+    fold = lambda s, n: F.when(s["sum"] + n <= most, F.struct((s["sum"] + n).alias("sum"), (s["taken"] + 1).alias("taken"))).otherwise(s)
     return F.aggregate(entries, zero, fold, lambda s: s["taken"])
 
 

@@ -179,9 +179,10 @@ def archive_child_verdict(documents: DataFrame) -> DataFrame:
   UNION ALL SELECT o.source, o.i, CASE WHEN f.s + o.n_chars <= 30000 THEN f.s + o.n_chars ELSE f.s END, f.s + o.n_chars <= 30000 FROM f JOIN o ON o.source = f.source AND o.i = f.i + 1)
   SELECT source, sum(ok::INT)::BIGINT AS n_taken, count(*)::BIGINT AS n FROM f GROUP BY source""")
 def zip_refusal(documents: DataFrame) -> DataFrame:
-    entries = documents.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))).alias("e"))
-    taken = entries.select("source", relational.admitted(F.transform("e", lambda x: x["n_chars"]), 30_000).alias("taken"))
-    return taken.select("source", F.size(F.filter("taken", lambda t: t)).cast("long").alias("n_taken"), F.size("taken").cast("long").alias("n"))
+    # What is larger than the limit is never taken, so it needs no place in the array.
+    fits = F.when(F.col("n_chars") <= 30_000, F.struct("doc_id", "n_chars"))
+    entries = documents.groupBy("source").agg(F.array_sort(F.collect_list(fits)).alias("e"), F.count("*").cast("long").alias("n"))
+    return entries.select("source", relational.admitted(F.transform("e", lambda x: x["n_chars"]), 30_000).alias("n_taken"), "n")
 
 
 @query("lineitem", """SELECT l_suppkey, min(l_partkey) AS first_block, max(l_partkey) AS last_block, count(*)::BIGINT AS blocks FROM (SELECT l_suppkey, l_partkey, l_partkey - row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS g
