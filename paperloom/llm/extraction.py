@@ -1,30 +1,55 @@
 """HTML main-text extraction with a site style tree.
 
-The pages of a host are merged into one tree of styles: a node is the path of
-tags and classes from the root. For each node Spark counts the pages and the
-different contents; the entropy of the contents, relative to the greatest
-possible, is the node's importance, pulled towards a prior from its presentation
-(what its tags and classes say), so that hosts with few pages rely on the prior.
-Branches of low importance are cut from every page of the host.
-
-Defined results: null or empty html gives an empty text. Broken markup (tags
-left open, a page cut off) is read as far as it goes. Pages of any length are
-read whole; repeated rows are each extracted on their own. A url without a host
-counts as a host of its own. No rows give no rows.
+The pages of a host are merged into one tree: a node is a path of tags and
+classes from the root, known by a 64-bit key. A first pass over the pages writes
+digests of each node, no text: the sequence of its children (its presentation)
+and its own text (its content). Spark counts on how many different pages each is
+seen, and from that come two entropies of a node, both 0 to 1:
+
+- content: 1 - sum(k ln k) / (n ln m), for contents that are on k of the m pages
+  that have the node, n contents in all: 0 if all pages say the same, 1 if each
+  says something of its own;
+- presentation: the entropy of the sequences of children over the m pages, in
+  units of ln m: 0 if the node looks the same on each page.
+
+The importance of a block of text is the importance of its content times that of
+its presentation. Names (tags, classes) are a prior of presentation: within a
+branch that says it is an article it is 1, within one that says it is noise 0.25,
+else 0.5 and half of the greatest presentation entropy of the nodes above. Both
+entropies are drawn to what is assumed without pages by PRIOR_PAGES pages. A
+branch that looks like noise but holds most of a page's text, or an article, is
+left to the entropies. A second pass cuts the branches of low importance.
+
+What the second pass needs are the entropies of nodes that two pages or more
+have: MOST_TOLD of them at most are broadcast; more of them go to the pages by
+host, with SALTS salts, so that a large host is many tasks.
+
+Defined results: null or empty html gives an empty text. Broken markup (tags or
+quotes left open, a page cut off) is read as far as it goes. Pages of any length
+are read whole; repeated rows are each extracted on their own, and copies of a
+page on a host count once in the tree. A url without a host counts as a host of
+its own. A page whose blocks are all of low importance keeps those that no name
+calls noise. No rows give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from hashlib import blake2b
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import materialize, table
 
-#: Elements whose text is never content, those that end a block, those without an end tag.
-SKIPPED = {"script", "style", "noscript", "template", "svg", "iframe", "object", "head", "title", "textarea", "select", "button"}
+#: Elements whose text is never content (raw ones hold no markup), those that end a block, those without an end tag.
+RAW = {"script", "style", "textarea", "title"}
+SKIPPED = RAW | {"noscript", "template", "svg", "iframe", "object", "select", "button"}
 NOISE_TAGS = {"nav", "footer", "header", "aside", "form", "menu", "dialog"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
@@ -35,72 +60,133 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 NOISE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|comments?|disqus|respond|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notice|notification|newsletter|subscribe|signup|login|popup|modal|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|search|skip-link)(?:$|[\s_-])"
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: A quoted value that holds what looks like a tag is a quote that was left open: then the tag ends at the next >.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?:(?P<attrs>(?:[^\"'>]++|\"(?:[^\"<]|<(?![a-zA-Z/]))*+\"|'(?:[^'<]|<(?![a-zA-Z/]))*+')*+)>|(?P<open>[^>]*)(?:>|\Z))",
+    re.S,
+)
+ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: What ends an element that is skipped, and whose end tag was left out: none of these is within one.
+SURE_BLOCK = r"<(?:article|main|section|nav|footer|header|aside|body|h[1-6]|p|table|ul|ol|form)[\s>]"
 
-#: Pages at which what is seen counts as much as the prior; importance below which a branch is cut.
+#: Pages at which what is seen counts as much as what is assumed; importance below which a branch is cut.
 PRIOR_PAGES = 4.0
 LEAST_IMPORTANCE = 0.3
 #: On a page that marks its article, the importance below which a branch beside it is cut.
 LEAST_BESIDE = 0.6
-PRIOR_CONTENT, PRIOR_PLAIN, PRIOR_NOISE = 1.0, 0.6, 0.0
+PLAIN, NOISE, CONTENT = 0, 1, 2
+NOISE_FACTOR, PLAIN_FACTOR = 0.25, 0.5
+#: Nodes whose entropies are broadcast at most (16 bytes each); copies of the entropies of a host beyond.
+MOST_TOLD = 250_000
+SALTS = 32
+
+#: Keys of nodes by (key above, label), in a Python worker.
+_keys: dict[tuple[int, str], int] = {}
 
 
-def _style(tag: str, attrs: str) -> tuple[str, float]:
-    """The label of a node in the style tree, and its prior importance."""
-    names = []
-    for name, a, b, c in ATTRIBUTE.findall(attrs):
-        if name.lower() in ("class", "id", "role"):
-            names.append((a or b or c).lower())
-    said = " ".join(names)
+def _hash(data: bytes) -> int:
+    return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def node_key(above: int, label: str) -> int:
+    """The 64-bit key of a node below another; the root of a host is a node below 0 whose label is the host."""
+    key = _keys.get((above, label))
+    if key is None:
+        if len(_keys) > 20_000:
+            _keys.clear()
+        _keys[above, label] = key = _hash(above.to_bytes(8, "little", signed=True) + label.encode("utf-8", "surrogatepass"))
+    return key
+
+
+def _style(tag: str, attrs: str) -> tuple[str, int]:
+    """The label of a node in the style tree, and what its names say."""
+    said = " ".join([(a or b or c).lower() for _, a, b, c in ATTRIBUTE.findall(attrs)]) if "=" in attrs else ""
     label = tag + ("." + ".".join(sorted(re.sub(r"\d+", "0", said).split())) if said else "")
-    if tag not in ("html", "body") and (tag in NOISE_TAGS or NOISE_NAMES.search(said)):
-        return label, PRIOR_NOISE
-    return label, PRIOR_CONTENT if tag in ("article", "main") or "article" in said.split() else PRIOR_PLAIN
+    if tag not in ("html", "body") and (tag in NOISE_TAGS or said and NOISE_NAMES.search(said)):
+        return label, NOISE
+    return label, CONTENT if tag in ("article", "main") or said and "article" in said.split() else PLAIN
+
 
+@dataclass
+class Page:
+    """The tree of a page. Of a node: its key, the node above, what its names say, whether an article is in it, its children's labels."""
 
-def page_blocks(page: str | None) -> list[tuple[str, float, str]]:
-    """The blocks of a page in order: path, prior (of the branch that decides), text."""
+    key: list[int]
+    above: list[int] = field(default_factory=lambda: [-1])
+    says: list[int] = field(default_factory=lambda: [PLAIN])
+    holds: list[bool] = field(default_factory=lambda: [False])
+    children: list[list[str]] = field(default_factory=lambda: [[]])
+    counts: list[bool] = field(default_factory=lambda: [False])  # html and body look alike for all that is on a page
+    blocks: list[tuple[int, str]] = field(default_factory=list)  # node, text; in page order
+
+    def add(self, above: int, tag: str, label: str, says: int) -> int:
+        i = len(self.key)
+        self.children[above].append(label)
+        for column, value in zip((self.key, self.above, self.says, self.holds, self.children, self.counts), (node_key(self.key[above], label), above, says, False, [], tag not in ("html", "body"))):
+            column.append(value)
+        if tag in ("article", "main"):
+            while i >= 0 and not self.holds[i]:
+                self.holds[i], i = True, self.above[i]
+        return len(self.key) - 1
+
+    def settled(self) -> list[int]:
+        """PLAIN, NOISE or CONTENT for each node. One that looks like noise but holds most of the page's text, or an article, is plain."""
+        size = [0] * len(self.key)
+        for i, said in self.blocks:
+            size[i] += len(said)
+        for i in range(len(size) - 1, 0, -1):
+            size[self.above[i]] += size[i]
+        out, opened = [PLAIN], [True]  # within a branch that is not opened, an article is as likely a teaser
+        for i in range(1, len(size)):
+            above, says, most = self.above[i], self.says[i], 2 * size[i] > size[0]
+            if says == NOISE:
+                out.append(PLAIN if (most or self.holds[i]) and out[above] != NOISE else NOISE)
+                opened.append(opened[above] and most)
+            else:
+                out.append(says if says == CONTENT and out[above] == PLAIN and opened[above] else out[above])
+                opened.append(opened[above])
+        return out
+
+
+def parse_page(page: str | None, host: str = "") -> Page:
     page = page or ""
-    stack: list[tuple[str, str, int]] = []  # tag, path, branch
-    # Branches with a prior of their own: branch above, prior, whether an article is in it; what their text comes to.
-    branches: list[list] = [[-1, PRIOR_PLAIN, False]]
-    found: list[tuple[str, int, str]] = []
+    tree = Page([node_key(0, host)])
+    stack: list[tuple[str, int]] = []  # tag, node
     text: list[str] = []
 
     def flush() -> None:
-        said = " ".join("".join(text).split())
-        text.clear()
-        if said:
-            found.append((stack[-1][1] if stack else "", stack[-1][2] if stack else 0, said))
+        if text:
+            said = " ".join("".join(text).split())
+            text.clear()
+            if said:
+                at = stack[-1][1] if stack else 0
+                tree.children[at].append("#")
+                tree.blocks.append((at, said))
 
-    at, skip = 0, ""
+    at = 0
     for m in TOKEN.finditer(page):
         if m.start() < at:
             continue
-        if not skip:
-            text.append(entities.unescape(page[at : m.start()]))
+        if m.start() > at:
+            said = page[at : m.start()]
+            text.append(entities.unescape(said) if "&" in said else said)
         at = m.end()
-        if m["cdata"] and not skip:
-            text.append(m["cdata"])
-        tag = (m["tag"] or "").lower()
+        tag = m["tag"]
         if not tag:
+            if m["cdata"]:
+                text.append(m["cdata"])
             continue
-        if skip == "head" and not m["end"]:
-            if tag in BLOCKS and tag != "html":  # the end tag of the head may be left out
-                skip = ""
-            elif tag in SKIPPED and tag != "head" and not m["attrs"].rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else at
-        if skip:
-            skip = "" if m["end"] and tag == skip else skip
-            continue
-        if tag in SKIPPED and not m["end"]:
-            if not m["attrs"].rstrip().endswith("/"):
-                skip = tag
-                if tag in ("script", "style", "textarea", "title"):  # raw text up to the end tag
-                    end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                    at, skip = (end.end() if end else len(page)), ""
+        tag, attrs = tag.lower(), m["attrs"] if m["attrs"] is not None else m["open"]
+        if tag in SKIPPED:
+            if not m["end"] and not attrs.rstrip().endswith("/"):
+                end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                if end and tag in ("button", "select") and (sure := re.compile(SURE_BLOCK, re.I).search(page, at, end.start())):
+                    at = sure.start()
+                elif end:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = len(page)
             continue
         if tag == "br":
             text.append(" ")
@@ -116,77 +202,163 @@ def page_blocks(page: str | None) -> list[tuple[str, float, str]]:
                 # A paragraph, or an item, ends where the next begins; inline elements left open end with it.
                 while stack and (stack[-1][0] not in BLOCKS or stack[-1][0] == "p" or stack[-1][0] == tag in ("li", "dt", "dd", "tr", "td", "th")):
                     stack.pop()
-            if tag not in VOID and not m["attrs"].rstrip().endswith("/"):
-                label, prior = _style(tag, m["attrs"])
-                branch = stack[-1][2] if stack else 0
-                if tag in ("article", "main"):
-                    above = branch
-                    while above >= 0 and not branches[above][2]:
-                        branches[above][2], above = True, branches[above][0]
-                if prior != PRIOR_PLAIN:
-                    branches.append([branch, prior, tag in ("article", "main")])
-                    branch = len(branches) - 1
-                named = tag in BLOCKS or prior != PRIOR_PLAIN
-                stack.append((tag, (f"{stack[-1][1]}>{label}" if stack else label) if named else (stack[-1][1] if stack else ""), branch))
-    if not skip:
+            if tag not in VOID and not attrs.rstrip().endswith("/"):
+                label, says = _style(tag, attrs)
+                above = stack[-1][1] if stack else 0
+                stack.append((tag, tree.add(above, tag, label, says) if tag in BLOCKS or says != PLAIN else above))
+    if at < len(page):
         text.append(entities.unescape(page[at:]))
     flush()
-    settled = _settled(branches, found)
-    return [(path, settled[branch], said) for path, branch, said in found]
-
-
-def _settled(branches: list[list], found: list[tuple[str, int, str]]) -> list[float]:
-    """The prior of each branch. One that looks like noise but holds most of the page's text, or an article, is left to the entropy."""
-    size = [0] * len(branches)
-    for _, branch, said in found:
-        size[branch] += len(said)
-    for i in range(len(branches) - 1, 0, -1):
-        size[branches[i][0]] += size[i]
-    out, opened = [PRIOR_PLAIN], [True]  # within a branch that is not opened, an article is as likely a teaser
-    for i in range(1, len(branches)):
-        above, prior, holds = branches[i]
-        most = 2 * size[i] > size[0]
-        if prior == PRIOR_NOISE:
-            doubt = (most or holds) and out[above] != PRIOR_NOISE
-            out.append(PRIOR_PLAIN if doubt else PRIOR_NOISE)
-            opened.append(opened[above] and most)
-        else:
-            out.append(prior if out[above] == PRIOR_PLAIN and opened[above] else out[above])
-            opened.append(opened[above])
-    return out
+    return tree
+
+
+def digests(tree: Page) -> list[tuple[int, int, int]]:
+    """(node, kind, value) of a page: kind 0 is how a node looks (all its places on the page together), kind 1 a content."""
+    looks: dict[int, list[str]] = {}
+    for key, children in zip(tree.key, tree.children):
+        looks.setdefault(key, []).append(">".join(children))
+    out = [(key, 0, _hash("|".join(x).encode("utf-8", "surrogatepass"))) for key, x in looks.items()]
+    return out + list(dict.fromkeys([(tree.key[i], 1, _hash(said.encode("utf-8", "surrogatepass"))) for i, said in tree.blocks]))
+
+
+class Entropies:
+    """content and presentation entropy of nodes, looked up by key; without pages to tell, 1 and 0."""
+
+    def __init__(self, node: np.ndarray, content: np.ndarray, look: np.ndarray):
+        by = np.argsort(node)
+        self.node, self.content, self.look = node[by], content[by].astype(np.float32), look[by].astype(np.float32)
+
+    def of(self, keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        asked = np.array(keys, np.int64)
+        if not len(self.node):
+            return np.ones(len(asked)), np.zeros(len(asked))
+        at = np.minimum(np.searchsorted(self.node, asked), len(self.node) - 1)
+        known = self.node[at] == asked
+        return np.where(known, self.content[at], 1.0), np.where(known, self.look[at], 0.0)
+
+
+def importance(tree: Page, entropies: Entropies) -> tuple[list[int], list[float]]:
+    """For each block what its branch is settled to be, and its importance."""
+    settled = tree.settled()
+    content, look = entropies.of(tree.key)
+    above = [0.0]
+    for i in range(1, len(tree.key)):
+        own = float(look[i]) if tree.counts[i] else 0.0
+        above.append(max(own, above[tree.above[i]]))
+    factor = {NOISE: lambda i: NOISE_FACTOR, PLAIN: lambda i: PLAIN_FACTOR + (1 - PLAIN_FACTOR) * above[i], CONTENT: lambda i: 1.0}
+    return [settled[i] for i, _ in tree.blocks], [float(content[i]) * factor[settled[i]](i) for i, _ in tree.blocks]
+
+
+def kept_blocks(tree: Page, entropies: Entropies) -> list[str]:
+    """The texts of the blocks that are not cut, in page order."""
+    kinds, weights = importance(tree, entropies)
+    size = lambda chosen: sum(len(tree.blocks[b][1]) for b in chosen)
+    article = [b for b, k in enumerate(kinds) if k == CONTENT]
+    high = [b for b in article if weights[b] >= LEAST_IMPORTANCE]
+    if 2 * size(high) < size(article):  # the text of an article may be on many pages
+        high = article
+    plain = [b for b, k in enumerate(kinds) if k == PLAIN]
+    beside = [b for b in plain if weights[b] >= LEAST_IMPORTANCE]
+    # An article is a strong prior: beside it a branch must say more, unless that is more text than the article.
+    if article and size(article) >= size(beside):
+        beside = [b for b in plain if weights[b] >= LEAST_BESIDE]
+    chosen = sorted(high + beside) or plain
+    return [tree.blocks[b][1] for b in chosen]
 
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit(""))), url, F.lit(""))
 
 
-def extract_main_text(pages: DataFrame, ident: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (host, page, html) to the digests (host, page, node, kind, value)."""
+    names = ("host", "page", "node", "kind", "value")
+    for batch in batches:
+        rows: list[tuple] = []
+        for host, page, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            tree = parse_page(said.as_py(), host)
+            rows += [(tree.key[0], page, *d) for d in digests(tree)]
+        yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.int32() if n == "kind" else pa.int64()) for i, n in enumerate(names)})
+
+
+def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, node, pages, content, look): the entropies of each node that two different pages of a host or more have.
+
+    The keys of all groups but the last one's hold a digest, so a large host is spread over tasks; the last one
+    gets a row for each node and task.
+    """
+    told = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(F.col(html)).alias("page"), F.col(html).alias("html"))
+    once = told.mapInArrow(_described, "host long, page long, node long, kind int, value long").distinct()
+    values = once.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("k"))
+    kl = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("k") * F.log(F.col("k").cast("double")))).alias(f"kl{kind}")
+    seen = values.groupBy("host", "node").agg(F.sum(F.when(F.col("kind") == 0, F.col("k"))).alias("m"), F.sum(F.when(F.col("kind") == 1, F.col("k"))).alias("n"), kl(0), kl(1)).where("m > 1")
+    content = F.when(F.col("n") > 0, 1 - F.col("kl1") / (F.col("n") * F.log(F.col("m").cast("double")))).otherwise(1.0)
+    look = 1 - F.col("kl0") / (F.col("m") * F.log(F.col("m").cast("double")))
+    drawn = lambda x, to: (F.col("m") * F.greatest(F.lit(0.0), x) + PRIOR_PAGES * to) / (F.col("m") + PRIOR_PAGES)
+    return seen.select("host", "node", F.col("m").alias("pages"), drawn(content, 1).alias("content"), drawn(look, 0).alias("look"))
+
+
+def _texts(batch: pa.RecordBatch, host: int, html: int, entropies: Entropies) -> tuple[list[str], list[int]]:
+    out, cut = [], []
+    for name, said in zip(batch.column(host).to_pylist(), batch.column(html)):
+        tree = parse_page(said.as_py(), name)
+        kept = kept_blocks(tree, entropies)
+        out.append("\n".join(kept))
+        cut.append(len(tree.blocks) - len(kept))
+    return out, cut
+
+
+def extract_main_text(pages: DataFrame, ident: str = "page_id", url: str = "url", html: str = "html", most_told: int = MOST_TOLD) -> DataFrame:
     """(page_id, url, host, text, n_cut): the main text of each page, and how many blocks were cut."""
+    spark = pages.sparkSession
+    tree = materialize(style_tree(pages, url, html), "style-tree")
+    rows = pages.select(F.col(ident).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
+    schema = f"page_id {dict(rows.dtypes)['page_id']}, url string, host string, text string, n_cut int"
+    given = lambda some, texts, cut: pa.RecordBatch.from_arrays([*(some.column(i) for i in range(3)), pa.array(texts, pa.string()), pa.array(cut, pa.int32())], names=["page_id", "url", "host", "text", "n_cut"])
 
-    @F.pandas_udf("array<struct<path:string,prior:double,text:string>>")
-    def parse(column):  # noqa: ANN001
-        import pandas as pd
-
-        return pd.Series([[{"path": p, "prior": w, "text": t} for p, w, t in page_blocks(x)] for x in column.tolist()])
-
-    parsed = materialize(pages.select(F.col(ident).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.xxhash64(F.col(html)).alias("page"), parse(html).alias("blocks")), "blocks")
-    # Nodes that the presentation settles need no statistics.
-    # Copies of a page on a host count once: what they repeat is the page, not the site's frame.
-    nodes = parsed.select("host", "page", F.posexplode("blocks").alias("place", "b")).where(F.col("b.prior") == PRIOR_PLAIN).select("host", "page", "place", "b.path", "b.prior", F.xxhash64("b.text").alias("content"))
-    contents = nodes.distinct().groupBy("host", "path", "prior", "content").agg(F.count("*").alias("k"))
-    seen = contents.groupBy("host", "path", "prior").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log("k")).alias("klogk"))
-    entropy = F.when(F.col("n") > 1, (F.log("n") - F.col("klogk") / F.col("n")) / F.log("n")).otherwise(F.lit(1.0))
-    importance = (F.col("n") * entropy + PRIOR_PAGES * F.col("prior")) / (F.col("n") + PRIOR_PAGES)
-    rated = seen.withColumn("importance", importance).where(F.col("importance") < LEAST_BESIDE)
-    cut = rated.groupBy("host").agg(F.collect_set(F.when(F.col("importance") < LEAST_IMPORTANCE, F.col("path"))).alias("cut"), F.collect_set("path").alias("beside"))
-    joined = parsed.join(cut, "host", "left")
-    # An article is a strong prior: beside it a branch must say more, unless that is more text than the article.
-    left = lambda low: lambda b: (b["prior"] == PRIOR_PLAIN) & ~F.array_contains(F.coalesce(low, F.array().cast("array<string>")), b["path"])
-    size = lambda blocks: F.aggregate(blocks, F.lit(0), lambda s, b: s + F.length(b["text"]))
-    article, plain = F.filter("blocks", lambda b: b["prior"] == PRIOR_CONTENT), F.filter("blocks", left(F.col("cut")))
-    strict = (F.size(article) > 0) & (size(article) >= size(plain))
-    main = F.filter("blocks", lambda b: (b["prior"] == PRIOR_CONTENT) | F.when(strict, left(F.col("beside"))(b)).otherwise(left(F.col("cut"))(b)))
-    return joined.select("page_id", "url", "host", F.array_join(F.transform(main, lambda b: b["text"]), "\n").alias("text"), (F.size("blocks") - F.size(main)).alias("n_cut"))
+    if tree.count() <= most_told:
+        pdf = tree.select("node", "content", "look").toPandas()
+        shared = spark.sparkContext.broadcast(Entropies(pdf["node"].to_numpy(np.int64), pdf["content"].to_numpy(float), pdf["look"].to_numpy(float)))
+
+        def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield given(batch, *_texts(batch, 2, 3, shared.value))
+
+        return rows.mapInArrow(extract, schema)
+
+    @F.udf("long")
+    def root(host):  # noqa: ANN001, ANN202
+        return node_key(0, host)
+
+    # Entropies of a host come first, then its pages; a host is cut by salts.
+    hosts = rows.withColumn("at", root("host")).withColumn("salt", F.pmod(F.xxhash64("html", "page_id", "url"), F.lit(SALTS)).cast("int"))
+    told = tree.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(F.col("host").alias("at"), "salt", "node", "content", "look")
+    met = hosts.unionByName(told, allowMissingColumns=True).repartition("at", "salt").sortWithinPartitions("at", "salt", F.col("node").asc_nulls_last())
+    met = met.select("page_id", "url", "host", "html", "at", "salt", "node", "content", "look")
+
+    def extract_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, entropies = None, [], None
+        for batch in batches:
+            at, node = [tuple(x) for x in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())], batch.column(6).to_pylist()
+            content, look = batch.column(7).to_pylist(), batch.column(8).to_pylist()
+            first = 0
+            while first < len(at):
+                last = first
+                while last < len(at) and at[last] == at[first] and (node[last] is None) == (node[first] is None):
+                    last += 1
+                if at[first] != place:
+                    place, held, entropies = at[first], [], None
+                if node[first] is not None:
+                    held += zip(node[first:last], content[first:last], look[first:last])
+                else:
+                    if entropies is None:
+                        known = np.array(held, [("node", np.int64), ("content", float), ("look", float)])
+                        entropies = Entropies(known["node"], known["content"], known["look"])
+                    some = batch.slice(first, last - first)
+                    yield given(some, *_texts(some, 2, 3, entropies))
+                first = last
+
+    return met.mapInArrow(extract_sorted, schema)
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
