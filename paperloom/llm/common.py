@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,21 +30,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share. Only where Spark is one process a temporary one does, if none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="paperloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def write_table(df: DataFrame, label: str) -> str:
+    """The path of a new table in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/paperloom-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``write_table`` has written."""
+    if "/paperloom-" in path:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps don't
     recompute it, and a lost executor takes none of it along."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/paperloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, label))
+
+
+#: Rows of one key above which the key counts as hot: the hot keys of n rows are n / HOT_ROWS at most.
+HOT_ROWS = 50_000
+
+
+def skew_join(rows: DataFrame, small: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` joined by ``key`` with ``small``, which has one row for each key and, in ``size``, how many of ``rows`` have it.
+
+    The few keys that are hot are broadcast, so that their rows stay where they are.
+    """
+    often, rest = small.where(F.col(size) > HOT_ROWS).drop(size), small.where(F.col(size) <= HOT_ROWS).drop(size)
+    return rows.join(F.broadcast(often), key).unionByName(rows.join(F.broadcast(often.select(key)), key, "left_anti").join(rest, key))
 
 
 def release(spark: SparkSession) -> None:
@@ -55,6 +82,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with as many ``_`` behind as make it differ from the names that are taken (in any case)."""
+    known = {x.lower() for x in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

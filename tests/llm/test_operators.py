@@ -54,11 +54,37 @@ def test_viterbi_is_exact():
 
 def test_language_odd_rows(odd, none):
     model = language_id.fit_language_model(odd)
-    got = language_id.label_languages(odd, model).drop("language_x").select("doc_id", "text").count()
-    assert got == len(ODD)
+    got = language_id.label_languages(odd, model).collect()
+    assert len(got) == len(ODD) and all(r.language == "x" and 0 <= r.language_.score <= 1 for r in got)
     labels = language_id.label_texts([r[1] for r in ODD], model)
     assert [x["lang"] for x in labels[1:5]] == ["und"] * 4 and all(0 <= x["score"] <= 1 for x in labels)
     assert language_id.label_texts(["text"], language_id.fit_language_model(none))[0]["lang"] == "und"
+    assert language_id.label_languages(none, model).count() == 0
+
+
+def test_scripts_narrow_candidates(spark):
+    words = {"en": "the cat and the dog went home", "fr": "le chat et le chien sont partis", "ru": "кошка и собака ушли домой", "uk": "кішка і собака пішли додому", "el": "η γάτα και ο σκύλος έφυγαν"}
+    rows = [(i * 5 + k, f"{t} {i % 7}", lang) for i in range(40) for k, (lang, t) in enumerate(words.items())]
+    model = language_id.fit_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    names = lambda script: [model.languages[i] for i in model.candidates(language_id.SCRIPTS.index(script))]
+    assert (names("latin"), names("cyrillic"), names("greek"), names("thai")) == (["en", "fr"], ["ru", "uk"], ["el"], model.languages)
+    text = "the dog and собака ушли και σκύλος ไทย le chien"
+    w = language_id.words_of([text], model.bits)
+    scores = model.word_scores(w)
+    letters = len(w.owner)
+    for i in range(len(w.start)):
+        own = [w.feature[j] for j in range(letters) if w.owner[j] == i] + [w.feature[letters + i]]
+        for k in range(len(model.languages)):
+            want = model.weights[own, k].astype(float).sum() if k in model.candidates(w.script[i]) else language_id.FOREIGN_SCRIPT
+            assert math.isclose(scores[i, k], want, abs_tol=1e-4)
+    spans = language_id.label_texts(["the cat and the dog went home кошка и собака ушли домой"], model)[0]["spans"]
+    assert [s["lang"] for s in spans] == ["en", "ru"]
+
+
+def test_most_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 3)
+    rows = [(i, "word " * 5, f"l{int(i ** 0.5)}") for i in range(100)]
+    assert language_id.fit_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["l7", "l8", "l9"]
 
 
 def test_licenses(odd, none):
@@ -176,12 +202,32 @@ def test_bpe_against_library(docs):
     tok.no_padding()
     texts = [r.text for r in docs.collect()] + ["İstanbul ΣΑΣ", "é ́x", "<|endoftext|>hi", "don't", "😀 汉字", "a\x1cb", "x" * 3000, "", "½²\x85"]
     words = sorted({w.lower() for t in texts[:50] for w in re.findall("[a-z]+", t.lower())})
-    codec = bpe.Codec(spec, bpe.build_lexicon(words, spec))
-    assert all(codec.lexicon.lookup(w.encode()) == codec.merger.ids(w) for w in words) and codec.lexicon.lookup(b"zzqzz") is None
+    merger = bpe.Merger(spec)
+    codec = bpe.Codec(merger, bpe.build_lexicon(words, merger))
+    assert all(codec.lexicon.lookup(w.encode()) == merger.ids(w) for w in words) and codec.lexicon.lookup(b"zzqzz") is None and codec.lexicon.lookup(b"") is None
+    want = []
     for t in texts:
         ids = tok.encode(t, add_special_tokens=False).ids
-        assert codec.encode(t) == (" ".join(map(str, ids)), tok.decode(ids, skip_special_tokens=False))
+        want.append((ids, tok.decode(ids, skip_special_tokens=False)))
+        assert codec.encode(t) == want[-1]
         assert codec.decode(ids) == codec.encode(t)[1]
+    for some in (codec, bpe.Codec(merger)):  # with a lexicon and without
+        ids, counts, shown = some.encode_batch(texts)
+        ends = np.cumsum(counts)
+        assert [(ids[b - n : b].tolist(), x) for b, n, x in zip(ends, counts, shown)] == want
+
+
+def test_bpe_random_texts_against_library():
+    tokenizers = pytest.importorskip("tokenizers")
+    tok, merger = tokenizers.Tokenizer.from_file(bpe.tokenizer_path()), bpe.Merger(bpe.load_spec(bpe.tokenizer_path()))
+    rng = np.random.default_rng(9)
+    every = list("abcdefghijklmnopqrstuvwxyz") * 4 + list("ABÉéßÀΣσςİıſ'’.,;:-_#%&$*()0123456789½²Ⅷ \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u200b\u0301\u0345\ufeff漢字かなКирאבעر한😀🏽\U0001d400") + ["'s", "'re", "the", "tion", "<|endoftext|>", "<|", "|>"]
+    texts = ["".join(rng.choice(every, int(rng.integers(0, 120)))) for _ in range(4_000)]
+    ids, counts, shown = bpe.Codec(merger, bpe.build_lexicon(["the", "tion", "thetion", "a"], merger)).encode_batch(texts)
+    ends = np.cumsum(counts)
+    for t, b, n, x in zip(texts, ends, counts, shown):
+        want = tok.encode(t, add_special_tokens=False).ids
+        assert ids[b - n : b].tolist() == want and x == tok.decode(want, skip_special_tokens=False)
 
 
 def test_bpe_odd(odd, none):
