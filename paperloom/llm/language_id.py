@@ -5,13 +5,17 @@ spans of mixed-language text.
 Per-word scores come from hashed character trigrams and whole words, whose
 counts by language are summed by Spark over a bounded sample of labelled rows
 (``docs_per_language`` rows for each language at most, chosen by a hash of the
-id). Prediction runs over whole texts, a batch at a time, in numpy.
+id). The MOST_LANGUAGES labels with the most rows are learned. A language is a
+candidate for words of those scripts that a share of SCRIPT_SHARE of its words
+is written in; only candidates are scored, the others get FOREIGN_SCRIPT.
+Prediction runs over whole texts, a batch at a time, in numpy.
 
 Defined results: null text, empty text and text without a letter give ``und``
 with score 0 and no span. Repeated rows are predicted each on their own. With
 no labelled row at all every text is ``und``. Ties between languages go to the
-one that sorts first. Extra columns are kept by ``label_languages`` and cannot
-clash, since results go to one struct column.
+one that sorts first. Texts of any length are labelled whole. Extra columns are
+kept by ``label_languages``; its results go to one struct column, ``language``,
+with as many ``_`` behind as make its name free.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import table
+from paperloom.llm.common import free_name, table
 
 #: First and last code points of the scripts that are told apart.
 SCRIPT_RANGES = [
@@ -36,7 +40,10 @@ SCRIPT_RANGES = [
 ]
 SCRIPTS = ["other", *dict.fromkeys(name for name, _, _ in SCRIPT_RANGES)]
 
+#: Features are hashed to so many bits, fewer if languages x features would be more than MOST_WEIGHTS.
 BITS = 18
+MOST_WEIGHTS = 1 << 23
+MOST_LANGUAGES = 256
 #: Code points handled at once; bounds the memory of a task whatever the batch.
 CHUNK = 1_000_000
 SWITCH_PENALTY = 12.0
@@ -83,7 +90,7 @@ class Words:
     owner: np.ndarray  # the word that a letter is in
 
 
-def words_of(texts: list[str]) -> Words:
+def words_of(texts: list[str], bits: int = BITS) -> Words:
     tab = _code_tables()
     joined = "\n".join(texts)
     cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -101,7 +108,7 @@ def words_of(texts: list[str]) -> Words:
     place = (at - start[owner]).astype(np.uint64)
     each = _mix(low[at] * np.uint64(0x9E3779B97F4A7C15) + place + np.uint64(1))
     whole = np.add.reduceat(each, np.searchsorted(at, start)) if len(start) else np.zeros(0, np.uint64)
-    mask = np.uint64((1 << BITS) - 1)
+    mask = np.uint64((1 << bits) - 1)
     feature = np.concatenate((_mix(tri) & mask, _mix(whole + np.uint64(0x51ED27)) & mask)).astype(np.int64)
     return Words(start, end, np.searchsorted(base, start, "right") - 1, base, tab["script"][cps[start]], feature, owner)
 
@@ -121,19 +128,42 @@ def _chunks(texts: list[str]) -> Iterator[slice]:
 @dataclass
 class LanguageModel:
     languages: list[str]
-    weights: np.ndarray  # [2**BITS, languages]: log likelihoods, centred; 0 where nothing was seen
-    foreign: np.ndarray  # [scripts, languages]: 0, or what a script costs in a language
+    bits: int
+    weights: np.ndarray  # [2**bits, languages]: log likelihoods, centred; 0 where nothing was seen
+    uses: np.ndarray  # [scripts, languages]: whether a language is written in a script
+
+    def candidates(self, script: int) -> np.ndarray:
+        """The languages that a word of a script may be of; all if none is known to use it."""
+        some = np.flatnonzero(self.uses[script])
+        return some if len(some) else np.arange(len(self.languages))
 
     def word_scores(self, w: Words) -> np.ndarray:
+        """[words, languages]. The words of a script are scored in its candidates only."""
         n, letters = len(w.start), len(w.owner)
-        out = np.empty((n, len(self.languages)), np.float64)
+        out = np.full((n, len(self.languages)), FOREIGN_SCRIPT)
+        if not n:
+            return out
         first = np.searchsorted(w.owner, np.arange(n))
-        for k in range(len(self.languages)):
-            column = self.weights[:, k]
-            out[:, k] = np.add.reduceat(column[w.feature[:letters]], first) if n else 0
-            out[:, k] += column[w.feature[letters:]] + self.foreign[w.script, k]
+        for script in np.unique(w.script).tolist():
+            words, some = np.flatnonzero(w.script == script), self.candidates(script)
+            if len(words) == n:
+                of_letters, starts = w.feature[:letters], first
+            else:
+                of_letters = w.feature[:letters][w.script[w.owner] == script]
+                sizes = np.diff(np.append(first, letters))[words]
+                starts = np.cumsum(sizes) - sizes
+            table = self.weights if len(some) == len(self.languages) else self._narrow(script, some)
+            scores = np.add.reduceat(table[of_letters], starts, axis=0, dtype=np.float64) + table[w.feature[letters + words]]
+            out[words[:, None], some] = scores
         return out
 
+    def _narrow(self, script: int, some: np.ndarray) -> np.ndarray:
+        """The weights of the candidates of a script; kept, since the same few sets come again and again."""
+        held = self.__dict__.setdefault("_held", {})
+        if script not in held:
+            held[script] = np.ascontiguousarray(self.weights[:, some])
+        return held[script]
+
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     """The best sequence of labels when each change costs ``penalty``. Ties go to no change, then to the smaller label."""
@@ -163,7 +193,7 @@ def label_texts(texts: list[str | None], model: LanguageModel, penalty: float =
     texts, out = [t or "" for t in texts], []
     for part in _chunks(texts):
         some = texts[part]
-        w = words_of(some)
+        w = words_of(some, model.bits)
         scores = model.word_scores(w) if model.languages else None
         edges = np.searchsorted(w.doc, np.arange(len(some) + 1))
         for d in range(len(some)):
@@ -190,10 +220,11 @@ def fit_language_model(docs: DataFrame, text: str = "text", lang: str = "lang",
     The counts that reach the driver are bounded by languages x 2**BITS.
     """
     known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(ident).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    sizes = {r.l: r.n for r in known.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.l: r.n for r in known.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
-        return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros((len(SCRIPTS), 0)))
+        return LanguageModel([], BITS, np.zeros((1 << BITS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool))
+    bits = min(BITS, int(np.log2(MOST_WEIGHTS / len(languages))))
     rate = F.create_map(*[F.lit(x) for l in languages for x in (l, min(1.0, docs_per_language / sizes[l]))])
     sample = known.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < rate[F.col("l")] * 1_000_000).select("t", "l")
     number = {l: i for i, l in enumerate(languages)}
@@ -202,25 +233,24 @@ def fit_language_model(docs: DataFrame, text: str = "text", lang: str = "lang",
         for batch in batches:
             texts, labels = batch.column(0).to_pylist(), np.array([number[l] for l in batch.column(1).to_pylist()], np.int64)
             for part in _chunks(texts):
-                w, own = words_of(texts[part]), labels[part]
+                w, own = words_of(texts[part], bits), labels[part]
                 of_word = own[w.doc]
-                key = np.concatenate((of_word[w.owner], of_word)) * (1 << BITS) + w.feature
+                key = np.concatenate((of_word[w.owner], of_word)) * (1 << bits) + w.feature
                 k, n = np.unique(key, return_counts=True)
                 s, m = np.unique(of_word * len(SCRIPTS) + w.script, return_counts=True)
                 yield pa.RecordBatch.from_pydict({"f": np.concatenate((k, -1 - s)), "n": np.concatenate((n, m)).astype(np.int64)})
 
     counts = sample.mapInArrow(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
     size = len(languages)
-    seen, script = np.zeros((size, 1 << BITS)), np.zeros((size, len(SCRIPTS)))
+    seen, script = np.zeros((size, 1 << bits)), np.zeros((size, len(SCRIPTS)))
     f, n = counts["f"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
     seen.reshape(-1)[f[f >= 0]] = n[f >= 0]
     script.reshape(-1)[-1 - f[f < 0]] = n[f < 0]
     alpha = 0.5
-    logs = np.log((seen + alpha) / (seen.sum(1, keepdims=True) + alpha * (1 << BITS)))
+    logs = np.log((seen + alpha) / (seen.sum(1, keepdims=True) + alpha * (1 << bits)))
     logs = np.where(seen.sum(0) > 0, logs - logs.mean(0), 0)
     uses = script / np.maximum(script.sum(1, keepdims=True), 1) >= SCRIPT_SHARE
-    foreign = np.where(uses | ~uses.any(0), 0.0, FOREIGN_SCRIPT).T
-    return LanguageModel(languages, logs.T.astype(np.float32).copy(), foreign)
+    return LanguageModel(languages, bits, logs.T.astype(np.float32).copy(), uses.T.copy())
 
 
 def label_languages(docs: DataFrame, model: LanguageModel, text: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
@@ -233,7 +263,8 @@ def label_languages(docs: DataFrame, model: LanguageModel, text: str = "text", p
 
         return pd.DataFrame(label_texts([None if t is None else t for t in texts.tolist()], shared.value, penalty), columns=["lang", "score", "spans"])
 
-    return docs.withColumn("language", label(F.col(text)))
+    # Else a filter on the result would run it once more.
+    return docs.withColumn(free_name("language", docs.columns), label.asNondeterministic()(F.col(text)))
 
 
 def held_out(ident: Column) -> Column:
