@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.bpe import encode_texts, tokenizer_path
-from paperloom.llm.common import materialize, table
+from paperloom.llm.common import delete_table, table, write_table
 from paperloom.llm.jaccard_join import near_duplicates
 from paperloom.llm.language_id import fit_language_model, held_out, label_languages
 from paperloom.llm.mixing import mix_sources
@@ -55,10 +55,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document."""
-    done = encode_texts(docs, tokenizer_path(), keep=["doc_id", "lang", "source"])
-    ids = F.when(F.col("bpe.ids") == "", F.array().cast("array<int>")).otherwise(F.split("bpe.ids", " ").cast("array<int>"))
-    return done.select("doc_id", "lang", "source", F.col("bpe.n_tokens").alias("n_tokens"), ids.alias("ids"))
+    """Token ids of each document; a null or empty text has none."""
+    done = encode_texts(docs, tokenizer_path(), keep=["doc_id", "lang", "source"], decoded=False)
+    return done.select("doc_id", "lang", "source", "bpe.n_tokens", "bpe.ids")
 
 
 STAGES = [
@@ -71,7 +70,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's table. A stage's table is deleted when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = write_table(stage(spark, docs, sf_dir), name)
+        docs = spark.read.parquet(path)
+        if before:
+            delete_table(spark, before)
+        before = path
     return docs
