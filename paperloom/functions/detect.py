@@ -17,6 +17,7 @@ TYPE_OF_MIME = {
 }
 TYPE_OF_MAGIC = {"89504E47": "image", "FFD8FF": "image", "47494638": "image", "25504446": "pdf", "504B0304": "zip"}
 OLD_OFFICE = ["doc", "ppt"]
+MIME_OF_PICTURE = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "webp": "image/webp"}
 EXPORTS = {
     "application/vnd.google-apps.document": ("docx", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"),
     "application/vnd.google-apps.presentation": ("pptx", "application/vnd.openxmlformats-officedocument.presentationml.presentation"),
@@ -43,6 +44,27 @@ def detect_type(name: Column, mime: Column, head: Column) -> Column:
     return F.when(extension(name).isin(OLD_OFFICE), "legacy").otherwise(F.coalesce(_lookup(TYPE_OF_EXTENSION, extension(name)), _lookup(TYPE_OF_MIME, plain), F.when(F.startswith(plain, F.lit("image/")), "image"), magic))
 
 
+def mime_of_name(name: Column) -> Column:
+    """The MIME type of a picture that a model can read, by what follows the last dot of its name (the whole name without one); else null."""
+    return _lookup(MIME_OF_PICTURE, F.lower(F.regexp_extract(name, r"([^.]*)$", 1)))
+
+
+def needs_converter(kind: Column) -> Column:
+    """Types that only an external converter reads."""
+    return F.coalesce(kind == "xls", F.lit(False))
+
+
+def is_readable(kind: Column) -> Column:
+    """Whether an entry of a listing has a content to read."""
+    return F.coalesce(kind.isin("file", "export"), F.lit(False))
+
+
+def folder_id_error(folder: Column) -> Column:
+    """MISSING_DRIVE_FOLDER or INVALID_DRIVE_FOLDER for what is no folder id; null for one."""
+    plain = F.trim(F.coalesce(folder, F.lit("")))
+    return F.when(plain == "", "MISSING_DRIVE_FOLDER").when(~F.rlike(plain, F.lit(r"\A[A-Za-z0-9_-]{1,200}\z")), "INVALID_DRIVE_FOLDER")
+
+
 def is_supported(name: Column) -> Column:
     return extension(name).isin([*TYPE_OF_EXTENSION, *OLD_OFFICE])
 

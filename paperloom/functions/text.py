@@ -95,6 +95,35 @@ def md_table(rows: Column) -> Column:
     return F.when(F.coalesce(width, F.lit(0)) <= 0, "").otherwise(F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size(lines))), "\n"))
 
 
+def decode_xml(text: Column) -> Column:
+    """Character references of XML: by number, then the five names, ``&amp;`` last."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|&?[^&]*"), F.lit(0))
+
+    def one(p: Column) -> Column:
+        number = F.when(F.rlike(p, F.lit(r"^&#[xX]")), F.conv(F.regexp_extract(p, r"([0-9A-Fa-f]+);", 1), 16, 10)).otherwise(F.regexp_extract(p, r"([0-9]+);", 1)).cast("long")
+        return F.when(F.rlike(p, F.lit(r"^&#(?:[xX][0-9A-Fa-f]+|[0-9]+);$")) & (number < 0x110000), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(p)
+
+    told = F.array_join(F.transform(pieces, one), "")
+    for name, said in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        told = F.replace(told, F.lit(f"&{name};"), F.lit(said))
+    return told
+
+
+def pick_defined(values: Column) -> Column:
+    """A map without its null and empty values."""
+    return F.map_filter(values, lambda _, v: v.isNotNull() & (v != ""))
+
+
+def shown(value: Column) -> Column:
+    """A value in a report; n/a for none."""
+    return F.coalesce(value.cast("string"), F.lit("n/a"))
+
+
+def table_text(table: Column) -> Column:
+    """The plain text of a Markdown table."""
+    return markdown_to_text(table)
+
+
 def round3(value: Column) -> Column:
     """Rounded half up to three places."""
     return F.floor(value * 1000 + 0.5) / 1000

@@ -26,6 +26,7 @@ MB = 1 << 20
 #: Limits of an archive: entries, bytes of an entry, bytes in all, size to packed size of large entries, nesting.
 MOST_ENTRIES, MOST_ENTRY_BYTES, MOST_BYTES, MOST_RATIO, RATIO_FROM, MOST_DEPTH = 5_000, 200 * MB, 1024 * MB, 1_000, 10 * MB, 3
 MOST_SHEET_ROWS = 5_000
+MOST_MEDIA = 5 * MB
 #: A task passes rows on after so many bytes of files.
 HELD_BYTES = 4 * MB
 BROKEN = (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, KeyError, EOFError, NotImplementedError, RuntimeError, TypeError, ValueError)
@@ -75,13 +76,13 @@ def refusals(sizes: list[tuple[int, int]]) -> Iterator[str | None]:
             yield None
 
 
-def _members(data: bytes) -> Iterator[tuple]:
+def _members(data: bytes, read: Callable[[str], bool] = lambda name: True) -> Iterator[tuple]:
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
         entries = [e for e in archive.infolist() if not e.is_dir()]
         if len(entries) > MOST_ENTRIES:
             raise ValueError("too many entries")
         for i, (e, refused) in enumerate(zip(entries, refusals([(e.file_size, e.compress_size) for e in entries]))):
-            yield i, entry_name(e), e.file_size, e.CRC, refused, None if refused else archive.read(e)
+            yield i, entry_name(e), e.file_size, e.CRC, refused, archive.read(e) if not refused and read(entry_name(e)) else None
 
 
 def zip_members(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
@@ -89,6 +90,16 @@ def zip_members(files: DataFrame, name: str = "path", content: str = "content")
     return _expand(files, name, content, "ordinal int, name string, size long, crc long, refused string, content binary", _members, "INVALID_ZIP")
 
 
+def media_members(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
+    """``zip_members`` of office packages: only the media are unpacked, and of these only those of MOST_MEDIA bytes or less."""
+
+    def media(data: bytes) -> Iterator[tuple]:
+        return (row for row in _members(data, lambda n: "/media/" in n) if "/media/" in row[1])
+
+    found = _expand(files, name, content, "ordinal int, name string, size long, crc long, refused string, content binary", media, "INVALID_ZIP")
+    return found.withColumn("content", F.when(F.col("size") <= MOST_MEDIA, F.col("content")))
+
+
 def expand_archives(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
     """(path, parent, depth, ordinal, content, skipped, error): members of archives and of archives in them.
 
@@ -235,6 +246,7 @@ def _sheet_rows(data: bytes) -> Iterator[tuple]:
             root = _xml(archive, targets.get(_attribute(sheet, "id"), f"xl/worksheets/sheet{sheet_no}.xml"))
             for row_no, row in enumerate(_each(root, "row"), 1):
                 if row_no > MOST_SHEET_ROWS:
+                    yield sheet_no, sheet.get("name"), row_no, None
                     break
                 cells: list[str] = []
                 for c in _each(row, "c"):
@@ -245,10 +257,40 @@ def _sheet_rows(data: bytes) -> Iterator[tuple]:
 
 
 def xlsx_rows(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
-    """(path, sheet_no, sheet, row_no, cells, error), ``MOST_SHEET_ROWS`` a sheet at most; gaps are empty cells."""
+    """(path, sheet_no, sheet, row_no, cells, error), ``MOST_SHEET_ROWS`` a sheet at most; gaps are empty cells.
+
+    A sheet with more rows has one more row, whose cells are null: what ``sheet_warnings`` tells.
+    """
     return _expand(files, name, content, "sheet_no int, sheet string, row_no int, cells array<string>", _sheet_rows, "EXTRACTION_FAILED")
 
 
+def sheet_warnings(rows: DataFrame) -> DataFrame:
+    """(path, warning) for each sheet that was cut."""
+    cut = rows.where(F.col("error").isNull() & F.col("cells").isNull())
+    return cut.select("path", F.concat(F.lit('Sheet "'), "sheet", F.lit(f'" cut at {MOST_SHEET_ROWS} rows.')).alias("warning"))
+
+
+def _sheet_charts(data: bytes) -> Iterator[tuple]:
+    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+        book = ElementTree.fromstring(archive.read("xl/workbook.xml"))
+        targets = {i: part for i, _, part in relations(archive, "xl/workbook.xml")}
+        for number, sheet in enumerate(_each(book, "sheet"), 1):
+            yield "sheet", number, sheet.get("name"), targets.get(_attribute(sheet, "id"), f"xl/worksheets/sheet{number}.xml")
+        for name in archive.namelist():
+            if re.fullmatch(r"xl/(worksheets|drawings)/_rels/[^/]*\.rels", name):
+                part = name.replace("_rels/", "").removesuffix(".rels")
+                yield from ((kind, 0, part, target) for _, kind, target in relations(archive, part) if kind in ("drawing", "chart"))
+
+
+def sheet_charts(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
+    """(path, sheet_no, sheet, part): the charts of each sheet, by two joins of the package's relations: sheet to drawing, drawing to chart."""
+    links = _expand(files, name, content, "kind string, number int, source string, target string", _sheet_charts, "EXTRACTION_FAILED").where("error is null")
+    sheets = links.where("kind = 'sheet'").select("path", F.col("number").alias("sheet_no"), F.col("source").alias("sheet"), F.col("target").alias("sheet_part"))
+    drawings = links.where("kind = 'drawing'").select("path", F.col("source").alias("sheet_part"), F.col("target").alias("drawing"))
+    charts = links.where("kind = 'chart'").select("path", F.col("source").alias("drawing"), F.col("target").alias("part"))
+    return sheets.join(drawings, ["path", "sheet_part"]).join(charts, ["path", "drawing"]).select("path", "sheet_no", "sheet", "part")
+
+
 def _properties(data: bytes) -> Iterator[tuple]:
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
         for part in ("docProps/core.xml", "docProps/app.xml"):
@@ -263,6 +305,13 @@ def office_properties(files: DataFrame, name: str = "path", content: str = "cont
     return _expand(files, name, content, "key string, value string", _properties, "EXTRACTION_FAILED")
 
 
+def chart_records(series: DataFrame) -> DataFrame:
+    """(path, part, kind, title, series): one row a chart, from ``chart_series``; its series are in order."""
+    one = F.struct("series_no", F.col("series").alias("name"), "categories", "values")
+    held = series.where("error is null").groupBy("path", "part", "kind", "title").agg(F.array_sort(F.collect_list(F.struct("series_no", F.to_json(one).alias("s")))).alias("s"))
+    return held.select("path", "part", "kind", "title", F.transform("s", lambda x: F.from_json(x["s"], "name string, categories array<string>, values array<double>")).alias("series"))
+
+
 def build_packages(rows: DataFrame, name: Column, parts: Column) -> DataFrame:
     """(path, content): a package of each row; ``parts`` is a map of part names to text. The inverse of the readers."""
 

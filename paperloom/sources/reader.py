@@ -2,38 +2,228 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions import detect, text
-from paperloom.sources import packages, pdf
+from paperloom.functions import detect, images, text, triage
+from paperloom.operators import records
+from paperloom.sources import delimited, packages, pdf
+
+SECTION = "struct<kind:string,number:int,title:string,text:string,notes:string,needs_vision:boolean,reason:string>"
+PICTURE = "struct<id:string,name:string,mime:string,width:int,height:int,bytes:bigint,section:int,duplicate_of:string,needs_vision:boolean,reason:string>"
+CHART = "struct<part:string,kind:string,title:string,section:int,series:array<struct<name:string,categories:array<string>,values:array<double>>>>"
+#: The columns of a record; a part that a type lacks is an empty array.
+RECORD = {
+    "path": "string", "kind": "string", "text": "string", "markdown": "string", "units": "int", "sections": f"array<{SECTION}>", "images": f"array<{PICTURE}>", "charts": f"array<{CHART}>",
+    "metadata": "map<string,string>", "warnings": "array<string>", "error": "string",
+}
+
+
+def _record(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Rows with all columns of a record; those that aren't given are taken from the rows, or empty."""
+    empty = {"array": F.array, "map": F.create_map}
+
+    def column(name: str, kind: str) -> Column:
+        got = columns.get(name, F.col(name) if name in rows.columns else F.lit(None)).cast(kind)
+        return next((F.coalesce(got, make().cast(kind)) for start, make in empty.items() if kind.startswith(start)), got).alias(name)
+
+    return rows.select(*[column(n, k) for n, k in RECORD.items()])
+
+
+def _section(kind: str, number: Column, said: Column, needs: Column | None = None, reason: Column | str = "", title: Column | None = None, notes: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    reason = F.lit(reason) if isinstance(reason, str) else reason
+    parts = (F.lit(kind), number, none if title is None else title, said, none if notes is None else notes, F.lit(False) if needs is None else needs, reason)
+    return F.struct(*[p.alias(n) for p, n in zip(parts, ("kind", "number", "title", "text", "notes", "needs_vision", "reason"))]).cast(SECTION)
+
+
+def _gathered(rows: DataFrame, order: list[str], **values: Column) -> DataFrame:
+    """(path, values): arrays of the parts of each file, in order; a file's parts are bounded by the readers' limits."""
+    held = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*[v.alias(n) for n, v in values.items()]).alias("v")))).alias("parts"), F.max("error").alias("error"))
+    return held.select("path", "error", F.transform("parts", lambda p: p["v"]).alias("v")).select("path", "error", *[F.col(f"v.{n}").alias(n) for n in values])
+
+
+def pretty_json(raw: Column) -> Column:
+    """JSON with two spaces a level, keys as they come; null for what is no JSON."""
+
+    @F.pandas_udf("string")
+    def pretty(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            try:
+                return None if t is None else json.dumps(json.loads(t), indent=2, ensure_ascii=False)
+            except ValueError:
+                return None
+
+        return texts.map(one)
+
+    return pretty(raw)
+
+
+def _joined(parts: Column, separator: str) -> Column:
+    return F.array_join(F.filter(parts, lambda t: t.isNotNull() & (t != "")), separator)
+
+
+def _texts(files: DataFrame) -> DataFrame:
+    ext = detect.extension(F.col("path"))
+    rows = files.withColumn("raw", text.decode_bytes(F.col("content"))).withColumn("ext", ext)
+    tables = {"csv": ",", "tsv": "\t"}
+    cells = F.coalesce(*[delimited.delimited_cells(F.when(F.col("ext") == e, F.col("raw")), d) for e, d in tables.items()])
+    rows = rows.withColumn("cells", cells)
+    table = F.when(F.col("ext").isin(list(tables)), text.md_table(F.col("cells")))
+    rows = rows.withColumn("table", table).withColumn("pretty", pretty_json(F.when(F.col("ext") == "json", F.col("raw"))))
+    said = (
+        F.when(F.col("ext").isin(list(tables)), text.table_text(F.col("table")))
+        .when(F.col("ext") == "json", F.coalesce("pretty", "raw"))
+        .when(F.col("ext").isin("html", "htm", "xml"), text.html_to_text(F.col("raw")))
+        .when(F.col("ext") == "md", text.markdown_to_text(F.col("raw")))
+        .otherwise(text.trim_ws(F.col("raw")))
+    )
+    markdown = F.when(F.col("ext").isin(list(tables)), F.col("table")).when(F.col("ext") == "md", F.col("raw")).when(F.col("pretty").isNotNull(), F.concat(F.lit("```json\n"), "pretty", F.lit("\n```")))
+    odd = (F.col("ext") == "json") & F.col("pretty").isNull() & F.col("raw").isNotNull()
+    rows = rows.withColumn("said", said)
+    there = F.col("content").isNotNull()
+    return _record(rows, text=F.col("said"), markdown=markdown, units=F.when(there, 1), sections=F.when(there, F.array(_section("body", F.lit(1), F.col("said"), reason="text file"))),
+                   warnings=F.when(odd, F.array(F.lit("File has a .json extension but is not valid JSON."))), error=F.when(~there, "EXTRACTION_FAILED"))
+
+
+def _metadata(files: DataFrame) -> DataFrame:
+    told = packages.office_properties(files).where("error is null").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("metadata"))
+    return told.withColumn("metadata", text.pick_defined(F.col("metadata")))
+
+
+def _pictures(media: DataFrame) -> DataFrame:
+    number = F.regexp_extract("id", r"(\d+)$", 1).cast("int")
+    picture = F.struct("id", "name", "mime", "width", "height", "bytes", "section", "duplicate_of", "needs_vision", "reason").cast(PICTURE)
+    held = media.withColumn("n", number).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("n", picture.alias("p")))).alias("p"))
+    return held.select("path", F.transform("p", lambda x: x["p"]).alias("images"))
+
+
+def _charts(charts: DataFrame, section: DataFrame | None = None) -> DataFrame:
+    """(path, charts); ``section``: (path, part, section) of each chart."""
+    placed = charts.withColumn("section", F.lit(None).cast("int")) if section is None else charts.join(section, ["path", "part"], "left")
+    one = F.struct("part", "kind", "title", "section", "series").cast(CHART)
+    held = placed.groupBy("path").agg(F.collect_list(one).alias("c"))
+    return held.select("path", F.array_sort("c", lambda a, b: F.when(a["part"] < b["part"], -1).when(a["part"] > b["part"], 1).otherwise(0)).alias("charts"))
+
+
+def _with(rows: DataFrame, *others: DataFrame) -> DataFrame:
+    return reduce(lambda a, b: a.join(b, "path", "left"), others, rows)
+
+
+def _words(files: DataFrame) -> DataFrame:
+    said = packages.docx_text(files)
+    media = records.register_media(packages.media_members(files).where("error is null"), records.MEDIA_FOLDERS["docx"]).withColumn("section", F.lit(None).cast("int"))
+    ok = F.col("error").isNull()
+    rows = _with(said, _metadata(files), _pictures(media), _charts(packages.chart_records(packages.chart_series(files))))
+    return _record(rows, kind=F.lit("docx"), units=F.when(ok, 1), sections=F.when(ok, F.array(_section("body", F.lit(1), F.col("text"), reason="text document"))))
+
+
+def _slides(files: DataFrame) -> DataFrame:
+    slides = packages.pptx_slides(files)
+    media = records.register_media(packages.media_members(files).where("error is null"), records.MEDIA_FOLDERS["pptx"])
+    judged = records.slide_verdicts(slides.where("error is null"), media).unionByName(slides.where("error is not null").withColumn("needs_vision", F.lit(None).cast("boolean")).withColumn("reason", F.lit(None).cast("string")))
+    whole = F.concat_ws("\n", F.nullif("text", F.lit("")), F.when(F.col("notes") != "", F.concat(F.lit("Notes: "), "notes")))
+    section = _section("slide", F.col("number"), F.col("text"), F.col("needs_vision"), F.col("reason"), notes=F.col("notes"))
+    held = _gathered(judged, ["number"], section=section, whole=whole)
+    shown = media.join(records.first_slides(slides.where("error is null")), ["path", "part"], "left")
+    charts = slides.where("error is null").select("path", F.col("number").alias("section"), F.explode("charts").alias("part")).groupBy("path", "part").agg(F.min("section").alias("section"))
+    rows = _with(held, _metadata(files), _pictures(shown), _charts(packages.chart_records(packages.chart_series(files)), charts))
+    ok = F.col("error").isNull()
+    return _record(rows, kind=F.lit("pptx"), text=F.when(ok, _joined(F.col("whole"), "\n\n")), sections=F.when(ok, F.col("section")), units=F.when(ok, F.size("section")))
+
+
+def _sheets(files: DataFrame) -> DataFrame:
+    cells = packages.xlsx_rows(files)
+    kept = cells.where(F.col("cells").isNotNull() | F.col("error").isNotNull())
+    sheets = kept.groupBy("path", "sheet_no", "sheet").agg(F.array_sort(F.collect_list(F.struct("row_no", "cells"))).alias("r"), F.max("error").alias("error"))
+    sheets = sheets.withColumn("table", text.md_table(F.transform("r", lambda x: x["cells"])))
+    held = _gathered(sheets, ["sheet_no"], section=_section("sheet", F.col("sheet_no"), F.col("table"), reason="tabular data", title=F.col("sheet")), part=F.concat(F.lit("## "), "sheet", F.lit("\n\n"), "table"))
+    cut = packages.sheet_warnings(cells).groupBy("path").agg(F.array_sort(F.collect_list("warning")).alias("warnings"))
+    section = packages.sheet_charts(files).groupBy("path", "part").agg(F.min("sheet_no").alias("section"))
+    rows = _with(held, _metadata(files), cut, _charts(packages.chart_records(packages.chart_series(files)), section)).withColumn("markdown", F.array_join("part", "\n\n"))
+    ok = F.col("error").isNull()
+    return _record(rows, kind=F.lit("xlsx"), markdown=F.when(ok, F.col("markdown")), text=F.when(ok, text.table_text(F.col("markdown"))), sections=F.when(ok, F.col("section")), units=F.when(ok, F.size("section")))
+
+
+def _pages(files: DataFrame) -> DataFrame:
+    pages = pdf.pdf_pages(files)
+    held = _gathered(pages, ["number"], section=_section("page", F.col("number"), F.col("text"), F.col("needs_vision"), F.col("reason")), said=F.col("text"))
+    ok = F.col("error").isNull()
+    cut = F.when(F.size("section") >= pdf.MOST_PAGES, F.array(F.lit(f"Only the first {pdf.MOST_PAGES} pages were read.")))
+    return _record(held, kind=F.lit("pdf"), text=F.when(ok, _joined(F.col("said"), "\n\n")), sections=F.when(ok, F.col("section")), units=F.when(ok, F.size("section")), warnings=cut)
+
+
+def _images(files: DataFrame) -> DataFrame:
+    rows = files.withColumn("mime", detect.mime_of_name(F.col("path"))).withColumn("s", images.image_size(F.col("content")))
+    rows = rows.withColumn("v", triage.image_verdict(F.lit(None).cast("string"), F.col("mime"), F.col("s.width"), F.col("s.height")))
+    there, none = F.col("content").isNotNull(), F.lit(None).cast("string")
+    picture = F.struct(F.lit("img-1").alias("id"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "mime", "s.width", "s.height", F.octet_length("content").cast("long").alias("bytes"), F.lit(1).alias("section"), none.alias("duplicate_of"), "v.needs_vision", "v.reason")
+    return _record(rows, text=F.when(there, ""), units=F.when(there, 1), sections=F.when(there, F.array(_section("image", F.lit(1), F.lit(""), F.col("v.needs_vision"), F.col("v.reason")))),
+                   images=F.when(there, F.array(picture.cast(PICTURE))), error=F.when(~there, "EXTRACTION_FAILED"))
+
+
+def _archives(files: DataFrame) -> DataFrame:
+    """Archives read member by member; an archive in an archive is a member whose text is its own roll-up.
+
+    The parts of one archive go to one row; what an archive may unpack to (``packages.MOST_BYTES``) bounds it.
+    """
+    members = packages.expand_archives(files)
+    told = members.where("parent is not null and skipped is null and error is null and not endswith(lower(path), '.zip')")
+    found = _read(told.select("path", "content")).join(members.select("path", "parent", "depth", "ordinal"), "path")
+    child = found.select("path", "parent", "depth", "ordinal", "text", "error", F.exists(F.concat(F.transform("sections", lambda s: s["needs_vision"]), F.transform("images", lambda s: s["needs_vision"])), lambda x: x).alias("needs"))
+    lost = members.where("parent is not null and error is not null and skipped is null").select("path", "parent", "depth", "ordinal", F.lit(None).cast("string").alias("text"), "error", F.lit(False).alias("needs"))
+    child = child.unionByName(lost.where("path is not null"))
+    refused = members.where("skipped is not null").groupBy(F.col("parent").alias("path")).agg(F.array_sort(F.collect_list(F.concat(F.lit("skipped "), "path", F.lit(": "), "skipped"))).alias("skipped"))
+    tops = files.select("path", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(0).alias("ordinal"))
+    inner = members.where("endswith(lower(path), '.zip') and skipped is null and error is null").select("path", "parent", "depth", "ordinal")
+    zips, out = tops.unionByName(inner), None
+    for depth in reversed(range(packages.MOST_DEPTH)):
+        section = _section("file", F.lit(None).cast("int"), F.lit(""), F.col("needs"), F.when(F.col("error").isNull(), "see child document").otherwise("could not be read"), title=F.col("path"))
+        said = F.when(F.col("text") != "", F.concat(F.lit("## "), "path", F.lit("\n\n"), "text"))
+        own = child.where(F.col("depth") == depth + 1).withColumn("section", section).withColumn("said", said)
+        held = own.groupBy(F.col("parent").alias("path")).agg(F.array_sort(F.collect_list(F.struct("ordinal", "section", "said", "needs"))).alias("p"))
+        numbered = F.transform("p", lambda x, i: x["section"].withField("number", i + 1))
+        here = zips.where(F.col("depth") == depth).join(held, "path", "left").select(
+            "path", "parent", "depth", "ordinal", F.coalesce(_joined(F.transform("p", lambda x: x["said"]), "\n\n"), F.lit("")).alias("text"),
+            numbered.alias("sections"), F.coalesce(F.exists("p", lambda x: x["needs"]), F.lit(False)).alias("needs"), F.lit(None).cast("string").alias("error"),
+        )
+        child = child.unionByName(here.select("path", "parent", "depth", "ordinal", "text", "error", "needs"))
+        out = here
+    broken = members.where("depth = 1 and path = parent and error is not null").select(F.col("parent").alias("path"), F.col("error").alias("failed"))
+    rows = out.drop("error").join(broken, "path", "left").join(refused, "path", "left")
+    empty = F.when(F.col("sections").isNull() & F.col("failed").isNull(), F.array(F.lit("Archive had no supported files in it."))).otherwise(F.array().cast("array<string>"))
+    ok = F.col("failed").isNull()
+    return _record(rows, kind=F.lit("zip"), text=F.when(ok, F.col("text")), units=F.when(ok, F.coalesce(F.size("sections"), F.lit(0))), sections=F.when(ok, F.col("sections")), warnings=F.concat(empty, F.coalesce("skipped", F.array().cast("array<string>"))), error=F.col("failed"))
+
+
+READERS = {"text": _texts, "docx": _words, "pptx": _slides, "xlsx": _sheets, "pdf": _pages, "image": _images}
+
+
+def _read(files: DataFrame) -> DataFrame:
+    kind = detect.detect_type(F.col("path"), F.lit(None).cast("string"), F.substring(F.col("content"), 1, 8))
+    told = files.withColumn("kind", F.coalesce(kind, F.lit("unknown")))
+    refused = F.coalesce(detect.error_code(F.when(F.col("kind") != "unknown", F.col("kind"))), F.lit("UNSUPPORTED_FILE_TYPE"))
+    others = _record(told.where(~F.col("kind").isin("zip", *READERS)), error=refused)
+    return reduce(lambda a, b: a.unionByName(b), [read(told.where(F.col("kind") == k)) for k, read in READERS.items()], others)
 
 
 def read_documents(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
-    """(path, kind, text, units, error) of each file: units are pages, slides or sheet rows (1 for other files).
+    """A record (see RECORD, with ``stats``) of each file: text, Markdown, sections, pictures, charts, metadata, warnings; units are pages, slides, sheets, files.
 
-    Only files of a type that needs a parser go to Python. Types without a reader here and unknown ones give
-    UNSUPPORTED_TYPE, old office files LEGACY_FORMAT, unreadable ones the reader's error. Paths are unique.
+    Only files that need a parser go to Python; each type is one pass over ``files``. Types without a reader and unknown
+    ones give UNSUPPORTED_FILE_TYPE, old office files LEGACY_OFFICE_FORMAT or NEEDS_MARKITDOWN, unreadable ones the
+    reader's error; a limit that cuts something is a warning. Paths are unique.
     """
-    kind = detect.detect_type(F.col(name), F.lit(None).cast("string"), F.substring(F.col(content), 1, 4))
-    told = files.select(F.col(name).alias("path"), F.col(content).alias("content"), F.coalesce(kind, F.lit("unknown")).alias("kind"))
-    of = lambda k: told.where(F.col("kind") == k)
+    rows = files.select(F.col(name).cast("string").alias("path"), F.col(content).alias("content"))
+    kind = detect.detect_type(F.col("path"), F.lit(None).cast("string"), F.substring(F.col("content"), 1, 8))
+    found = _read(rows.where(~F.coalesce(kind == "zip", F.lit(False)))).unionByName(_archives(rows.where(kind == "zip")))
+    return found.withColumn("stats", records.document_stats(F.col("text"), F.col("sections"), F.col("images"), F.col("charts")))
 
-    def whole(rows: DataFrame, k: str, order: list[str], separator: str) -> DataFrame:
-        parts = F.array_sort(F.collect_list(F.struct(*order, "text")))
-        joined = F.array_join(F.filter(F.transform(parts, lambda p: p["text"]), lambda t: t != ""), separator)
-        return rows.groupBy("path").agg(F.lit(k).alias("kind"), joined.alias("text"), F.count("text").cast("int").alias("units"), F.max("error").alias("error"))
 
-    ext = detect.extension(F.col("path"))
-    plain = text.decode_bytes(F.col("content"))
-    shown = F.when(ext.isin("html", "htm", "xml"), text.html_to_text(plain)).when(ext.isin("md", "markdown"), text.markdown_to_text(plain)).otherwise(plain)
-    broken = F.when(F.col("content").isNull(), "EXTRACTION_FAILED")
-    texts = of("text").select("path", "kind", shown.alias("text"), F.when(F.col("content").isNotNull(), 1).alias("units"), broken.alias("error"))
-    word = packages.docx_text(of("docx")).select("path", F.lit("docx").alias("kind"), "text", F.when(F.col("error").isNull(), 1).alias("units"), "error")
-    rows = packages.xlsx_rows(of("xlsx")).withColumn("text", F.array_join("cells", "\t"))
-    refused = F.when(F.col("kind") == "legacy", "LEGACY_FORMAT").otherwise("UNSUPPORTED_TYPE")
-    others = told.where(~F.col("kind").isin("text", "docx", "pptx", "xlsx", "pdf")).select("path", "kind", F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("units"), refused.alias("error"))
-    out = texts
-    for part in (word, whole(packages.pptx_slides(of("pptx")), "pptx", ["number"], "\n\n"), whole(rows, "xlsx", ["sheet_no", "row_no"], "\n"), whole(pdf.pdf_pages(of("pdf")), "pdf", ["number"], "\n\n"), others):
-        out = out.unionByName(part)
-    return out
+def to_analyse(found: DataFrame) -> DataFrame:
+    """(path, kind, text, stats): the documents that go on to the analysis, their text labelled by pages or slides; archives and failures stay behind."""
+    return found.where("kind <> 'zip' and error is null").select("path", "kind", records.labelled_text(F.col("kind"), F.col("sections"), F.col("text")).alias("text"), "stats")

@@ -29,7 +29,7 @@ def stream_folder(spark: SparkSession, landing: str, results: str, cache: str, c
         listed = files.select("path", "key")
         hits = listed.join(known, "key").withColumn("cached", F.lit(True))
         fresh = files.join(known.select("key"), "key", "left_anti").select("path", "content")
-        done = read_documents(fresh).join(listed, "path").withColumn("cached", F.lit(False))
+        done = read_documents(fresh).select("path", "kind", "text", "units", "error").join(listed, "path").withColumn("cached", F.lit(False))
         path = f"{results}/batch={number}"
         hits.unionByName(done).select(F.to_json(F.struct("path", "key", "kind", "text", "units", "error", "cached")).alias("value")).write.mode("overwrite").text(path)
         lines = session.read.text(path).select(F.from_json("value", f"path string, {CACHE_SCHEMA}, cached boolean").alias("r")).select("r.*")

@@ -84,8 +84,8 @@ def test_read_documents(spark):
     rows = [("a.txt", b"hi"), ("b.html", b"<p>x</p>"), ("c.pdf", _pdf(b"(page) Tj")), ("d.pptx", deck), ("e.docx", b"x"), ("f.doc", b"x"), ("g.bin", b"x"), ("h.txt", None)]
     got = {r.path: (r.kind, r.text, r.units, r.error) for r in read_documents(spark.createDataFrame(rows, "path string, content binary")).collect()}
     assert got["a.txt"] == ("text", "hi", 1, None) and got["b.html"][1] == "x" and got["c.pdf"] == ("pdf", "page", 1, None)
-    assert got["d.pptx"] == ("pptx", "one\n\ntwo", 2, None) and got["e.docx"][3] == "EXTRACTION_FAILED" and got["f.doc"][3] == "LEGACY_FORMAT"
-    assert got["g.bin"][3] == "UNSUPPORTED_TYPE" and got["h.txt"][3] == "EXTRACTION_FAILED" and len(got) == len(rows)
+    assert got["d.pptx"] == ("pptx", "one\n\ntwo", 2, None) and got["e.docx"][3] == "EXTRACTION_FAILED" and got["f.doc"][3] == "LEGACY_OFFICE_FORMAT"
+    assert got["g.bin"][3] == "UNSUPPORTED_FILE_TYPE" and got["h.txt"][3] == "EXTRACTION_FAILED" and len(got) == len(rows)
 
 
 def test_stream_folder(spark, tmp_path):
