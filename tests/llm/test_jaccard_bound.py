@@ -55,3 +55,31 @@ def test_bound_holds_between(spark):
     bound = jaccard_join._least_shared_between(F.col("n"), F.col("m"), F.col("high")).alias("b")
     for r in rows.withColumn("high", F.explode(F.sequence("m", F.floor(F.col("n") * 4 / 3)))).select("n", "m", "high", bound).collect():
         assert r.b <= min(exact[r.n, m] for m in range(r.m, r.high + 1)) and r.high <= math.floor(r.n * 4 / 3)
+
+
+def test_hot_keys_null_ids_and_shared_hashes(spark, monkeypatch):
+    """The same components when keys count as hot, when sets share a half of their hash, and for rows without an id."""
+    from paperloom.llm import common
+
+    texts = _groups(np.random.default_rng(3), 60)
+    rows = [(i if i % 9 else None, " ".join(w)) for i, (_, w) in enumerate(texts)]
+    rows += [(1000 + i, " ".join(texts[0][1])) for i in range(50)] + [(2000 + i, t) for i, t in enumerate([None, "", " \t"] * 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def groups():
+        got = jaccard_join.near_duplicates(df).collect()
+        assert len(got) == len(rows) and all(r.component_id == r.doc_id for r in got if not r.n_shingles)
+        return sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id or -1) for r in got)
+
+    want = groups()
+    ids = {i: r[0] for i, r in enumerate(rows)}
+    brute = _components(texts)
+    members = {}
+    for i, root in brute.items():
+        members.setdefault(root, []).append(i)
+    least = {i: min((ids[j] for j in members[root] if ids[j] is not None), default=None) for i, root in brute.items()}
+    assert {r[1]: r[3] for r in want if not r[0] and r[1] < 1000} == {ids[i]: least[i] for i in brute if ids[i] is not None}
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    assert groups() == want
+    monkeypatch.setattr(jaccard_join, "_shared_hashes", lambda told: frozenset(r.c for r in told.where("kind = 0 and pmod(c, 3) = 0").select("c").distinct().collect()))
+    assert groups() == want
