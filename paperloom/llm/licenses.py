@@ -3,13 +3,16 @@
 Templates are word sequences, each with a key phrase that must be there. Their
 rarest words, by inverse document frequency over the scanned files, are the
 index: word -> (template, position). A file is looked up by the indexed words
-that it holds; a template all of whose rare words occur gets the places of the
-rarest one, which are intersected with the others' by relative position, and
-the key phrase is then verified word by word.
+that it holds; a template all of whose rare key words occur gets the places of
+the rarest one, which are intersected with the others' by relative position, and
+the key phrase is then verified word by word. The rare words of the rest of the
+template tell which of these places are scored: those where most of them stand.
 
 Defined results: null text counts as empty (no word, no place, empty labels,
 score 0). Texts of any length are scanned whole, each row on its own; extra
-columns are kept by ``scan_licenses``, whose results go to one struct column.
+columns are kept by ``scan_licenses``, whose results go to one struct column,
+``license``, with as many ``_`` behind as make its name free. No rows give no
+rows; ties of rarity go to the word that comes first in the template.
 """
 
 from __future__ import annotations
@@ -21,11 +24,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import ascii_lower, table
+from paperloom.llm.common import ascii_lower, free_name, table
 
 #: What parts words, in a text whose A-Z are lower-cased.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Indexed words of a template.
+#: Indexed words of a key phrase, and of the rest of its template.
 RARE = 3
 
 
@@ -77,11 +80,17 @@ def normal_words(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), GAPS, " ")), F.lit(" "))
 
 
-def inverse_frequencies(normal: DataFrame, templates: list[Template]) -> dict[str, float]:
+def _held(normal: Column, words: list[str]) -> Column:
+    """Which of ``words`` a normal text has; it is cut into words once."""
+    return F.array_intersect(F.split(F.trim(normal), " "), F.array(*map(F.lit, words)))
+
+
+def inverse_frequencies(docs: DataFrame, text: str, templates: list[Template]) -> dict[str, float]:
     """ln((1 + files) / (1 + files with the word)) for each template word, over all files."""
     words = sorted({w for t in templates for w in t.words})
-    counts = normal.select(*[F.count_if(F.contains("normal", F.lit(f" {w} "))).alias(f"w{i}") for i, w in enumerate(words)], F.count("*").alias("files")).head()
-    return {w: math.log((1 + counts["files"]) / (1 + counts[f"w{i}"])) for i, w in enumerate(words)}
+    held = F.explode(F.concat(_held(normal_words(F.col(text)), words), F.array(F.lit(""))))  # each file has the empty word
+    counts = {r.word: r.n for r in docs.select(held.alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    return {w: math.log((1 + counts.get("", 0)) / (1 + counts.get(w, 0))) for w in words}
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -98,9 +107,11 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: list[Template]
 
     The score is the largest part of a template's words that stand in place around a verified key phrase, 0 to 1.
     """
-    normal = docs.withColumn("normal", normal_words(F.col(text)))
-    idf = inverse_frequencies(normal, templates)
-    rare = {t: sorted(range(t.key_at, t.key_at + len(t.key_words)), key=lambda i: (-idf[t.words[i]], i))[:RARE] for t in templates}
+    idf = inverse_frequencies(docs, text, templates)
+    by_rarity = lambda t, places: sorted(places, key=lambda i: (-idf[t.words[i]], i))[:RARE]
+    in_key = lambda t: range(t.key_at, t.key_at + len(t.key_words))
+    rare = {t: by_rarity(t, in_key(t)) for t in templates}
+    beside = {t: by_rarity(t, [i for i in range(len(t.words)) if i not in in_key(t)]) for t in templates}
     indexed = sorted({t.words[i] for t in templates for i in rare[t]})
 
     def places(t: Template, words: Column, held: Column) -> Column:
@@ -115,8 +126,13 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: list[Template]
         return F.when(F.size(F.array_intersect(held, F.array(*map(F.lit, sorted(asked))))) == len(asked), sure).otherwise(F.array().cast("array<int>"))
 
     def coverage(t: Template, words: Column, starts: Column) -> Column:
+        there = lambda s, j: F.when(s - t.key_at + j >= 0, F.get(words, s - t.key_at + j)) == F.lit(t.words[j])
+        agree = lambda s: sum((F.coalesce(there(s, j).cast("int"), F.lit(0)) for j in beside[t]), F.lit(0))
         same = lambda s: F.filter(F.transform(F.array(*map(F.lit, t.words)), lambda w, j: F.when(s - t.key_at + j >= 0, F.get(words, s - t.key_at + j)) == w), lambda x: x)
-        return F.coalesce(F.array_max(F.transform(starts, lambda s: F.size(same(s)) / len(t.words))), F.lit(0.0))
+        scored = lambda some: F.coalesce(F.array_max(F.transform(some, lambda s: F.size(same(s)) / len(t.words))), F.lit(0.0))
+        if not beside[t]:
+            return F.when(F.size(starts) > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+        return _let(F.array_max(F.transform(starts, agree)), lambda most: scored(F.filter(starts, lambda s: agree(s) == most)))
 
     def matches(words: Column, held: Column) -> Column:
         one = lambda t: _let(places(t, words, held), lambda s: F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), s.alias("starts"), coverage(t, words, s).alias("part")))
@@ -131,12 +147,14 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: list[Template]
             F.coalesce(F.array_max(F.transform(found, lambda m: m["part"])), F.lit(0.0)).alias("score"),
         )
 
-    # The indexed words of a file; most hold no template's, and need no more work.
-    held = F.filter(F.array(*map(F.lit, indexed)), lambda w: F.contains("normal", F.concat(F.lit(" "), w, F.lit(" "))))
-    words = F.split(F.trim("normal"), " ")
-    n_words = F.when(F.length("normal") > 2, F.length("normal") - F.length(F.replace("normal", F.lit(" "), F.lit(""))) - 1).otherwise(0)
-    found = normal.withColumn("license", F.struct(n_words.cast("long").alias("n_words"), _let(held, lambda h: F.when(F.size(h) > 0, _let(words, lambda w: _let(matches(w, h), result)))).alias("found")))
-    return found.drop("normal")
+    # Most files hold no indexed word, and need no more work.
+    def license_of(normal: Column) -> Column:
+        words = F.split(F.trim(normal), " ")
+        n_words = F.when(F.length(normal) > 2, F.length(normal) - F.length(F.replace(normal, F.lit(" "), F.lit(""))) - 1).otherwise(0)
+        found = _let(_held(normal, indexed), lambda held: F.when(F.size(held) > 0, _let(words, lambda w: _let(matches(w, held), result))))
+        return F.struct(n_words.cast("long").alias("n_words"), found.alias("found"))
+
+    return docs.withColumn(free_name("license", docs.columns), _let(normal_words(F.col(text)), license_of))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ with the regular expression. A rule without mandatory trigrams scans all texts.
 
 Defined results: null text counts as empty and has no span. Texts of any length
 are scanned whole. Offsets count code points, end exclusive. Repeated rows are
-scanned each on their own; extra columns are kept, and results go to one column.
+scanned each on their own; extra columns are kept, and results go to one column,
+``secrets``, with as many ``_`` behind as make its name free. Spans that start
+together come in the order of the rules. No rows give no rows.
 A private key goes from its BEGIN to its END line, or to where its base64 lines end.
 """
 
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from re import _constants as sre  # the parsed form of a pattern
 from re import _parser as sre_parse
 
-from paperloom.llm.common import table
+from paperloom.llm.common import free_name, table
 
 
 @dataclass(frozen=True)
@@ -191,6 +193,16 @@ def scanner(rules: list[Rule] = RULES) -> Callable[[list[str | None]], list[list
     return scan
 
 
+#: The scanner of the rules that this Python worker has seen last.
+_scanner: list = [None, None]
+
+
+def _scanner_of(rules: list[Rule]) -> Callable[[list[str | None]], list[list[tuple[int, int, int]]]]:
+    if _scanner[0] != rules:
+        _scanner[:] = rules, scanner(rules)
+    return _scanner[1]
+
+
 def find_secrets(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES) -> DataFrame:
     """``docs`` with a column ``secrets``: an array of (kind, start, end), by start, then by the order of ``rules``."""
 
@@ -198,10 +210,10 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES)
     def scan_batch(texts):  # noqa: ANN001
         import pandas as pd
 
-        scan = scanner(rules)
+        scan = _scanner_of(rules)
         return pd.Series([[{"kind": rules[k].kind, "start": a, "end": b} for a, b, k in spans] for spans in scan(texts.tolist())])
 
-    return docs.withColumn("secrets", scan_batch(F.col(text)))
+    return docs.withColumn(free_name("secrets", docs.columns), scan_batch(F.col(text)))
 
 
 def mask_secrets(docs: DataFrame, text: str = "text", mask: str = "[secret]", rules: list[Rule] = RULES) -> DataFrame:
@@ -211,7 +223,7 @@ def mask_secrets(docs: DataFrame, text: str = "text", mask: str = "[secret]", ru
     def masked(texts):  # noqa: ANN001
         import pandas as pd
 
-        scan, out = scanner(rules), []
+        scan, out = _scanner_of(rules), []
         given = texts.tolist()
         for t, spans in zip(given, scan(given)):
             if spans:
