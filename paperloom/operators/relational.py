@@ -59,6 +59,7 @@ def provider_metrics(analyses: DataFrame, by: list[str]) -> DataFrame:
         F.floor(F.sum(F.coalesce("latency", F.lit(0))) / F.count("*") + 0.5).cast("long").alias("avg_latency"),
         F.coalesce(F.sum("tokens_in"), F.lit(0)).cast("long").alias("tokens_in"), F.coalesce(F.sum("tokens_out"), F.lit(0)).cast("long").alias("tokens_out"),
         round3(F.avg(F.coalesce("elements", F.lit(0)).cast("double"))).alias("avg_elements"), F.count_if(F.col("confidence") == "low").alias("n_low"),
+        *([round3(F.avg(F.coalesce("tables", F.lit(0)).cast("double"))).alias("avg_tables")] if "tables" in analyses.columns else []),
     )
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import detect, reply, text, triage
-from paperloom.operators import relational
+from paperloom.operators import records, relational
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,8 +143,8 @@ def duplicate_content(documents: DataFrame) -> DataFrame:
 def image_registry(documents: DataFrame) -> DataFrame:
     marked = relational.duplicates_of(documents, ["source"], F.md5("text"), "doc_id", F.concat(F.lit("img-"), F.col("doc_id").cast("string")))
     verdict = triage.image_verdict(F.col("duplicate_of"), F.when(F.col("n_chars") % 7 != 0, "image/png"), (F.col("n_chars") % 100).cast("int"), F.lit(100))
-    number = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return marked.select("doc_id", F.concat(F.lit("img-"), number.cast("string")).alias("image_id"), verdict["reason"].alias("reason"))
+    numbered = records.number_within(marked.select("source", "doc_id", verdict["reason"].alias("reason")), "source", "doc_id", "number")
+    return numbered.select("doc_id", F.concat(F.lit("img-"), F.col("number").cast("string")).alias("image_id"), "reason")
 
 
 @query("documents", "SELECT doc_id FROM documents WHERE md5(text) IN (SELECT md5(text) FROM documents WHERE source = 'src0')")
@@ -164,9 +164,25 @@ def lru_survivors(events: DataFrame) -> DataFrame:
     return relational.survivors(events, "user_id", F.col("event_id"), 50)
 
 
-@query("documents", """SELECT source, string_agg('## doc-' || doc_id || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id) AS text, count(*)::BIGINT AS n_children FROM documents WHERE text <> '' GROUP BY source""")
+#: Documents of a source in one archive at most, so that an archive is one row of bounded size.
+_ARCHIVE = 1_000
+_ARCHIVE_SQL = f"source || '/' || (doc_id // {_ARCHIVE})"
+
+
+def _archived(documents: DataFrame) -> DataFrame:
+    return documents.withColumn("archive", F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / _ARCHIVE).cast("string")))
+
+
+@query("documents", f"""SELECT {_ARCHIVE_SQL} AS archive, string_agg('## doc-' || doc_id || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id) AS text, count(*)::BIGINT AS n_children FROM documents WHERE text <> '' GROUP BY ALL""")
 def archive_rollup_text(documents: DataFrame) -> DataFrame:
-    return relational.roll_up_text(documents, "source", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), "text", "doc_id")
+    return relational.roll_up_text(_archived(documents), "archive", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), "text", "doc_id")
+
+
+@query("documents", """SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number, 'doc-' || doc_id AS title, length(text) < 40 AS needs_vision, 'see child document' AS reason FROM documents""")
+def archive_sections(documents: DataFrame) -> DataFrame:
+    """The children of an archive of any size, as numbered rows."""
+    numbered = records.number_within(documents, "source", "doc_id", "number")
+    return numbered.select("source", "number", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"), (F.length("text") < 40).alias("needs_vision"), F.lit("see child document").alias("reason"))
 
 
 @query("documents", "SELECT source, bool_or(length(text) < 40) AS needs_vision, count(*)::BIGINT AS n_children, sum(length(text))::BIGINT AS characters FROM documents GROUP BY source")
@@ -174,15 +190,15 @@ def archive_child_verdict(documents: DataFrame) -> DataFrame:
     return documents.groupBy("source").agg(F.bool_or(F.length("text") < 40).alias("needs_vision"), F.count("*").alias("n_children"), F.sum(F.length("text")).cast("long").alias("characters"))
 
 
-@query("documents", """WITH RECURSIVE o AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
-  f AS (SELECT source, i, CASE WHEN n_chars <= 30000 THEN n_chars ELSE 0 END AS s, n_chars <= 30000 AS ok FROM o WHERE i = 1
-  UNION ALL SELECT o.source, o.i, CASE WHEN f.s + o.n_chars <= 30000 THEN f.s + o.n_chars ELSE f.s END, f.s + o.n_chars <= 30000 FROM f JOIN o ON o.source = f.source AND o.i = f.i + 1)
-  SELECT source, sum(ok::INT)::BIGINT AS n_taken, count(*)::BIGINT AS n FROM f GROUP BY source""")
+@query("documents", f"""WITH RECURSIVE d AS (SELECT *, {_ARCHIVE_SQL} AS archive FROM documents), o AS (SELECT archive, n_chars, row_number() OVER (PARTITION BY archive ORDER BY doc_id) AS i FROM d),
+  f AS (SELECT archive, i, CASE WHEN n_chars <= 30000 THEN n_chars ELSE 0 END AS s, n_chars <= 30000 AS ok FROM o WHERE i = 1
+  UNION ALL SELECT o.archive, o.i, CASE WHEN f.s + o.n_chars <= 30000 THEN f.s + o.n_chars ELSE f.s END, f.s + o.n_chars <= 30000 FROM f JOIN o ON o.archive = f.archive AND o.i = f.i + 1)
+  SELECT archive, sum(ok::INT)::BIGINT AS n_taken, count(*)::BIGINT AS n FROM f GROUP BY archive""")
 def zip_refusal(documents: DataFrame) -> DataFrame:
     # What is larger than the limit is never taken, so it needs no place in the array.
     fits = F.when(F.col("n_chars") <= 30_000, F.struct("doc_id", "n_chars"))
-    entries = documents.groupBy("source").agg(F.array_sort(F.collect_list(fits)).alias("e"), F.count("*").cast("long").alias("n"))
-    return entries.select("source", relational.admitted(F.transform("e", lambda x: x["n_chars"]), 30_000).alias("n_taken"), "n")
+    entries = _archived(documents).groupBy("archive").agg(F.array_sort(F.collect_list(fits)).alias("e"), F.count("*").cast("long").alias("n"))
+    return entries.select("archive", relational.admitted(F.transform("e", lambda x: x["n_chars"]), 30_000).alias("n_taken"), "n")
 
 
 @query("lineitem", """SELECT l_suppkey, min(l_partkey) AS first_block, max(l_partkey) AS last_block, count(*)::BIGINT AS blocks FROM (SELECT l_suppkey, l_partkey, l_partkey - row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS g

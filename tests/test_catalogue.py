@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from paperloom.plans import files  # noqa: F401  (adds to the catalogue)
+from paperloom.plans import files, records  # noqa: F401  (these add to the catalogue)
 from paperloom.plans.catalogue import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
