@@ -90,6 +90,15 @@ def free_name(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def cuts_below(cuts: list, value: Column) -> Column:
+    """How many of the sorted cuts are less than a value: found among groups of cuts first, then within one."""
+    step = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    less = lambda some: F.size(F.filter(some, lambda c: c < value))
+    found = F.transform(F.array(less(F.lit([g[0] for g in groups]))), lambda g: F.when(g == 0, F.lit(0)).otherwise((g - 1) * step + less(F.get(F.lit(groups), g - 1))))
+    return F.element_at(found, 1)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

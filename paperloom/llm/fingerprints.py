@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import materialize, table
+from paperloom.llm.common import cuts_below, materialize, table
 
 #: A paragraph: a line, in pieces of so many characters at most.
 PARAGRAPH = r"[^\n]{1,320}\n?"
@@ -156,15 +156,6 @@ def serialise(n: Column, cells: Column) -> Column:
     return F.concat_ws(":", F.hex(n), F.array_join(F.transform(F.flatten(F.array(*[cells[f"t{t}"] for t in range(TABLES)])), lambda c: F.when((c["n"] == 0) & (c["k"] == 0), F.lit("")).otherwise(F.concat_ws(".", F.hex(c["n"]), F.hex(c["k"]), F.hex(c["c"])))), ":"))
 
 
-def _below(cuts: list[int], value: Column) -> Column:
-    """How many of the sorted cuts are less than a value: found in groups of cuts first, then within one."""
-    step = max(1, int(len(cuts) ** 0.5))
-    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    less = lambda some: F.size(F.filter(some, lambda c: c < value))
-    firsts, held = F.lit([g[0] for g in groups]), F.lit(groups)
-    return _let(less(firsts), lambda g: F.when(g == 0, F.lit(0)).otherwise((g - 1) * step + less(F.get(held, g - 1))))
-
-
 def with_next(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, digests, next_text, next_digests): each row with the next one by descending id; after the last comes the first.
 
@@ -176,7 +167,7 @@ def with_next(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Dat
     k = max(1, min(MOST_BUCKETS, told["n"] // ROWS_PER_BUCKET))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 50_000)).head()[0] if k > 1 and told["top"] is not None else []
     cuts = sorted({c for c in cuts if c < told["top"]})
-    bucket = _below(cuts, F.col("doc_id")) if cuts else F.lit(0)
+    bucket = cuts_below(cuts, F.col("doc_id")) if cuts else F.lit(0)
     bucket = F.coalesce(F.when(F.col("doc_id").isNull(), 0).otherwise(bucket), F.lit(0))
     places = [F.struct(bucket.alias("bucket"), F.lit(0).alias("guest"))]
     if cuts:

@@ -20,17 +20,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import materialize, table, word_count
+from paperloom.llm.common import cuts_below, materialize, table, word_count
 
 #: Fixed value: weights of sources in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
-ROWS_PER_BUCKET = 20_000
-MOST_BUCKETS = 256
+LEAST_QUALITY = 1e-3
+#: Rows of a window task, about; keys are cut at MOST_BUCKETS quantiles at most.
+ROWS_PER_BUCKET = 2_000
+MOST_BUCKETS = 4_096
 
 
 def text_quality(text: Column) -> Column:
-    """Between 0.25 and 1: less for texts with many symbols for their length."""
+    """Between 0.25 and 1, where no quality is known: less for texts with many symbols for their length."""
     odd = F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s.,;:'()-]"))
     return F.coalesce(F.greatest(F.lit(0.25), 1 - 5 * odd / F.greatest(F.length(text), F.lit(1))), F.lit(0.25))
 
@@ -56,18 +58,25 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     return level.select("source", "source_size", "weight", F.coalesce(F.least(F.col("cap"), F.col("level") * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
-    """doc_id, text_hash, size, source_size, target, taken, epochs for every row of ``docs``."""
+def mix_sources(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, seed: int = 7, quality: Column | None = None) -> DataFrame:
+    """doc_id, text_hash, size, source_size, target, taken, epochs for every row of ``docs``.
+
+    ``quality`` is a positive weight of each row, such as the probability that ``classify_quality`` gives; a document
+    of twice the weight is as likely to be taken first as two others. Null, zero, NaN or less count as LEAST_QUALITY. Without it
+    ``text_quality`` is the weight.
+    """
+    given = text_quality(F.col(text)) if quality is None else F.when(quality.isNull() | F.isnan(quality), LEAST_QUALITY).otherwise(F.greatest(quality, F.lit(LEAST_QUALITY)))
     hashed = F.xxhash64(F.col(ident).cast("string"), F.lit(seed))
     u = (F.pmod(hashed, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     rows = materialize(
-        docs.select(F.col(ident).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("text_hash"), (-F.log(u) / text_quality(F.col(text))).alias("key")),
+        docs.select(F.col(ident).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("text_hash"), (-F.log(u) / given).alias("key")),
         "mix",
     )
     n = rows.count()
     buckets = max(8, min(MOST_BUCKETS, n // ROWS_PER_BUCKET))
-    cuts = rows.agg(F.percentile_approx("key", [i / buckets for i in range(1, buckets)], 10_000)).head()[0] or []
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("key"))) if cuts else F.lit(0)
+    cuts = rows.agg(F.percentile_approx("key", [i / buckets for i in range(1, buckets)], 50_000)).head()[0] or []
+    cuts = sorted(set(cuts))
+    bucket = cuts_below(cuts, F.col("key")) if cuts else F.lit(0)
     rows = rows.withColumn("bucket", bucket)
     same = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))  # so that null is a key like others
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -79,7 +88,7 @@ def mix_sources(docs: DataFrame, ident: str = "doc_id", source: str = "source",
     full = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST_EPOCHS))).otherwise(0)
     rest = F.col("target") - F.col("full") * F.col("source_size")
     chosen = (F.col("full") < MOST_EPOCHS) & (F.col("size") > 0) & (F.col("upto") - F.col("size") / 2 <= rest)
-    return placed.withColumn("full", full).withColumn("epochs", (F.col("full") + chosen.cast("int")).cast("int")).select(
+    return placed.withColumn("full", full).withColumn("epochs", F.when(F.col("size") > 0, F.col("full") + chosen.cast("int")).otherwise(0).cast("int")).select(
         "doc_id", "source", "text_hash", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("epochs") * F.col("size")).cast("long").alias("taken"), "epochs"
     )
 

@@ -1,10 +1,12 @@
 """Quality classification by hierarchical empirical Bayes.
 
 A document classifier (naive Bayes over hashed words and marks, fitted on a
-bounded sample of labelled rows) gives each document's log odds. Labels and
+bounded sample of labelled rows) gives each document's log odds; their slope and
+offset come from labelled rows that the weights have not seen. Labels and
 these odds are summed by host and by path below it; a path's rate of good
 documents shrinks towards its host's, a host's towards the global one, by so
-many pseudo-documents as the spread between hosts (or paths) suggests. The
+many pseudo-documents as the spread between hosts (or paths) suggests. A
+document's own label, or odds, are taken out of the rates that it meets. The
 posterior adds the site's log odds, relative to the global ones, to the
 document's.
 
@@ -24,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import materialize, table
+from paperloom.llm.common import materialize, skew_join, table
 
 BITS = 14
 #: Labelled rows that the classifier is fitted on, about; a document is dropped below KEEP.
 MOST_LABELLED = 20_000
 KEEP = 0.2
+#: The slope of the log odds where no held-out rows tell.
+SLOPE = 8.0
 FEATURES = re.compile(r"\w+|[^\w\s]")
 
 
@@ -62,24 +66,55 @@ def fit_classifier(labelled: DataFrame, text: str, good: str, most: int = MOST_L
             at = np.flatnonzero(sums.ravel())
             yield pa.RecordBatch.from_pydict({"f": at, "n": sums.ravel()[at]})
 
+    held_out = F.pmod(F.xxhash64(text, F.lit(3)), F.lit(3)) == 0
     sums = np.zeros(2 << BITS)
-    pdf = sample.mapInArrow(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
+    pdf = sample.where(~held_out).mapInArrow(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
     sums[pdf["f"].to_numpy(np.int64)] = pdf["n"]
     bad, fine = sums.reshape(2, -1)
     totals = {r.g: r["count"] for r in sample.groupBy("g").count().collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
-    weights = np.log((fine + 1) / (n1 + 2)) - np.log((bad + 1) / (n0 + 2))
+    weights = np.log((fine + 1) / (2 * n1 / 3 + 2)) - np.log((bad + 1) / (2 * n0 / 3 + 2))
     weights[(fine + bad) < 2] = 0
-    return weights.astype(np.float32), 8.0, float(np.log((n1 + 1) / (n0 + 1)))
+    weights = weights.astype(np.float32)
+    prior = float(np.log((n1 + 1) / (n0 + 1)))
 
+    def mean_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"m": pa.array([_mean_weight(weights, t) for t in batch.column(0).to_pylist()], pa.float64()), "g": batch.column(1)})
 
-def _log_odds(weights: np.ndarray, slope: float, text: str | None) -> float:
+    told = sample.where(held_out).mapInArrow(mean_weights, "m double, g int").toPandas()
+    return weights, *_calibrated(told["m"].to_numpy(float), told["g"].to_numpy(float), prior)
+
+
+def _calibrated(x: np.ndarray, good: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and offset of the log odds over held-out rows, by Newton's method; drawn to SLOPE and the prior where rows are few."""
+    at = np.array([SLOPE, prior])
+    if not 0 < good.sum() < len(good):
+        return SLOPE, prior
+    design, least = np.stack((x, np.ones(len(x))), 1), np.array([1 / SLOPE**2, 1.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(design @ at, -30, 30)))
+        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + np.diag(least), design.T @ (good - p) - least * (at - (SLOPE, prior)))
+        at = at + np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-6:
+            break
+    return float(max(at[0], 0.0)), float(at[1])
+
+
+def _mean_weight(weights: np.ndarray, text: str | None) -> float:
     f = _features(text)
-    return float(np.clip(slope * weights[f].mean(), -12, 12)) if len(f) else 0.0
+    return float(weights[f].mean()) if len(f) else 0.0
+
+
+def _log_odds(weights: np.ndarray, slope: float, text: str | None) -> float:
+    return float(np.clip(slope * _mean_weight(weights, text), -12, 12))
 
 
 def site_posteriors(scored: DataFrame) -> DataFrame:
-    """(host, path) with the shrunken rate of good documents, from (host, path, p): labels where known, else the classifier's."""
+    """(host, path, good, n, h_good, h_n, s_host, s_path, mean) from (host, path, p): sums of p, and by how many pseudo-documents they shrink.
+
+    p is the label where it is known, else the classifier's. ``shrunken`` makes rates of these.
+    """
     path = scored.groupBy("host", "path").agg(F.sum("p").alias("good"), F.count("*").alias("n"))
     host = path.groupBy("host").agg(F.sum("good").alias("h_good"), F.sum("n").alias("h_n"))
     told = host.agg(F.sum("h_good").alias("g"), F.sum("h_n").alias("n"), F.sum(F.pow("h_good", F.lit(2)) / F.col("h_n")).alias("s"), F.count("*").alias("k")).head()
@@ -93,11 +128,16 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     s_host = strength(told["s"] or 0.0, told["k"] or 0, told["n"] or 0)
     inner = path.agg(F.sum(F.pow("good", F.lit(2)) / F.col("n")).alias("s"), F.count("*").alias("k")).head()
     s_path = strength(inner["s"] or 0.0, inner["k"] or 0, told["n"] or 0)
-    host = host.withColumn("host_rate", (F.col("h_good") + s_host * mean) / (F.col("h_n") + s_host))
     same = F.coalesce(F.concat(F.lit("s"), F.col("host")), F.lit("n"))
-    joined = path.withColumn("hk", same).join(host.select(same.alias("hk"), "host_rate"), "hk")
-    rate = (F.col("good") + s_path * F.col("host_rate")) / (F.col("n") + s_path)
-    return joined.select("host", "path", "host_rate", rate.alias("path_rate"), F.lit(mean).alias("mean"))
+    joined = path.withColumn("hk", same).join(host.select(same.alias("hk"), "h_good", "h_n"), "hk")
+    return joined.select("host", "path", "good", "n", "h_good", "h_n", F.lit(s_host).alias("s_host"), F.lit(s_path).alias("s_path"), F.lit(mean).alias("mean"))
+
+
+def shrunken(own: Column | None = None) -> tuple[Column, Column]:
+    """(host_rate, path_rate) of a row of ``site_posteriors``; without the document that has ``own`` for p."""
+    less, one = (F.lit(0.0), 0) if own is None else (own, 1)
+    host = (F.col("h_good") - less + F.col("s_host") * F.col("mean")) / (F.col("h_n") - one + F.col("s_host"))
+    return host, (F.col("good") - less + F.col("s_path") * host) / (F.col("n") - one + F.col("s_path"))
 
 
 def _logit(p: Column) -> Column:
@@ -119,11 +159,12 @@ def classify_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Col
         return pd.Series([_log_odds(*shared.value, t) for t in texts.tolist()])
 
     scored = materialize(rows.withColumn("doc_log_odds", odds("text") + F.lit(offset)).select("doc_id", "host", "path", "doc_log_odds").join(known, "doc_id", "left"), "quality")
-    p = F.coalesce(F.col("good").cast("double"), 1 / (1 + F.exp(-F.col("doc_log_odds"))))
-    sites = site_posteriors(scored.select("host", "path", p.alias("p")))
-    key = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("n"))
-    sites = sites.select(key("host").alias("hk"), key("path").alias("pk"), "host_rate", "path_rate", "mean")
-    joined = scored.withColumn("hk", key("host")).withColumn("pk", key("path")).join(sites, ["hk", "pk"])
+    scored = scored.withColumn("p", F.coalesce(F.col("good").cast("double"), 1 / (1 + F.exp(-F.col("doc_log_odds"))))).drop("good")
+    key = F.concat_ws("/", *[F.coalesce(F.concat(F.lit("s"), F.hex(c)), F.lit("n")) for c in ("host", "path")])
+    sites = site_posteriors(scored.select("host", "path", "p")).withColumn("site", key).drop("host", "path")
+    joined = skew_join(scored.withColumn("site", key), sites.withColumn("size", F.col("n")), "site", "size")
+    host_rate, path_rate = shrunken(F.col("p"))
+    joined = joined.withColumn("host_rate", host_rate).withColumn("path_rate", path_rate)
     quality = 1 / (1 + F.exp(-(F.col("doc_log_odds") + _logit(F.col("path_rate")) - _logit(F.col("mean")))))
     return joined.select("doc_id", "host", "path", "doc_log_odds", "host_rate", "path_rate", quality.alias("quality")).withColumn("keep", F.col("quality") >= KEEP)
 

@@ -6,7 +6,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from paperloom.llm import fingerprints
+from paperloom.llm import common, fingerprints
 
 
 def _likeness(a, b):
@@ -73,5 +73,5 @@ def test_next_over_many_buckets(spark):
     got = {r.doc_id: r.next_text for r in fingerprints.with_next(df).select("doc_id", "next_text").collect()}
     assert got == {i: f"t{ids[k - 1]}" for k, i in enumerate(ids)}
     cuts = ids[::7]
-    value = df.select("doc_id", fingerprints._below(cuts, F.col("doc_id")).alias("n")).collect()
+    value = df.select("doc_id", common.cuts_below(cuts, F.col("doc_id")).alias("n")).collect()
     assert all(r.n == sum(c < r.doc_id for c in cuts) for r in value[:300])
