@@ -11,12 +11,24 @@ from pyspark.sql import functions as F
 WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
-def _rewrite(text: Column, rules: list[tuple[str, str]]) -> Column:
-    return reduce(lambda t, rule: F.regexp_replace(t, rule[0], rule[1]), rules, text)
+#: The same characters, one by one.
+WS_CHARACTERS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def _rewrite(text: Column, rules: list[tuple]) -> Column:
+    """Rules (pattern, replacement, strings) in order; one with strings is only tried on texts that have one of these, which any match holds."""
+
+    def one(t: Column, pattern: str, said: str, *strings: str) -> Column:
+        if not strings:
+            return F.regexp_replace(t, pattern, said)
+        some = lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(s)) for s in strings])
+        return F.element_at(F.transform(F.array(t), lambda x: F.when(some(x), F.regexp_replace(x, pattern, said)).otherwise(x)), 1)
+
+    return reduce(lambda t, rule: one(t, *rule), rules, text)
 
 
 def trim_ws(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(text, F.lit(WS_CHARACTERS))
 
 
 def normalize_ws(text: Column) -> Column:
@@ -28,29 +40,29 @@ def word_count(text: Column) -> Column:
 
 
 def utf16_length(text: Column) -> Column:
-    """Length in UTF-16 units."""
-    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long")
+    """Length in UTF-16 units; without a character of four bytes that is the number of characters."""
+    return F.when(F.octet_length(text) == F.length(text), F.length(text).cast("long")).otherwise((F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long"))
 
 
 def markdown_to_text(markdown: Column) -> Column:
     """Plain text of Markdown: no images, links by their text, no rules, heading marks, emphasis or table bars."""
     return trim_ws(_rewrite(markdown, [
-        (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", "$1"),
-        (rf"(?<=\A|[\n\r\x{{2028}}\x{{2029}}]){WS}*\|?{WS}*:?-{{3,}}[^\n\r\x{{2028}}\x{{2029}}]*(?=[\n\r\x{{2028}}\x{{2029}}]|\z)", ""),
-        (rf"(?<=\A|[\n\r\x{{2028}}\x{{2029}}])#{{1,6}}{WS}+", ""), (r"[*_`>]+", ""), (rf"{WS}*\|{WS}*", " "), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"),
+        (r"!\[[^\]]*\]\([^)]*\)", " ", "!["), (r"\[([^\]]*)\]\([^)]*\)", "$1", "]("),
+        (rf"(?<=\A|[\n\r\x{{2028}}\x{{2029}}]){WS}*\|?{WS}*:?-{{3,}}[^\n\r\x{{2028}}\x{{2029}}]*(?=[\n\r\x{{2028}}\x{{2029}}]|\z)", "", "---"),
+        (rf"(?<=\A|[\n\r\x{{2028}}\x{{2029}}])#{{1,6}}{WS}+", "", "#"), (r"[*_`>]+", "", "*", "_", "`", ">"), (rf"{WS}*+\|{WS}*+", " ", "|"), (r"[ \t]+", " ", "  ", "\t"), (r"\n{3,}", "\n\n", "\n\n\n"),
     ]))
 
 
 def html_to_text(html: Column) -> Column:
     """Text of HTML or XML: script, style and comments go, blocks end in blank lines, five entities are decoded."""
     stripped = _rewrite(html, [
-        (r"(?is)<(script|style).*?</\1>", " "), (r"(?s)<!--.*?-->", " "), (r"(?i)<br\s*/?>", "\n"),
+        (r"(?is)<(script|style).*?</\1>", " "), (r"(?s)<!--.*?-->", " ", "<!--"), (r"(?i)<br\s*/?>", "\n"),
         (r"(?i)</(p|div|li|tr|h[0-9]|section|article|table|ul|ol)>", "\n\n"), (r"<[^>]+>", " "),
     ])
     decoded = stripped
     for entity, said in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         decoded = F.replace(decoded, F.lit(entity), F.lit(said))
-    return trim_ws(_rewrite(decoded, [(r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n")]))
+    return trim_ws(_rewrite(decoded, [(r"[ \t]+", " ", "  ", "\t"), (r" *\n *", "\n", " \n", "\n "), (r"\n{3,}", "\n\n", "\n\n\n")]))
 
 
 def safe_name(name: Column) -> Column:
