@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions.text import pdf_date
 from paperloom.functions.triage import page_verdict
 from paperloom.sources.packages import _expand
 
@@ -181,6 +182,29 @@ def pdf_pages(files: DataFrame, name: str = "path", content: str = "content") ->
     return pages.withColumn("v", page_verdict(F.col("text"), F.col("images"), F.col("paths"))).select("path", "number", "text", "images", "paths", "v.needs_vision", "v.reason", "error")
 
 
+#: What a file's information dictionary is asked for.
+INFO = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer", "CreationDate", "ModDate")
+
+
+def _info(data: bytes) -> Iterator[tuple]:
+    objects = _objects(data or b"")
+    m = re.search(rb"/Info\s+(\d+)\s+\d+\s+R", (data or b"")[::-1][:4096][::-1]) or re.search(rb"/Info\s+(\d+)\s+\d+\s+R", data or b"")
+    head = objects.get(int(m[1]), (b"", b""))[0] if m else b""
+    for key in INFO:
+        found = re.search(rb"/" + key.encode() + rb"\s*(?:(\((?:[^()\\]|\\.)*\))|<([0-9A-Fa-f\s]*)>)", head, re.DOTALL)
+        if found:
+            raw = _literal(found[1]) if found[1] else bytes.fromhex(b"".join(found[2].split()).decode().ljust(2, "0"))
+            text = raw[2:].decode("utf-16-be", "replace") if raw.startswith(b"\xfe\xff") else raw.decode("cp1252", "replace")
+            if text.strip():
+                yield key, text.strip()
+
+
+def pdf_metadata(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
+    """(path, key, value, error) of what the information dictionary says; dates in ISO form."""
+    found = _expand(files, name, content, "key string, value string", _info, "EXTRACTION_FAILED")
+    return found.withColumn("value", F.when(F.col("key").endswith("Date"), pdf_date(F.col("value"))).otherwise(F.col("value")))
+
+
 def pdf_file(pages: Column) -> Column:
     """The bytes of a PDF file of an array of page texts; the inverse of ``pdf_pages``."""
     obj = lambda n, x: F.concat(n.cast("string"), F.lit(" 0 obj\n"), x, F.lit("\nendobj\n"))

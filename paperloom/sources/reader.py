@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import reduce
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -152,6 +154,8 @@ def _sheets(files: DataFrame) -> DataFrame:
 def _pages(files: DataFrame) -> DataFrame:
     pages = pdf.pdf_pages(files)
     held = _gathered(pages, ["number"], section=_section("page", F.col("number"), F.col("text"), F.col("needs_vision"), F.col("reason")), said=F.col("text"))
+    told = pdf.pdf_metadata(files).where("error is null and key is not null").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("metadata"))
+    held = held.join(told, "path", "left")
     ok = F.col("error").isNull()
     cut = F.when(F.size("section") >= pdf.MOST_PAGES, F.array(F.lit(f"Only the first {pdf.MOST_PAGES} pages were read.")))
     return _record(held, kind=F.lit("pdf"), text=F.when(ok, _joined(F.col("said"), "\n\n")), sections=F.when(ok, F.col("section")), units=F.when(ok, F.size("section")), warnings=cut)
@@ -211,16 +215,64 @@ def _read(files: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [read(told.where(F.col("kind") == k)) for k, read in READERS.items()], others)
 
 
-def read_documents(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
+class Converter(Protocol):
+    """Makes Markdown of a file; none if it can't. Runs in the tasks."""
+
+    def convert(self, name: str, content: bytes) -> str | None: ...
+
+
+#: Types that a converter is asked for, and characters of its Markdown that are kept.
+CONVERTED, MOST_MARKDOWN = ("docx", "pptx", "xlsx", "xls", "text"), 200_000
+
+
+def _converted(files: DataFrame, converter: Converter) -> DataFrame:
+    """(path, made, warning): a converter's Markdown of each file of a type that it takes; a failure is a warning."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, data in zip(batch["path"], batch["content"]):
+                made, warning = None, None
+                try:
+                    made = converter.convert(path, data) or None
+                    if made and len(made) > MOST_MARKDOWN:
+                        made, warning = made[:MOST_MARKDOWN], f"Markdown cut at {MOST_MARKDOWN} characters."
+                    elif not made:
+                        warning = "The converter gave nothing."
+                except Exception as e:  # noqa: BLE001 (whatever a converter raises is a warning)
+                    warning = f"The converter failed: {type(e).__name__}"
+                rows.append((path, made, warning))
+            yield pd.DataFrame(rows, columns=["path", "made", "warning"], dtype=object)
+
+    plain = detect.extension(F.col("path")).isin("txt", "md")
+    return files.where(F.col("kind").isin(*CONVERTED) & ~plain & F.col("content").isNotNull()).select("path", "content").mapInPandas(run, "path string, made string, warning string")
+
+
+def _with_converted(found: DataFrame, made: DataFrame) -> DataFrame:
+    """A converter's Markdown comes first, the own reader's stays where it gave none; the text of slides is the own reader's."""
+    rows, got = found.join(made, "path", "left"), F.col("made").isNotNull()
+    said = text.markdown_to_text(F.col("made"))
+    body = got & F.col("kind").isin("docx", "xls", "text")
+    reason = F.when(F.col("kind") == "xls", "tabular data").when(F.col("kind") == "docx", "text document").otherwise("text file")
+    return rows.select(*[{
+        "text": F.when(got & (F.col("kind") != "pptx"), said).otherwise(F.col("text")), "markdown": F.coalesce("made", "markdown"),
+        "units": F.when(body, 1).otherwise(F.col("units")), "sections": F.when(body, F.array(_section("body", F.lit(1), said, reason=reason))).otherwise(F.col("sections")),
+        "warnings": F.when(F.col("warning").isNotNull(), F.concat("warnings", F.array("warning"))).otherwise(F.col("warnings")), "error": F.when(~(got & (F.col("kind") == "xls")), F.col("error")),
+    }.get(n, F.col(n)).alias(n) for n in RECORD])
+
+
+def read_documents(files: DataFrame, name: str = "path", content: str = "content", converter: Converter | None = None) -> DataFrame:
     """A record (see RECORD, with ``stats``) of each file: text, Markdown, sections, pictures, charts, metadata, warnings; units are pages, slides, sheets, files.
 
     Only files that need a parser go to Python; each type is one pass over ``files``. Types without a reader and unknown
     ones give UNSUPPORTED_FILE_TYPE, old office files LEGACY_OFFICE_FORMAT or NEEDS_MARKITDOWN, unreadable ones the
-    reader's error; a limit that cuts something is a warning. Paths are unique.
+    reader's error; a limit that cuts something is a warning. Paths are unique. With a ``converter`` its Markdown comes first.
     """
     rows = files.select(F.col(name).cast("string").alias("path"), F.col(content).alias("content"))
     kind = detect.detect_type(F.col("path"), F.lit(None).cast("string"), F.substring(F.col("content"), 1, 8))
     found = _read(rows.where(~F.coalesce(kind == "zip", F.lit(False)))).unionByName(_archives(rows.where(kind == "zip")))
+    if converter is not None:
+        found = _with_converted(found, _converted(rows.withColumn("kind", kind), converter))
     return found.withColumn("stats", records.document_stats(F.col("text"), F.col("sections"), F.col("images"), F.col("charts")))
 
 
