@@ -67,9 +67,12 @@ HOT_ROWS = 50_000
 def skew_join(rows: DataFrame, small: DataFrame, key: str, size: str) -> DataFrame:
     """``rows`` joined by ``key`` with ``small``, which has one row for each key and, in ``size``, how many of ``rows`` have it.
 
-    The few keys that are hot are broadcast, so that their rows stay where they are.
+    The few keys that are hot, if any, are broadcast, so that their rows stay where they are. ``small`` is read twice: give a table.
     """
-    often, rest = small.where(F.col(size) > HOT_ROWS).drop(size), small.where(F.col(size) <= HOT_ROWS).drop(size)
+    hot = F.col(size) > HOT_ROWS
+    if not small.where(hot).head(1):
+        return rows.join(small.drop(size), key)
+    often, rest = small.where(hot).drop(size), small.where(~hot).drop(size)
     return rows.join(F.broadcast(often), key).unionByName(rows.join(F.broadcast(often.select(key)), key, "left_anti").join(rest, key))
 
 

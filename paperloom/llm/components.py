@@ -1,9 +1,9 @@
 """Connected components by alternating large and small stars, as Spark joins.
 
 Each round is two joins of the edges with the smallest neighbour of each node;
-no neighbourhood is gathered, nodes of very many neighbours are joined by
-broadcast (see ``skew_join``), and each round is written to the shared folder,
-where the round before it is deleted.
+no neighbourhood is gathered, and each round is written to the shared folder,
+where the round before it is deleted. Nodes of very many neighbours are skewed
+keys of these joins, which Spark splits at run time.
 
 Edges with a null end are ignored.
 """
@@ -13,19 +13,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import delete_table, skew_join, write_table
+from paperloom.llm.common import delete_table, write_table
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
-    return skew_join(both, low, "u", "degree").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Edges run from the larger node u to the smaller v."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
-    moved = skew_join(edges, low, "u", "degree").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 

@@ -327,6 +327,7 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text")
     found = components(linked).withColumnRenamed("node", "class")
     rooted = tables.write(classes.join(found, "class", "left").select("class", "id", "copies", F.coalesce("component", "class").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("size"))
+    least = tables.write(least, "least")
     named = tables.write(skew_join(rooted, least, "root", "size").select("class", "copies", "component_id"), "named")
     whole = skew_join(described.where("n_shingles > 0"), named, "class", "copies").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return whole.unionByName(described.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

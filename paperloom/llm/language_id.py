@@ -45,7 +45,7 @@ BITS = 18
 MOST_WEIGHTS = 1 << 23
 MOST_LANGUAGES = 256
 #: Code points handled at once; bounds the memory of a task whatever the batch.
-CHUNK = 1_000_000
+CHUNK = 250_000
 SWITCH_PENALTY = 12.0
 #: What a word costs in a language that does not use its script.
 FOREIGN_SCRIPT = -20.0

@@ -161,7 +161,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Col
     scored = materialize(rows.withColumn("doc_log_odds", odds("text") + F.lit(offset)).select("doc_id", "host", "path", "doc_log_odds").join(known, "doc_id", "left"), "quality")
     scored = scored.withColumn("p", F.coalesce(F.col("good").cast("double"), 1 / (1 + F.exp(-F.col("doc_log_odds"))))).drop("good")
     key = F.concat_ws("/", *[F.coalesce(F.concat(F.lit("s"), F.hex(c)), F.lit("n")) for c in ("host", "path")])
-    sites = site_posteriors(scored.select("host", "path", "p")).withColumn("site", key).drop("host", "path")
+    sites = materialize(site_posteriors(scored.select("host", "path", "p")).withColumn("site", key).drop("host", "path"), "sites")
     joined = skew_join(scored.withColumn("site", key), sites.withColumn("size", F.col("n")), "site", "size")
     host_rate, path_rate = shrunken(F.col("p"))
     joined = joined.withColumn("host_rate", host_rate).withColumn("path_rate", path_rate)
