@@ -39,11 +39,13 @@ from paperloom.llm.common import delete_table, table, write_table
 WORDS, LONGEST_WORD = 8, 48
 #: Labelled rows that are learnt from, about, of toxic and ordinary documents.
 MOST_TOXIC, MOST_ORDINARY = 3_000, 12_000
-#: Of a word of the toxic dictionary: different words before it, rate in toxic documents to that in ordinary ones.
-SUPPORT, CONTRAST = 6, 8.0
+#: Of a word, or first STEM characters of words, of the toxic dictionary: different words before it, rate in toxic documents to that in ordinary ones.
+SUPPORT, CONTRAST, STEM = 6, 8.0, 5
 #: Words and windows that are given to the training of a dictionary at most, the frequent words first.
 MOST_MARKS, MOST_WINDOWS = 20_000, 100_000
 TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 2_048, 32_768, 12
+#: Each window follows so many bytes of the ordinary dictionary's end, so that zstandard never leaves a short one uncompressed.
+LEAD = 48
 #: A document is toxic from this score on.
 TOXIC_FROM = 0.3
 #: Thresholds of the distance, in bytes, above which windows are counted.
@@ -85,8 +87,8 @@ class ToxicityModel:
                 held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 held.precompute_compress(level=LEVEL)
                 self._pair.append(zstandard.ZstdCompressor(dict_data=held, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False))
-        toxic, ordinary = self._pair
-        return np.fromiter((len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows(text)), np.int32)
+        (toxic, ordinary), lead = self._pair, self.ordinary[-LEAD:]
+        return np.fromiter((len(ordinary.compress(lead + w)) - len(toxic.compress(lead + w)) for w in windows(text)), np.int32)
 
     def features(self, text: str | None) -> np.ndarray:
         d = self.distances(text) if self.toxic and self.ordinary else np.zeros(0, np.int32)
@@ -155,7 +157,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, ident: str, l
 
 
 def marks(sample: DataFrame, n: dict[int, int]) -> list[tuple[str, int]]:
-    """(word, number of different words before it) of the words that set toxic documents apart."""
+    """(word, number of different words before it) of the words, and the stems of words, that set toxic documents apart; with the spaces beside them."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,13 +165,16 @@ def marks(sample: DataFrame, n: dict[int, int]) -> list[tuple[str, int]]:
             for t, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 before = ""
                 for m in _WORD.finditer(t.lower()):
-                    found.add((toxic, m[0], zlib.crc32(before.encode())))
+                    at = zlib.crc32(before.encode())
+                    found.add((toxic, f" {m[0]} ", at))
+                    if len(m[0]) > STEM:
+                        found.add((toxic, f" {m[0][:STEM]}", at))
                     before = m[0]
             yield pa.RecordBatch.from_pydict({"toxic": pa.array([f[0] for f in found], pa.int32()), "word": pa.array([f[1] for f in found], pa.string()), "before": pa.array([f[2] for f in found], pa.int64())})
 
     met = sample.select("text", "toxic").mapInArrow(pairs, "toxic int, word string, before long").distinct()
     words = met.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("o"))
-    apart = words.where((F.col("t") >= SUPPORT) & (F.col("t") / n[1] > CONTRAST * F.col("o") / n[0]))
+    apart = words.where((F.col("t") >= SUPPORT) & (F.col("t") / n[1] > CONTRAST * (F.col("o") + 1) / n[0]))
     return [(r["word"], r["t"]) for r in apart.orderBy(F.desc("t"), "word").limit(MOST_MARKS).collect()]
 
 
@@ -187,20 +192,30 @@ def ordinary_windows(sample: DataFrame) -> list[bytes]:
     return [bytes(r["w"]) for r in ordinary.select("text").mapInArrow(some, "w binary").distinct().orderBy(F.xxhash64("w"), "w").limit(2 * MOST_WINDOWS).collect()]
 
 
+def dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
+    """What is trained on toxic and on ordinary rows of ``sample``; empty where one of the two kinds has no rows, or nothing sets them apart."""
+    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if not (n.get(0) and n.get(1)):
+        return b"", b""
+    words = sorted(marks(sample, n), key=lambda w: (zlib.crc32(w[0].encode()), w))
+    # A word as often as different words stand before it, so that the frequent ones are kept.
+    repeats = [w.encode() for k in range(max((t for _, t in words), default=0)) for w, t in words if t > k]
+    toxic = trained(repeats[: 5 * MOST_MARKS], TOXIC_BYTES) if words else b""
+    for w, _ in sorted(words, key=lambda w: (-w[1], w)):
+        # The training may leave frequent words out for pieces of several; they follow while there is room.
+        if w.encode() not in toxic and len(toxic) + len(w.encode()) <= TOXIC_BYTES:
+            toxic += w.encode()
+    return toxic, trained(ordinary_windows(sample), ORDINARY_BYTES)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id", label: str = "toxic") -> ToxicityModel:
+    """The curve is calibrated on a third of the sample, with dictionaries of the rest; the model's own dictionaries are those of all of it."""
     spark = docs.sparkSession
     rows, prior = labelled_sample(docs, labels, text, ident, label)
     path = write_table(rows, "toxicity")
     sample = spark.read.schema("text string, toxic int").parquet(path)
     tune = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(3)) == 0
-    fit = sample.where(~tune)
-    n = {r["toxic"]: r["count"] for r in fit.groupBy("toxic").count().collect()}
-    model = ToxicityModel(prior=prior)
-    if n.get(0) and n.get(1):
-        words = sorted(marks(fit, n), key=lambda w: (zlib.crc32(w[0].encode()), w))
-        # A word as often as different words stand before it, so that the frequent ones are kept.
-        repeats = [f" {w} ".encode() for k in range(max((t for _, t in words), default=0)) for w, t in words if t > k]
-        model.toxic, model.ordinary = trained(repeats[: 5 * MOST_MARKS], TOXIC_BYTES), trained(ordinary_windows(fit), ORDINARY_BYTES)
+    model = ToxicityModel(*dictionaries(sample.where(~tune)), prior=prior)
     if model.toxic and model.ordinary:
 
         def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,11 +223,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", ident:
                 yield pa.RecordBatch.from_pydict({"x": pa.array([model.features(t).tolist() for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), "y": batch.column(1)})
 
         got = sample.where(tune).select("text", "toxic").mapInArrow(measured, "x array<double>, y int").collect()  # a third of the sample, some numbers each
-        if got:
-            order = sorted((list(r["x"]), r["y"]) for r in got)
-            model.weights = calibrated(np.array([x for x, _ in order]), np.array([y for _, y in order], float))
+        order = sorted((list(r["x"]), r["y"]) for r in got)
+        if order:
+            toxic, ordinary = dictionaries(sample)
+            model = ToxicityModel(toxic, ordinary, calibrated(np.array([x for x, _ in order]), np.array([y for _, y in order], float)), prior)
         else:
-            model.toxic = b""
+            model = ToxicityModel(prior=prior)
     delete_table(spark, path)
     return model
 
