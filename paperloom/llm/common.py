@@ -40,10 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def write_table(df: DataFrame, label: str) -> str:
-    """The path of a new table in the shared folder."""
+def write_table(df: DataFrame, label: str, *by: str) -> str:
+    """The path of a new table in the shared folder, in folders ``by`` columns if there are any."""
     path = f"{shared_dir(df.sparkSession)}/paperloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return path
 
 
