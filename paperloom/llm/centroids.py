@@ -21,28 +21,31 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import materialize, table
 
-#: Integers end here, and differences of two of them in a distance: 64 squares of the latter still fit a long.
-LARGEST, LONGEST = 1 << 61, 1 << 28
-#: Up to this size no difference needs an end.
-PLAIN = LONGEST >> 1
+#: Integers end here.
+LARGEST = 1 << 61
 MOST_LONG = (1 << 63) - 1
 
 
+def longest(dim: int) -> int:
+    """Differences of two integers end here: ``dim`` squares of it still fit a long."""
+    return isqrt(MOST_LONG // dim)
+
+
 def integers(v: Column, scale: int) -> Column:
     """floor(scale * x) of each component."""
     return F.transform(v, lambda x: F.floor(F.greatest(F.least(x.cast("double") * float(scale), F.lit(float(LARGEST))), F.lit(-float(LARGEST)))).cast("long"))
 
 
-def usable(v: Column, dim: int) -> Column:
-    """Exactly ``dim`` components, all of them numbers."""
-    whole = F.forall(v, lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    return F.coalesce((F.size(v) == dim) & whole, F.lit(False))
+def finite(v: Column) -> Column:
+    """All components are numbers."""
+    return F.coalesce(F.forall(v, lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))), F.lit(False))
 
 
 def literal(centroids: list[list[int]]) -> Column:
@@ -52,9 +55,10 @@ def literal(centroids: list[list[int]]) -> Column:
 
 def nearest(v: Column, centroids: list[list[int]], wide: bool) -> Column:
     """(distance, cluster) of the nearest centroid, the smaller number among equal ones. ``wide``: differences may need an end."""
+    end = longest(len(centroids[0]))
 
     def square(a: Column, b: Column) -> Column:
-        gap = F.greatest(F.least(a - b, F.lit(LONGEST)), F.lit(-LONGEST)) if wide else a - b
+        gap = F.greatest(F.least(a - b, F.lit(end)), F.lit(-end)) if wide else a - b
         return gap * gap
 
     def one(c: Column, i: Column) -> Column:
@@ -63,11 +67,6 @@ def nearest(v: Column, centroids: list[list[int]], wide: bool) -> Column:
     return F.array_min(F.transform(literal(centroids), one))
 
 
-def capped(total: Column) -> Column:
-    """A decimal as a long, the largest one where it does not fit."""
-    return F.least(total, F.lit(MOST_LONG).cast("decimal(38,0)")).cast("long")
-
-
 def updated(points: DataFrame, centroids: list[list[int]], wide: bool) -> list[list[int]]:
     """The centroids after a round over ``points`` (v)."""
     dim = len(centroids[0])
@@ -85,13 +84,13 @@ def cluster_vectors(vectors: DataFrame, ident: str = "vec_id", vector: str = "em
 
     The start is the ``k`` vectors with the smallest SHA-256 of ``salt`` and id.
     """
-    kept = vectors.where(usable(F.col(vector), dim)).select(F.col(ident).alias("id"), integers(F.col(vector), scale).alias("v"))
+    kept = vectors.where(finite(F.col(vector)) & (F.size(vector) == dim)).select(F.col(ident).alias("id"), integers(F.col(vector), scale).alias("v"))
     hashed = kept.where("id is not null").withColumn("h", F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256))
     centroids = [list(r["v"]) for r in hashed.orderBy("h", "v").select("v").limit(k).collect()]
     if not centroids:
         return kept.select(F.col("id").alias(ident), F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("long").alias("distance")).limit(0), []
     size = kept.agg(F.count("*").alias("n"), F.max(F.greatest(F.array_max("v"), -F.array_min("v"))).alias("top")).head()
-    wide = size["top"] > PLAIN or size["top"] * size["n"] > MOST_LONG
+    wide = 2 * size["top"] > longest(dim) or size["top"] * size["n"] > MOST_LONG
     for _ in range(rounds):
         centroids = updated(kept.select("v"), centroids, wide)
     found = kept.withColumn("near", nearest(F.col("v"), centroids, wide))
@@ -119,7 +118,7 @@ def _sql(k: int = 40, dim: int = 64, scale: int = 256, rounds: int = 5) -> str:
         f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v AS w FROM kept WHERE vec_id IS NOT NULL QUALIFY c < {k})",
     ]
     for r in range(rounds + 1):
-        near = f"SELECT row_number() OVER () AS row, vec_id, v FROM kept"
+        near = "SELECT row_number() OVER () AS row, vec_id, v FROM kept"
         steps.append(f"a{r} AS MATERIALIZED (SELECT row, any_value(vec_id) AS vec_id, any_value(v) AS v, min((d, c)) AS near FROM (SELECT row, vec_id, v, c, list_sum([(v[i] - w[i]) * (v[i] - w[i]) for i in range(1, {dim + 1})])::HUGEINT AS d FROM ({near}), c{r}) GROUP BY row)")
         if r < rounds:
             sums = f"SELECT c, list(floored ORDER BY i) AS w FROM (SELECT c, i, (s - ((s % n) + n) % n) // n AS floored FROM (SELECT near[2] AS c, i, sum(v[i])::HUGEINT AS s, count(*) AS n FROM a{r}, range(1, {dim + 1}) t(i) GROUP BY ALL)) GROUP BY c"

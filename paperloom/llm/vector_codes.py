@@ -15,44 +15,37 @@ components, take no part. Vectors of another length than most (of equally
 frequent lengths the greatest), or whose length is no multiple of the number of
 parts, stay with a null code and error. Ids that are null come last among the
 starts; rows that share an id go by their components, and repeated rows count
-each. Fewer rows than entries give as many entries. Integers end at +-2^61 and
-differences at +-2^28 in a distance: only vectors for which a long could not
-hold the error are affected. Extra columns are ignored.
+each. Fewer rows than entries give as many entries. Integers end at +-2^61,
+differences where a part's distance would not fit a long, and sums of distances
+at the largest long. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.llm.centroids import MOST_LONG, finite, integers
 from paperloom.llm.common import delete_table, materialize, skew_join, table, write_table
 
-#: Integers end here, and differences of two of them in a distance.
-LARGEST, LONGEST = 1 << 61, 1 << 28
 #: Parts of one position that share a salt, about, if one entry had all of them.
 RESIDENTS = 500_000
-MOST_LONG = (1 << 63) - 1
 MEMBERS = "position int, entry int, salt int, weight long, part array<long>, moved boolean"
 
 
-def finite(v: Column) -> Column:
-    whole = F.forall(v, lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    return F.coalesce(whole, F.lit(False))
-
-
-def integers(v: Column, scale: int) -> Column:
-    """floor(scale * x) of each component."""
-    return F.transform(v, lambda x: F.floor(F.greatest(F.least(x.cast("double") * float(scale), F.lit(float(LARGEST))), F.lit(-float(LARGEST)))).cast("long"))
-
-
 def nearest(parts: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(entry, squared distance) of the entry nearest to each row of ``parts``, the lower index among equal ones."""
-    d = np.stack([(np.clip(parts - e, -LONGEST, LONGEST) ** 2).sum(1) for e in entries], 1) if len(parts) else np.zeros((0, len(entries)), np.int64)
+    """(entry, squared distance) of the entry nearest to each row of ``parts``, the lower index among equal ones.
+
+    Differences end where a sum of their squares would no longer fit a long.
+    """
+    longest = isqrt(MOST_LONG // entries.shape[1])
+    d = np.stack([(np.clip(parts - e, -longest, longest) ** 2).sum(1) for e in entries], 1) if len(parts) else np.zeros((0, len(entries)), np.int64)
     at = d.argmin(1)
     return at, d[np.arange(len(at)), at]
 
@@ -169,7 +162,7 @@ def encode(rows: DataFrame, books: np.ndarray) -> DataFrame:
             codes, errors = np.full(len(fits), None, object), np.full(len(fits), None, object)
             if len(v):
                 codes[fits] = [bytes(c).hex() for c in np.stack([f[0] for f in found], 1).astype(np.uint8)]
-                errors[fits] = np.sum([f[1] for f in found], 0).tolist()
+                errors[fits] = [min(sum(e), MOST_LONG) for e in zip(*(f[1].tolist() for f in found))]
             kept = [(n, batch.column(n)) for n in batch.schema.names if n != "v"]
             yield pa.RecordBatch.from_arrays([*[c for _, c in kept], pa.array(codes.tolist(), pa.string()), pa.array(errors.tolist(), pa.int64())], names=[*[n for n, _ in kept], "code", "error"])
 
@@ -196,7 +189,8 @@ def compress_vectors(vectors: DataFrame, ident: str = "vec_id", vector: str = "e
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, books = compress_vectors(table(spark, sf_dir, "embeddings"))
     found = materialize(found.withColumn("same", F.to_json(F.struct("label"))), "codes")
-    sums = found.groupBy("same").agg(F.least(F.sum(F.col("error").cast("decimal(20,0)")), F.lit(MOST_LONG).cast("decimal(38,0)")).cast("long").alias("label_error"), F.count("*").alias("size"))
+    sums = found.groupBy("same").agg(F.sum(F.col("error").cast("decimal(20,0)")).alias("sum"), F.count("*").alias("size"))
+    sums = sums.select("same", F.when(F.col("sum") > MOST_LONG, MOST_LONG).otherwise(F.col("sum")).cast("long").alias("label_error"), "size")
     joined = skew_join(found, materialize(sums, "labels"), "same", "size")
     digest = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
     return joined.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
