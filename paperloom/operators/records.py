@@ -33,6 +33,16 @@ def register_media(members: DataFrame, folder: Column | str) -> DataFrame:
     )
 
 
+def slide_reason(fresh: Column, worth: Column, known: Column) -> Column:
+    """Why a slide does or doesn't need a look: pictures seen first on it, whether any is worth one, whether any has a record. Fixed values."""
+    return (
+        F.when(fresh > 0, F.concat(fresh.cast("string"), F.lit(" picture(s) to analyse")))
+        .when(worth, "pictures already covered on an earlier slide")
+        .when(known, "only icon-sized or unreadable pictures")
+        .otherwise("text and native charts only")
+    )
+
+
 def first_slides(slides: DataFrame) -> DataFrame:
     """(path, part, section): the first slide that shows a picture; from slides (path, number, pictures)."""
     return slides.select("path", "number", F.explode("pictures").alias("part")).groupBy("path", "part").agg(F.min("number").alias("section"))
@@ -46,12 +56,7 @@ def slide_verdicts(slides: DataFrame, media: DataFrame) -> DataFrame:
     shown = slides.select("path", "number", F.explode("pictures").alias("part")).join(media.select("path", "part", F.col("needs_vision").alias("worth")), ["path", "part"])
     first = F.min("number").over(Window.partitionBy("path", "part"))
     seen = shown.withColumn("fresh", F.col("worth") & (first == F.col("number"))).groupBy("path", "number").agg(F.count_if("fresh").alias("fresh"), F.bool_or("worth").alias("worth"))
-    reason = (
-        F.when(F.col("fresh") > 0, F.concat(F.col("fresh").cast("string"), F.lit(" picture(s) to analyse")))
-        .when(F.col("worth"), "pictures already covered on an earlier slide")
-        .when(F.col("worth").isNotNull(), "only icon-sized or unreadable pictures")
-        .otherwise("text and native charts only")
-    )
+    reason = slide_reason(F.col("fresh"), F.col("worth"), F.col("worth").isNotNull())
     return slides.join(seen, ["path", "number"], "left").withColumn("needs_vision", F.coalesce(F.col("fresh") > 0, F.lit(False))).withColumn("reason", reason).drop("fresh", "worth")
 
 

@@ -13,7 +13,11 @@ class Options:
     """Limits and thresholds; ``from_environment`` reads PAPERLOOM_<NAME>."""
 
     range_threshold: int = 32 * MB
+    block: int = 256 << 10
+    most_blocks: int = 32
     most_bytes: int = 200 * MB
+    most_media: int = 5 * MB
+    most_sheet_rows: int = 5_000
     most_cached: int = 500
     longest_side: int = 2000
     retries: int = 3

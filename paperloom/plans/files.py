@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import images
+from paperloom.options import Options
 from paperloom.plans.catalogue import query
-from paperloom.sources import delimited, packages, pdf
+from paperloom.sources import delimited, packages, pdf, reader, sinks
 
 RELS = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
 OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -58,6 +59,11 @@ def word_text(documents: DataFrame) -> DataFrame:
 
 @query("conversations", r"SELECT conv_id, turn + 1 AS number, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, role AS notes FROM conversations")
 def presentation_slides(conversations: DataFrame) -> DataFrame:
+    return packages.pptx_slides(_decks(conversations)).select(_long(F.col("path")).alias("conv_id"), F.col("number").cast("long").alias("number"), "text", "notes")
+
+
+def _decks(conversations: DataFrame, *more: Column) -> DataFrame:
+    """(path, content): a deck of each conversation, a slide with notes for a turn; ``more``: further entries."""
     number = (F.col("turn") + 1).cast("string")
     slide = lambda t: _text('<p:sld xmlns:p="p" xmlns:a="a"><p:sp><a:p><a:r><a:t>', _escaped(t), "</a:t></a:r></a:p></p:sp></p:sld>")
     parts = F.array(
@@ -66,8 +72,24 @@ def presentation_slides(conversations: DataFrame) -> DataFrame:
         _entry(_text("ppt/notesSlides/notesSlide", number, ".xml"), slide(F.col("role"))),
     )
     decks = conversations.groupBy("conv_id").agg(F.flatten(F.collect_list(parts)).alias("e"))
-    files = packages.build_packages(decks, F.col("conv_id"), F.map_from_entries("e"))
-    return packages.pptx_slides(files).select(_long(F.col("path")).alias("conv_id"), F.col("number").cast("long").alias("number"), "text", "notes")
+    return packages.build_packages(decks, F.col("conv_id"), F.map_from_entries(F.concat("e", F.array(*more)) if more else F.col("e")))
+
+
+#: Characters of the film in each deck of ``ranged_decks``: far more than its text.
+FILM = 400_000
+
+
+@query("conversations", r"SELECT conv_id, turn + 1 AS number, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, role AS notes, 'range' AS strategy, TRUE AS under_quarter FROM conversations")
+def ranged_decks(conversations: DataFrame) -> DataFrame:
+    """Decks with a large film are written as files and read by ranges: text and notes are whole, and under a quarter of each file is fetched."""
+    noise = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(FILM // 64)), lambda i: F.sha2(F.concat_ws(":", "conv_id", i), 256)), "")
+    files = _decks(conversations, _entry(F.lit("ppt/media/film.mp4"), noise))
+    spark = conversations.sparkSession
+    written = sinks.write_files(files.withColumn("path", F.concat("path", F.lit(".pptx"))), sinks.scratch_folder(spark, "decks"))
+    found = reader.read_paths(written, options=Options(range_threshold=0, block=8 << 10)).join(written, "path")
+    quarter = (F.col("fetched") * 4 < F.col("length")).alias("under_quarter")
+    slides = found.select(F.regexp_extract("path", r"(\d+)\.pptx$", 1).cast("long").alias("conv_id"), "strategy", quarter, F.explode("sections").alias("s"))
+    return slides.select("conv_id", F.col("s.number").cast("long").alias("number"), "s.text", "s.notes", "strategy", "under_quarter")
 
 
 @query("orders", """SELECT o_orderkey, UNNEST([1, 2]) AS row_no, UNNEST([[o_orderstatus, '', o_orderpriority], [o_orderkey::VARCHAR, 'TRUE', o_orderstatus]]) AS cells FROM orders""")

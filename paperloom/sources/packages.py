@@ -32,6 +32,16 @@ HELD_BYTES = 4 * MB
 BROKEN = (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, KeyError, EOFError, NotImplementedError, RuntimeError, TypeError, ValueError)
 
 
+def _opened(rows: Callable[[zipfile.ZipFile], Iterator[tuple]]) -> Callable[[bytes], Iterator[tuple]]:
+    """``rows`` of an open package, as a function of its bytes."""
+
+    def of_bytes(data: bytes) -> Iterator[tuple]:
+        with zipfile.ZipFile(io.BytesIO(data)) as archive:
+            yield from rows(archive)
+
+    return of_bytes
+
+
 def _expand(files: DataFrame, name: str, content: str, columns: str, rows: Callable[[bytes], Iterator[tuple]], code: str) -> DataFrame:
     """(name, columns, error): what ``rows`` gives of each file."""
     names = [c.split()[0] for c in columns.split(", ")]
@@ -125,8 +135,19 @@ def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
+def read_part(archive: zipfile.ZipFile, part: str | zipfile.ZipInfo) -> bytes:
+    """A part's bytes; where the package is read by ranges, a long one by a single request."""
+    info = archive.getinfo(part) if isinstance(part, str) else part
+    if info.file_size > MOST_ENTRY_BYTES:
+        raise ValueError("larger than an entry may be")
+    if hasattr(archive.fp, "want"):
+        # The local header's length is told by the directory, but for its extra field.
+        archive.fp.want(info.header_offset, info.header_offset + 30 + len(info.orig_filename.encode()) + 1_024 + info.compress_size)
+    return archive.read(info)
+
+
 def _xml(archive: zipfile.ZipFile, part: str) -> ElementTree.Element | None:
-    return ElementTree.fromstring(archive.read(part)) if part in archive.namelist() else None
+    return ElementTree.fromstring(read_part(archive, part)) if part in archive.NameToInfo else None
 
 
 def _each(root: ElementTree.Element | None, tag: str) -> Iterator[ElementTree.Element]:
@@ -161,37 +182,35 @@ def _paragraph(p: ElementTree.Element) -> str:
     return "".join((e.text or "") if _local(e.tag) == "t" else marks.get(_local(e.tag), "") for e in p.iter())
 
 
-def _word(data: bytes) -> Iterator[tuple]:
-    with zipfile.ZipFile(io.BytesIO(data)) as archive:
-        body = ElementTree.fromstring(archive.read("word/document.xml"))
-        media = sum(n.startswith("word/media/") for n in archive.namelist())
-        charts = sum(kind == "chart" for _, kind, _ in relations(archive, "word/document.xml"))
-        yield "\n\n".join(_paragraph(p) for p in _each(body, "p")).strip(), media, charts
+def _word(archive: zipfile.ZipFile) -> Iterator[tuple]:
+    body = ElementTree.fromstring(read_part(archive, "word/document.xml"))
+    media = sum(n.startswith("word/media/") for n in archive.namelist())
+    charts = sum(kind == "chart" for _, kind, _ in relations(archive, "word/document.xml"))
+    yield "\n\n".join(_paragraph(p) for p in _each(body, "p")).strip(), media, charts
 
 
 def docx_text(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
     """(path, text, n_images, n_charts, error): paragraphs parted by a blank line."""
-    return _expand(files, name, content, "text string, n_images int, n_charts int", _word, "EXTRACTION_FAILED")
+    return _expand(files, name, content, "text string, n_images int, n_charts int", _opened(_word), "EXTRACTION_FAILED")
 
 
 def _runs(root: ElementTree.Element | None) -> str:
     return " ".join(" ".join(e.text or "" for e in _each(root, "t")).split())
 
 
-def _slides(data: bytes) -> Iterator[tuple]:
-    with zipfile.ZipFile(io.BytesIO(data)) as archive:
-        if "ppt/presentation.xml" not in archive.namelist() and not any(n.startswith("ppt/slides/") for n in archive.namelist()):
-            raise ValueError("not a presentation")
-        parts = sorted((int(m[1]), m[0]) for n in archive.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
-        for number, part in parts:
-            linked = relations(archive, part)
-            notes = [_runs(_xml(archive, target)) for _, kind, target in linked if kind == "notesSlide"]
-            yield number, _runs(_xml(archive, part)), next(filter(None, notes), None), [t for _, kind, t in linked if kind == "image"], [t for _, kind, t in linked if kind == "chart"]
+def _slides(archive: zipfile.ZipFile) -> Iterator[tuple]:
+    if "ppt/presentation.xml" not in archive.namelist() and not any(n.startswith("ppt/slides/") for n in archive.namelist()):
+        raise ValueError("not a presentation")
+    parts = sorted((int(m[1]), m[0]) for n in archive.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
+    for number, part in parts:
+        linked = relations(archive, part)
+        notes = [_runs(_xml(archive, target)) for _, kind, target in linked if kind == "notesSlide"]
+        yield number, _runs(_xml(archive, part)), next(filter(None, notes), None), [t for _, kind, t in linked if kind == "image"], [t for _, kind, t in linked if kind == "chart"]
 
 
 def pptx_slides(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
     """(path, number, text, notes, pictures, charts, error) of each slide, by the number in its part's name."""
-    return _expand(files, name, content, "number int, text string, notes string, pictures array<string>, charts array<string>", _slides, "EXTRACTION_FAILED")
+    return _expand(files, name, content, "number int, text string, notes string, pictures array<string>, charts array<string>", _opened(_slides), "EXTRACTION_FAILED")
 
 
 def _points(e: ElementTree.Element | None) -> list[str]:
@@ -199,15 +218,14 @@ def _points(e: ElementTree.Element | None) -> list[str]:
     return [v for _, v in sorted(found, key=lambda p: p[0])]
 
 
-def _charts(data: bytes) -> Iterator[tuple]:
-    with zipfile.ZipFile(io.BytesIO(data)) as archive:
-        for part in sorted(n for n in archive.namelist() if re.search(r"/charts/chart\d*\.xml$", n)):
-            root = _xml(archive, part)
-            kinds = "+".join(_local(e.tag) for e in root.iter() if _local(e.tag).endswith("Chart"))
-            title = "".join(t.text or "" for e in list(_each(root, "title"))[:1] for t in _each(e, "t"))
-            for i, ser in enumerate(_each(root, "ser")):
-                tx, cat, val = (next(_each(ser, k), None) for k in ("tx", "cat", "val"))
-                yield part, kinds, title or None, i, next(iter(_points(tx)), None), _points(cat), _points(val)
+def _charts(archive: zipfile.ZipFile) -> Iterator[tuple]:
+    for part in sorted(n for n in archive.namelist() if re.search(r"/charts/chart\d*\.xml$", n)):
+        root = _xml(archive, part)
+        kinds = "+".join(_local(e.tag) for e in root.iter() if _local(e.tag).endswith("Chart"))
+        title = "".join(t.text or "" for e in list(_each(root, "title"))[:1] for t in _each(e, "t"))
+        for i, ser in enumerate(_each(root, "ser")):
+            tx, cat, val = (next(_each(ser, k), None) for k in ("tx", "cat", "val"))
+            yield part, kinds, title or None, i, next(iter(_points(tx)), None), _points(cat), _points(val)
 
 
 def chart_series(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
@@ -215,7 +233,7 @@ def chart_series(files: DataFrame, name: str = "path", content: str = "content")
 
     ``points`` are as written; ``values`` are numbers, null where a point is none.
     """
-    found = _expand(files, name, content, "part string, kind string, title string, series_no int, series string, categories array<string>, points array<string>", _charts, "EXTRACTION_FAILED")
+    found = _expand(files, name, content, "part string, kind string, title string, series_no int, series string, categories array<string>, points array<string>", _opened(_charts), "EXTRACTION_FAILED")
     return found.withColumn("values", F.transform("points", lambda p: p.try_cast("double")))
 
 
@@ -237,23 +255,22 @@ def _cell(c: ElementTree.Element, shared: list[str]) -> str:
     return value
 
 
-def _sheet_rows(data: bytes) -> Iterator[tuple]:
-    with zipfile.ZipFile(io.BytesIO(data)) as archive:
-        book = ElementTree.fromstring(archive.read("xl/workbook.xml"))
-        targets = {i: part for i, _, part in relations(archive, "xl/workbook.xml")}
-        shared = ["".join(t.text or "" for t in _each(si, "t")) for si in _each(_xml(archive, "xl/sharedStrings.xml"), "si")]
-        for sheet_no, sheet in enumerate(_each(book, "sheet"), 1):
-            root = _xml(archive, targets.get(_attribute(sheet, "id"), f"xl/worksheets/sheet{sheet_no}.xml"))
-            for row_no, row in enumerate(_each(root, "row"), 1):
-                if row_no > MOST_SHEET_ROWS:
-                    yield sheet_no, sheet.get("name"), row_no, None
-                    break
-                cells: list[str] = []
-                for c in _each(row, "c"):
-                    at = column_number(c.get("r", ""))
-                    cells += [""] * (at - len(cells)) if at >= 0 else []
-                    cells.append(_cell(c, shared))
-                yield sheet_no, sheet.get("name"), row_no, cells
+def _sheet_rows(archive: zipfile.ZipFile, most: int = MOST_SHEET_ROWS) -> Iterator[tuple]:
+    book = ElementTree.fromstring(read_part(archive, "xl/workbook.xml"))
+    targets = {i: part for i, _, part in relations(archive, "xl/workbook.xml")}
+    shared = ["".join(t.text or "" for t in _each(si, "t")) for si in _each(_xml(archive, "xl/sharedStrings.xml"), "si")]
+    for sheet_no, sheet in enumerate(_each(book, "sheet"), 1):
+        root = _xml(archive, targets.get(_attribute(sheet, "id"), f"xl/worksheets/sheet{sheet_no}.xml"))
+        for row_no, row in enumerate(_each(root, "row"), 1):
+            if row_no > most:
+                yield sheet_no, sheet.get("name"), row_no, None
+                break
+            cells: list[str] = []
+            for c in _each(row, "c"):
+                at = column_number(c.get("r", ""))
+                cells += [""] * (at - len(cells)) if at >= 0 else []
+                cells.append(_cell(c, shared))
+            yield sheet_no, sheet.get("name"), row_no, cells
 
 
 def xlsx_rows(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
@@ -261,7 +278,7 @@ def xlsx_rows(files: DataFrame, name: str = "path", content: str = "content") ->
 
     A sheet with more rows has one more row, whose cells are null: what ``sheet_warnings`` tells.
     """
-    return _expand(files, name, content, "sheet_no int, sheet string, row_no int, cells array<string>", _sheet_rows, "EXTRACTION_FAILED")
+    return _expand(files, name, content, "sheet_no int, sheet string, row_no int, cells array<string>", _opened(_sheet_rows), "EXTRACTION_FAILED")
 
 
 def sheet_warnings(rows: DataFrame) -> DataFrame:
@@ -270,39 +287,37 @@ def sheet_warnings(rows: DataFrame) -> DataFrame:
     return cut.select("path", F.concat(F.lit('Sheet "'), "sheet", F.lit(f'" cut at {MOST_SHEET_ROWS} rows.')).alias("warning"))
 
 
-def _sheet_charts(data: bytes) -> Iterator[tuple]:
-    with zipfile.ZipFile(io.BytesIO(data)) as archive:
-        book = ElementTree.fromstring(archive.read("xl/workbook.xml"))
-        targets = {i: part for i, _, part in relations(archive, "xl/workbook.xml")}
-        for number, sheet in enumerate(_each(book, "sheet"), 1):
-            yield "sheet", number, sheet.get("name"), targets.get(_attribute(sheet, "id"), f"xl/worksheets/sheet{number}.xml")
-        for name in archive.namelist():
-            if re.fullmatch(r"xl/(worksheets|drawings)/_rels/[^/]*\.rels", name):
-                part = name.replace("_rels/", "").removesuffix(".rels")
-                yield from ((kind, 0, part, target) for _, kind, target in relations(archive, part) if kind in ("drawing", "chart"))
+def _sheet_charts(archive: zipfile.ZipFile) -> Iterator[tuple]:
+    book = ElementTree.fromstring(read_part(archive, "xl/workbook.xml"))
+    targets = {i: part for i, _, part in relations(archive, "xl/workbook.xml")}
+    for number, sheet in enumerate(_each(book, "sheet"), 1):
+        yield "sheet", number, sheet.get("name"), targets.get(_attribute(sheet, "id"), f"xl/worksheets/sheet{number}.xml")
+    for name in archive.namelist():
+        if re.fullmatch(r"xl/(worksheets|drawings)/_rels/[^/]*\.rels", name):
+            part = name.replace("_rels/", "").removesuffix(".rels")
+            yield from ((kind, 0, part, target) for _, kind, target in relations(archive, part) if kind in ("drawing", "chart"))
 
 
 def sheet_charts(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
     """(path, sheet_no, sheet, part): the charts of each sheet, by two joins of the package's relations: sheet to drawing, drawing to chart."""
-    links = _expand(files, name, content, "kind string, number int, source string, target string", _sheet_charts, "EXTRACTION_FAILED").where("error is null")
+    links = _expand(files, name, content, "kind string, number int, source string, target string", _opened(_sheet_charts), "EXTRACTION_FAILED").where("error is null")
     sheets = links.where("kind = 'sheet'").select("path", F.col("number").alias("sheet_no"), F.col("source").alias("sheet"), F.col("target").alias("sheet_part"))
     drawings = links.where("kind = 'drawing'").select("path", F.col("source").alias("sheet_part"), F.col("target").alias("drawing"))
     charts = links.where("kind = 'chart'").select("path", F.col("source").alias("drawing"), F.col("target").alias("part"))
     return sheets.join(drawings, ["path", "sheet_part"]).join(charts, ["path", "drawing"]).select("path", "sheet_no", "sheet", "part")
 
 
-def _properties(data: bytes) -> Iterator[tuple]:
-    with zipfile.ZipFile(io.BytesIO(data)) as archive:
-        for part in ("docProps/core.xml", "docProps/app.xml"):
-            root = _xml(archive, part)
-            for e in root if root is not None else ():
-                if (text := (e.text or "").strip()) and _local(e.tag) in ("title", "creator", "subject", "created", "modified", "Application", "Pages", "Slides"):
-                    yield _local(e.tag), text
+def _properties(archive: zipfile.ZipFile) -> Iterator[tuple]:
+    for part in ("docProps/core.xml", "docProps/app.xml"):
+        root = _xml(archive, part)
+        for e in root if root is not None else ():
+            if (text := (e.text or "").strip()) and _local(e.tag) in ("title", "creator", "subject", "created", "modified", "Application", "Pages", "Slides"):
+                yield _local(e.tag), text
 
 
 def office_properties(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
     """(path, key, value, error) of a package's properties that are not empty."""
-    return _expand(files, name, content, "key string, value string", _properties, "EXTRACTION_FAILED")
+    return _expand(files, name, content, "key string, value string", _opened(_properties), "EXTRACTION_FAILED")
 
 
 def chart_records(series: DataFrame) -> DataFrame:

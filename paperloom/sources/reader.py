@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import detect, images, text, triage
 from paperloom.operators import records
-from paperloom.sources import delimited, packages, pdf
+from paperloom.options import Options
+from paperloom.sources import delimited, office, packages, pdf
+from paperloom.sources.ranges import ArrowRanges, RangeClient, fetch_files, file_heads, open_file
 
 SECTION = "struct<kind:string,number:int,title:string,text:string,notes:string,needs_vision:boolean,reason:string>"
 PICTURE = "struct<id:string,name:string,mime:string,width:int,height:int,bytes:bigint,section:int,duplicate_of:string,needs_vision:boolean,reason:string>"
@@ -21,7 +23,7 @@ CHART = "struct<part:string,kind:string,title:string,section:int,series:array<st
 #: The columns of a record; a part that a type lacks is an empty array.
 RECORD = {
     "path": "string", "kind": "string", "text": "string", "markdown": "string", "units": "int", "sections": f"array<{SECTION}>", "images": f"array<{PICTURE}>", "charts": f"array<{CHART}>",
-    "metadata": "map<string,string>", "warnings": "array<string>", "error": "string",
+    "metadata": "map<string,string>", "warnings": "array<string>", "strategy": "string", "fetched": "bigint", "error": "string",
 }
 
 
@@ -92,63 +94,26 @@ def _texts(files: DataFrame) -> DataFrame:
                    warnings=F.when(odd, F.array(F.lit("File has a .json extension but is not valid JSON."))), error=F.when(~there, "EXTRACTION_FAILED"))
 
 
-def _metadata(files: DataFrame) -> DataFrame:
-    told = packages.office_properties(files).where("error is null").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("metadata"))
-    return told.withColumn("metadata", text.pick_defined(F.col("metadata")))
-
-
-def _pictures(media: DataFrame) -> DataFrame:
-    number = F.regexp_extract("id", r"(\d+)$", 1).cast("int")
-    picture = F.struct("id", "name", "mime", "width", "height", "bytes", "section", "duplicate_of", "needs_vision", "reason").cast(PICTURE)
-    held = media.withColumn("n", number).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("n", picture.alias("p")))).alias("p"))
-    return held.select("path", F.transform("p", lambda x: x["p"]).alias("images"))
-
-
-def _charts(charts: DataFrame, section: DataFrame | None = None) -> DataFrame:
-    """(path, charts); ``section``: (path, part, section) of each chart."""
-    placed = charts.withColumn("section", F.lit(None).cast("int")) if section is None else charts.join(section, ["path", "part"], "left")
-    one = F.struct("part", "kind", "title", "section", "series").cast(CHART)
-    held = placed.groupBy("path").agg(F.collect_list(one).alias("c"))
-    return held.select("path", F.array_sort("c", lambda a, b: F.when(a["part"] < b["part"], -1).when(a["part"] > b["part"], 1).otherwise(0)).alias("charts"))
-
-
-def _with(rows: DataFrame, *others: DataFrame) -> DataFrame:
-    return reduce(lambda a, b: a.join(b, "path", "left"), others, rows)
-
-
-def _words(files: DataFrame) -> DataFrame:
-    said = packages.docx_text(files)
-    media = records.register_media(packages.media_members(files).where("error is null"), records.MEDIA_FOLDERS["docx"]).withColumn("section", F.lit(None).cast("int"))
-    ok = F.col("error").isNull()
-    rows = _with(said, _metadata(files), _pictures(media), _charts(packages.chart_records(packages.chart_series(files))))
-    return _record(rows, kind=F.lit("docx"), units=F.when(ok, 1), sections=F.when(ok, F.array(_section("body", F.lit(1), F.col("text"), reason="text document"))))
-
-
-def _slides(files: DataFrame) -> DataFrame:
-    slides = packages.pptx_slides(files)
-    media = records.register_media(packages.media_members(files).where("error is null"), records.MEDIA_FOLDERS["pptx"])
-    judged = records.slide_verdicts(slides.where("error is null"), media).unionByName(slides.where("error is not null").withColumn("needs_vision", F.lit(None).cast("boolean")).withColumn("reason", F.lit(None).cast("string")))
-    whole = F.concat_ws("\n", F.nullif("text", F.lit("")), F.when(F.col("notes") != "", F.concat(F.lit("Notes: "), "notes")))
-    section = _section("slide", F.col("number"), F.col("text"), F.col("needs_vision"), F.col("reason"), notes=F.col("notes"))
-    held = _gathered(judged, ["number"], section=section, whole=whole)
-    shown = media.join(records.first_slides(slides.where("error is null")), ["path", "part"], "left")
-    charts = slides.where("error is null").select("path", F.col("number").alias("section"), F.explode("charts").alias("part")).groupBy("path", "part").agg(F.min("section").alias("section"))
-    rows = _with(held, _metadata(files), _pictures(shown), _charts(packages.chart_records(packages.chart_series(files)), charts))
-    ok = F.col("error").isNull()
-    return _record(rows, kind=F.lit("pptx"), text=F.when(ok, _joined(F.col("whole"), "\n\n")), sections=F.when(ok, F.col("section")), units=F.when(ok, F.size("section")))
-
-
-def _sheets(files: DataFrame) -> DataFrame:
-    cells = packages.xlsx_rows(files)
-    kept = cells.where(F.col("cells").isNotNull() | F.col("error").isNotNull())
-    sheets = kept.groupBy("path", "sheet_no", "sheet").agg(F.array_sort(F.collect_list(F.struct("row_no", "cells"))).alias("r"), F.max("error").alias("error"))
-    sheets = sheets.withColumn("table", text.md_table(F.transform("r", lambda x: x["cells"])))
-    held = _gathered(sheets, ["sheet_no"], section=_section("sheet", F.col("sheet_no"), F.col("table"), reason="tabular data", title=F.col("sheet")), part=F.concat(F.lit("## "), "sheet", F.lit("\n\n"), "table"))
-    cut = packages.sheet_warnings(cells).groupBy("path").agg(F.array_sort(F.collect_list("warning")).alias("warnings"))
-    section = packages.sheet_charts(files).groupBy("path", "part").agg(F.min("sheet_no").alias("section"))
-    rows = _with(held, _metadata(files), cut, _charts(packages.chart_records(packages.chart_series(files)), section)).withColumn("markdown", F.array_join("part", "\n\n"))
-    ok = F.col("error").isNull()
-    return _record(rows, kind=F.lit("xlsx"), markdown=F.when(ok, F.col("markdown")), text=F.when(ok, text.table_text(F.col("markdown"))), sections=F.when(ok, F.col("section")), units=F.when(ok, F.size("section")))
+def _packages(files: DataFrame, client: RangeClient | None = None, options: Options = Options()) -> DataFrame:
+    """Word files, slides and sheets: one row a file from its parts to its record, in one pass."""
+    rows = office.with_pictures(office.read_packages(files, client, options))
+    rows = rows.withColumn("judged", office.judged_slides(F.col("slides"), F.col("pictures"))).withColumn("tables", office.sheet_tables(F.col("sheets")))
+    whole = lambda s: F.concat_ws("\n", F.nullif(s["text"], F.lit("")), F.when(s["notes"] != "", F.concat(F.lit("Notes: "), s["notes"])))
+    rows = rows.withColumn("made", F.array_join(F.transform("tables", lambda t: F.concat(F.lit("## "), t["name"], F.lit("\n\n"), t["table"])), "\n\n"))
+    ok, kind = F.col("error").isNull(), F.col("kind")
+    sections = {
+        "docx": F.array(_section("body", F.lit(1), F.col("text"), reason="text document")),
+        "pptx": F.transform("judged", lambda s: _section("slide", s["number"], s["text"], s["needs_vision"], s["reason"], notes=s["notes"])),
+        "xlsx": F.transform("tables", lambda t: _section("sheet", t["number"], t["table"], reason="tabular data", title=t["name"])),
+    }
+    said = {"docx": F.col("text"), "pptx": _joined(F.transform("judged", whole), "\n\n"), "xlsx": text.table_text(F.col("made"))}
+    of_kind = lambda made: F.when(ok, F.coalesce(*[F.when(kind == k, c) for k, c in made.items()]))
+    picture = lambda p: F.struct(*[p[n].alias(n) for n in ("id", "name", "mime", "width", "height", "bytes", "section", "duplicate_of", "needs_vision", "reason")]).cast(PICTURE)
+    return _record(
+        rows, text=of_kind(said), markdown=of_kind({"xlsx": F.col("made")}), units=of_kind({"docx": F.lit(1), "pptx": F.size("slides"), "xlsx": F.size("sheets")}), sections=of_kind(sections),
+        images=F.transform("pictures", picture), charts=office.placed_charts(F.col("charts"), F.col("slides"), F.col("placed")), metadata=text.pick_defined(F.col("metadata")),
+        warnings=office.cut_warnings(F.col("sheets"), options.most_sheet_rows),
+    )
 
 
 def _pages(files: DataFrame) -> DataFrame:
@@ -204,15 +169,25 @@ def _archives(files: DataFrame) -> DataFrame:
     return _record(rows, kind=F.lit("zip"), text=F.when(ok, F.col("text")), units=F.when(ok, F.coalesce(F.size("sections"), F.lit(0))), sections=F.when(ok, F.col("sections")), warnings=F.concat(empty, F.coalesce("skipped", F.array().cast("array<string>"))), error=F.col("failed"))
 
 
-READERS = {"text": _texts, "docx": _words, "pptx": _slides, "xlsx": _sheets, "pdf": _pages, "image": _images}
+READERS = {"text": _texts, "pdf": _pages, "image": _images}
+#: Types whose files are packages of parts.
+PACKAGES = ("docx", "pptx", "xlsx")
+
+
+def _kind(head: Column) -> Column:
+    return F.coalesce(detect.detect_type(F.col("path"), F.lit(None).cast("string"), head), F.lit("unknown"))
 
 
-def _read(files: DataFrame) -> DataFrame:
-    kind = detect.detect_type(F.col("path"), F.lit(None).cast("string"), F.substring(F.col("content"), 1, 8))
-    told = files.withColumn("kind", F.coalesce(kind, F.lit("unknown")))
+def _refused(told: DataFrame) -> DataFrame:
     refused = F.coalesce(detect.error_code(F.when(F.col("kind") != "unknown", F.col("kind"))), F.lit("UNSUPPORTED_FILE_TYPE"))
-    others = _record(told.where(~F.col("kind").isin("zip", *READERS)), error=refused)
-    return reduce(lambda a, b: a.unionByName(b), [read(told.where(F.col("kind") == k)) for k, read in READERS.items()], others)
+    return _record(told.where(~F.col("kind").isin("zip", *PACKAGES, *READERS)), error=refused)
+
+
+def _read(files: DataFrame, options: Options = Options()) -> DataFrame:
+    """Records of all files but archives, from their contents."""
+    told = files.withColumn("kind", _kind(F.substring(F.col("content"), 1, 8)))
+    found = _refused(told).unionByName(_packages(told.where(F.col("kind").isin(*PACKAGES)), None, options))
+    return reduce(lambda a, b: a.unionByName(b), [read(told.where(F.col("kind") == k)) for k, read in READERS.items()], found)
 
 
 class Converter(Protocol):
@@ -225,16 +200,23 @@ class Converter(Protocol):
 CONVERTED, MOST_MARKDOWN = ("docx", "pptx", "xlsx", "xls", "text"), 200_000
 
 
-def _converted(files: DataFrame, converter: Converter) -> DataFrame:
-    """(path, made, warning): a converter's Markdown of each file of a type that it takes; a failure is a warning."""
+def _converted(files: DataFrame, converter: Converter, client: RangeClient | None = None, options: Options = Options()) -> DataFrame:
+    """(path, made, warning): a converter's Markdown of each file of a type that it takes; a failure is a warning.
+
+    ``files``: (path, kind, and content if there is no client).
+    """
+
+    def fetched(path: str) -> bytes:
+        file, strategy, _ = open_file(client, path, options)
+        return office.slim_package(file) if strategy == "range" else file.read()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, data in zip(batch["path"], batch["content"]):
+            for path, data in zip(batch["path"], batch["content"] if client is None else batch["path"]):
                 made, warning = None, None
                 try:
-                    made = converter.convert(path, data) or None
+                    made = converter.convert(path, data if client is None else fetched(path)) or None
                     if made and len(made) > MOST_MARKDOWN:
                         made, warning = made[:MOST_MARKDOWN], f"Markdown cut at {MOST_MARKDOWN} characters."
                     elif not made:
@@ -245,7 +227,9 @@ def _converted(files: DataFrame, converter: Converter) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "made", "warning"], dtype=object)
 
     plain = detect.extension(F.col("path")).isin("txt", "md")
-    return files.where(F.col("kind").isin(*CONVERTED) & ~plain & F.col("content").isNotNull()).select("path", "content").mapInPandas(run, "path string, made string, warning string")
+    asked = files.where(F.col("kind").isin(*CONVERTED) & ~plain)
+    asked = asked.where("content is not null").select("path", "content") if client is None else asked.select("path")
+    return asked.mapInPandas(run, "path string, made string, warning string")
 
 
 def _with_converted(found: DataFrame, made: DataFrame) -> DataFrame:
@@ -261,18 +245,46 @@ def _with_converted(found: DataFrame, made: DataFrame) -> DataFrame:
     }.get(n, F.col(n)).alias(n) for n in RECORD])
 
 
-def read_documents(files: DataFrame, name: str = "path", content: str = "content", converter: Converter | None = None) -> DataFrame:
+def read_documents(files: DataFrame, name: str = "path", content: str = "content", converter: Converter | None = None, options: Options = Options()) -> DataFrame:
     """A record (see RECORD, with ``stats``) of each file: text, Markdown, sections, pictures, charts, metadata, warnings; units are pages, slides, sheets, files.
 
-    Only files that need a parser go to Python; each type is one pass over ``files``. Types without a reader and unknown
+    Only files that need a parser go to Python; Word files, slides and sheets are opened once. Types without a reader and unknown
     ones give UNSUPPORTED_FILE_TYPE, old office files LEGACY_OFFICE_FORMAT or NEEDS_MARKITDOWN, unreadable ones the
     reader's error; a limit that cuts something is a warning. Paths are unique. With a ``converter`` its Markdown comes first.
     """
     rows = files.select(F.col(name).cast("string").alias("path"), F.col(content).alias("content"))
-    kind = detect.detect_type(F.col("path"), F.lit(None).cast("string"), F.substring(F.col("content"), 1, 8))
-    found = _read(rows.where(~F.coalesce(kind == "zip", F.lit(False)))).unionByName(_archives(rows.where(kind == "zip")))
+    kind = _kind(F.substring(F.col("content"), 1, 8))
+    found = _read(rows.where(kind != "zip"), options).unionByName(_archives(rows.where(kind == "zip")))
     if converter is not None:
         found = _with_converted(found, _converted(rows.withColumn("kind", kind), converter))
+    return _counted(found)
+
+
+def read_paths(files: DataFrame, client: RangeClient | None = None, name: str = "path", converter: Converter | None = None, options: Options = Options()) -> DataFrame:
+    """``read_documents`` of files that the tasks read themselves, by a range client (pyarrow's file systems if none is given).
+
+    Only paths go through Spark. A Word file, deck or book beyond ``options.range_threshold`` is read by ranges, so its
+    media cost nothing (``strategy``, ``fetched``); a converter gets a copy of it with empty media. Other files are
+    fetched whole up to ``options.most_bytes``, beyond it they are rows with FILE_TOO_LARGE.
+    """
+    client = ArrowRanges() if client is None else client
+    paths = files.select(F.col(name).cast("string").alias("path"))
+    by_name = detect.detect_type(F.col("path"), F.lit(None).cast("string"), F.lit(None).cast("binary"))
+    named = paths.withColumn("kind", by_name).where("kind is not null")
+    # Only where the name does not tell are the first bytes asked for.
+    told = named.unionByName(file_heads(paths.where(by_name.isNull()), client).withColumn("kind", _kind(F.col("head"))).drop("head"))
+    whole = fetch_files(told.where(F.col("kind").isin("zip", *READERS)), client, options)
+    lost = _record(whole.where("error is not null").withColumn("kind", _kind(F.lit(None).cast("binary"))))
+    held = whole.where("error is null").select("path", "content")
+    kind = _kind(F.substring(F.col("content"), 1, 8))
+    found = _refused(told).unionByName(lost).unionByName(_packages(told.where(F.col("kind").isin(*PACKAGES)), client, options))
+    found = found.unionByName(_read(held.where(kind != "zip"), options)).unionByName(_archives(held.where(kind == "zip")))
+    if converter is not None:
+        found = _with_converted(found, _converted(told, converter, client, options))
+    return _counted(found)
+
+
+def _counted(found: DataFrame) -> DataFrame:
     return found.withColumn("stats", records.document_stats(F.col("text"), F.col("sections"), F.col("images"), F.col("charts")))
 
 
