@@ -110,24 +110,34 @@ def media_members(files: DataFrame, name: str = "path", content: str = "content"
     return found.withColumn("content", F.when(F.col("size") <= MOST_MEDIA, F.col("content")))
 
 
-def expand_archives(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
-    """(path, parent, depth, ordinal, content, skipped, error): members of archives and of archives in them.
+def archive_level(archives: DataFrame, depth: int) -> DataFrame:
+    """(path, parent, depth, ordinal, content, skipped, error): members of ``archives`` (path, content), which lie ``depth - 1`` archives deep.
 
     Junk entries go; unsupported or refused ones are ``skipped`` with a reason; an archive nested deeper than
     ``MOST_DEPTH`` is a row with an error.
     """
+    members = zip_members(archives)
+    members = members.where(F.col("error").isNotNull() | ~is_junk(F.col("name")))
+    skipped = F.when(F.col("name").isNotNull() & ~is_supported(F.col("name")), "unsupported file type").otherwise(F.col("refused"))
+    deep = F.endswith(F.lower("name"), F.lit(".zip")) & skipped.isNull() & F.lit(depth == MOST_DEPTH)
+    return members.select(
+        F.concat_ws("/", "path", "name").alias("path"), F.col("path").alias("parent"), F.lit(depth).alias("depth"), "ordinal",
+        F.when(skipped.isNull(), F.col("content")).alias("content"), skipped.alias("skipped"), F.when(deep, "ZIP_TOO_DEEP").otherwise(F.col("error")).alias("error"),
+    )
+
+
+def inner_archives(members: DataFrame) -> DataFrame:
+    """(path, content) of the archives among the members of a level."""
+    return members.where(F.lower("path").endswith(".zip") & F.col("content").isNotNull()).select("path", "content")
+
+
+def expand_archives(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
+    """The members (``archive_level``) of archives and of archives in them, as one plan: an archive is unpacked once for each level below it."""
     level, found = files.select(F.col(name).cast("string").alias("path"), F.col(content).alias("content")), None
     for depth in range(1, MOST_DEPTH + 1):
-        members = zip_members(level)
-        members = members.where(F.col("error").isNotNull() | ~is_junk(F.col("name")))
-        skipped = F.when(F.col("name").isNotNull() & ~is_supported(F.col("name")), "unsupported file type").otherwise(F.col("refused"))
-        deep = F.endswith(F.lower("name"), F.lit(".zip")) & skipped.isNull() & F.lit(depth == MOST_DEPTH)
-        here = members.select(
-            F.concat_ws("/", "path", "name").alias("path"), F.col("path").alias("parent"), F.lit(depth).alias("depth"), "ordinal",
-            F.when(skipped.isNull(), F.col("content")).alias("content"), skipped.alias("skipped"), F.when(deep, "ZIP_TOO_DEEP").otherwise(F.col("error")).alias("error"),
-        )
+        here = archive_level(level, depth)
         found = here if found is None else found.unionByName(here)
-        level = here.where(F.lower("path").endswith(".zip") & F.col("content").isNotNull()).select("path", "content")
+        level = inner_archives(here)
     return found
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import detect, images, text, triage
 from paperloom.operators import records
 from paperloom.options import Options
-from paperloom.sources import delimited, office, packages, pdf
+from paperloom.sources import delimited, office, packages, pdf, sinks
 from paperloom.sources.ranges import ArrowRanges, RangeClient, fetch_files, file_heads, open_file
 
 SECTION = "struct<kind:string,number:int,title:string,text:string,notes:string,needs_vision:boolean,reason:string>"
@@ -135,22 +135,33 @@ def _images(files: DataFrame) -> DataFrame:
                    images=F.when(there, F.array(picture.cast(PICTURE))), error=F.when(~there, "EXTRACTION_FAILED"))
 
 
-def _archives(files: DataFrame) -> DataFrame:
+def _archives(files: DataFrame, options: Options = Options()) -> DataFrame:
     """Archives read member by member; an archive in an archive is a member whose text is its own roll-up.
 
-    The parts of one archive go to one row; what an archive may unpack to (``packages.MOST_BYTES``) bounds it.
+    They are unpacked when this is called, level by level, into tables that the tasks share, so each is opened once. The
+    parts of one archive go to one row; what an archive may unpack to (``packages.MOST_BYTES``) bounds it.
     """
-    members = packages.expand_archives(files)
+    spark, folder, levels, level = files.sparkSession, sinks.scratch_folder(files.sparkSession, "archives"), [], files
+    for depth in range(1, packages.MOST_DEPTH + 1):
+        here = packages.archive_level(level, depth)
+        here.write.parquet(f"{folder}/level-{depth}")
+        levels.append(spark.read.schema(here.schema).parquet(f"{folder}/level-{depth}"))
+        level = packages.inner_archives(levels[-1])
+        if level.isEmpty():
+            break
+    members = reduce(lambda a, b: a.unionByName(b), levels)
     told = members.where("parent is not null and skipped is null and error is null and not endswith(lower(path), '.zip')")
-    found = _read(told.select("path", "content")).join(members.select("path", "parent", "depth", "ordinal"), "path")
-    child = found.select("path", "parent", "depth", "ordinal", "text", "error", F.exists(F.concat(F.transform("sections", lambda s: s["needs_vision"]), F.transform("images", lambda s: s["needs_vision"])), lambda x: x).alias("needs"))
-    lost = members.where("parent is not null and error is not null and skipped is null").select("path", "parent", "depth", "ordinal", F.lit(None).cast("string").alias("text"), "error", F.lit(False).alias("needs"))
-    child = child.unionByName(lost.where("path is not null"))
+    child = members.where("parent is not null and error is not null and skipped is null and path is not null").select("path", "parent", "depth", "ordinal", F.lit(None).cast("string").alias("text"), "error", F.lit(False).alias("needs"))
+    if not told.isEmpty():
+        needs = F.exists(F.concat(F.transform("sections", lambda s: s["needs_vision"]), F.transform("images", lambda s: s["needs_vision"])), lambda x: x)
+        _read(told.select("path", "content"), options).select("path", "text", "error", needs.alias("needs")).write.parquet(f"{folder}/children")
+        found = spark.read.schema("path string, text string, error string, needs boolean").parquet(f"{folder}/children")
+        child = child.unionByName(found.join(told.select("path", "parent", "depth", "ordinal"), "path"))
     refused = members.where("skipped is not null").groupBy(F.col("parent").alias("path")).agg(F.array_sort(F.collect_list(F.concat(F.lit("skipped "), "path", F.lit(": "), "skipped"))).alias("skipped"))
     tops = files.select("path", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(0).alias("ordinal"))
     inner = members.where("endswith(lower(path), '.zip') and skipped is null and error is null").select("path", "parent", "depth", "ordinal")
     zips, out = tops.unionByName(inner), None
-    for depth in reversed(range(packages.MOST_DEPTH)):
+    for depth in reversed(range(len(levels))):
         section = _section("file", F.lit(None).cast("int"), F.lit(""), F.col("needs"), F.when(F.col("error").isNull(), "see child document").otherwise("could not be read"), title=F.col("path"))
         said = F.when(F.col("text") != "", F.concat(F.lit("## "), "path", F.lit("\n\n"), "text"))
         own = child.where(F.col("depth") == depth + 1).withColumn("section", section).withColumn("said", said)
@@ -254,7 +265,7 @@ def read_documents(files: DataFrame, name: str = "path", content: str = "content
     """
     rows = files.select(F.col(name).cast("string").alias("path"), F.col(content).alias("content"))
     kind = _kind(F.substring(F.col("content"), 1, 8))
-    found = _read(rows.where(kind != "zip"), options).unionByName(_archives(rows.where(kind == "zip")))
+    found = _read(rows.where(kind != "zip"), options).unionByName(_archives(rows.where(kind == "zip"), options))
     if converter is not None:
         found = _with_converted(found, _converted(rows.withColumn("kind", kind), converter))
     return _counted(found)
@@ -278,7 +289,7 @@ def read_paths(files: DataFrame, client: RangeClient | None = None, name: str =
     held = whole.where("error is null").select("path", "content")
     kind = _kind(F.substring(F.col("content"), 1, 8))
     found = _refused(told).unionByName(lost).unionByName(_packages(told.where(F.col("kind").isin(*PACKAGES)), client, options))
-    found = found.unionByName(_read(held.where(kind != "zip"), options)).unionByName(_archives(held.where(kind == "zip")))
+    found = found.unionByName(_read(held.where(kind != "zip"), options)).unionByName(_archives(held.where(kind == "zip"), options))
     if converter is not None:
         found = _with_converted(found, _converted(told, converter, client, options))
     return _counted(found)

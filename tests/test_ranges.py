@@ -14,16 +14,17 @@ from paperloom.sources.reader import read_paths
 from test_reader_record import _book, _deck, _png, _zip
 
 
-class Counting(ArrowRanges):
-    """Notes each read in a file of the test's, since tasks have their own processes."""
+def counting(log):
+    """A client that notes each read in a file of the test's; made here, so that the tasks need no module of the tests."""
+    log = str(log)
 
-    def __init__(self, log):
-        self.log = str(log)
+    class Counting(ArrowRanges):
+        def read(self, path, start, end):
+            with open(log, "a") as f:
+                f.write(f"{os.path.basename(path)} {end - start}\n")
+            return ArrowRanges.read(self, path, start, end)
 
-    def read(self, path, start, end):
-        with open(self.log, "a") as f:
-            f.write(f"{os.path.basename(path)} {end - start}\n")
-        return super().read(path, start, end)
+    return Counting()
 
 
 def _reads(log):
@@ -82,7 +83,7 @@ def test_records_are_the_same_by_range_and_whole(spark, folder, tmp_path):
     paths = spark.createDataFrame([(f"file://{at}/{n}",) for n in [*files, "none.docx"]], "path string")
     got = {}
     for kind, threshold in (("range", 0), ("buffer", 1 << 30)):
-        found = read_paths(paths, Counting(tmp_path / kind), options=Options(range_threshold=threshold, block=16 << 10))
+        found = read_paths(paths, counting(tmp_path / kind), options=Options(range_threshold=threshold, block=16 << 10))
         got[kind] = {os.path.basename(r.path): r for r in found.collect()}
     by_range, whole = got["range"], got["buffer"]
     for name, r in by_range.items():
@@ -99,20 +100,23 @@ def test_records_are_the_same_by_range_and_whole(spark, folder, tmp_path):
     assert by_range["t.txt"].text == "words" and by_range["z.zip"].units == 2
 
 
-class Lengths:
-    """A converter that tells what it was given."""
+def lengths():
+    class Lengths:
+        """A converter that tells what it was given."""
 
-    def convert(self, name, content):
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            return " ".join(f"{i.filename}={i.file_size}" for i in archive.infolist() if "media" in i.filename) or "none"
+        def convert(self, name, content):
+            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                return " ".join(f"{i.filename}={i.file_size}" for i in archive.infolist() if "media" in i.filename) or "none"
+
+    return Lengths()
 
 
 def test_a_converter_gets_a_slim_copy_of_what_was_read_by_ranges(spark, folder):
     at, files = folder
     paths = spark.createDataFrame([(f"file://{at}/big.pptx",)], "path string")
-    slim = read_paths(paths, converter=Lengths(), options=Options(range_threshold=0)).head()
+    slim = read_paths(paths, converter=lengths(), options=Options(range_threshold=0)).head()
     assert "media1.mp4=0" in slim.markdown and "a.png=0" in slim.markdown and slim.text.startswith("one")
-    assert f"media1.mp4={4 << 20}" in read_paths(paths, converter=Lengths()).head().markdown
+    assert f"media1.mp4={4 << 20}" in read_paths(paths, converter=lengths()).head().markdown
 
 
 def test_limits_are_options(spark, folder):
