@@ -18,7 +18,9 @@ branch that says it is an article it is 1, within one that says it is noise 0.25
 else 0.5 and half of the greatest presentation entropy of the nodes above. Both
 entropies are drawn to what is assumed without pages by PRIOR_PAGES pages. A
 branch that looks like noise but holds most of a page's text, or an article, is
-left to the entropies. A second pass cuts the branches of low importance.
+left to the entropies, but for readers' comments, which are noise wherever there
+is other text of note. A content that most pages of a node share has a low
+content entropy of its own. A second pass cuts the branches of low importance.
 
 What the second pass needs are the entropies of nodes that two pages or more
 have: MOST_TOLD of them at most are broadcast; more of them go to the pages by
@@ -60,6 +62,12 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 NOISE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|comments?|disqus|respond|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notice|notification|newsletter|subscribe|signup|login|popup|modal|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|search|skip-link)(?:$|[\s_-])"
 )
+#: Classes and ids of readers' comments, whose branch is noise however much they say.
+COMMENTS = re.compile(
+    r"(?:^|\s)(?!(?:has|no|with|allow|open)[_-])(?:[\w-]*[_-])?(?:comments?|commentlist|disqus\w*|respond|replies)(?:[_-](?:list|area|section|thread|body|content|wrapper|container|box|block|form|text|\d+))*(?=$|\s)"
+)
+#: Characters outside of comments that are enough to be what the page is about.
+OF_NOTE = 80
 #: A quoted value that holds what looks like a tag is a quote that was left open: then the tag ends at the next >.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -67,6 +75,8 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s/=]|$)", re.I)
 #: What ends an element that is skipped, and whose end tag was left out: none of these is within one.
 SURE_BLOCK = r"<(?:article|main|section|nav|footer|header|aside|body|h[1-6]|p|table|ul|ol|form)[\s>]"
 
@@ -75,7 +85,9 @@ PRIOR_PAGES = 4.0
 LEAST_IMPORTANCE = 0.3
 #: On a page that marks its article, the importance below which a branch beside it is cut.
 LEAST_BESIDE = 0.6
-PLAIN, NOISE, CONTENT = 0, 1, 2
+PLAIN, NOISE, CONTENT, COMMENT = 0, 1, 2, 3
+#: Pages of a node from which on a content that most of them share is looked up by itself.
+LEAST_SHARED = 8
 NOISE_FACTOR, PLAIN_FACTOR = 0.25, 0.5
 #: Nodes whose entropies are broadcast at most (16 bytes each); copies of the entropies of a host beyond.
 MOST_TOLD = 250_000
@@ -103,11 +115,24 @@ def _style(tag: str, attrs: str) -> tuple[str, int]:
     """The label of a node in the style tree, and what its names say."""
     said = " ".join([(a or b or c).lower() for _, a, b, c in ATTRIBUTE.findall(attrs)]) if "=" in attrs else ""
     label = tag + ("." + ".".join(sorted(re.sub(r"\d+", "0", said).split())) if said else "")
-    if tag not in ("html", "body") and (tag in NOISE_TAGS or said and NOISE_NAMES.search(said)):
-        return label, NOISE
+    if tag not in ("html", "body"):
+        if said and COMMENTS.search(said):
+            return label, COMMENT
+        if tag in NOISE_TAGS or said and NOISE_NAMES.search(said) or _unseen(attrs):
+            return label, NOISE
     return label, CONTENT if tag in ("article", "main") or said and "article" in said.split() else PLAIN
 
 
+def _unseen(attrs: str) -> bool:
+    """Whether an element's attributes say that it is not shown."""
+    return "display" in attrs and re.search(r"display\s*:\s*none", attrs, re.I) is not None or "hidden" in attrs.lower() and UNSEEN.search(QUOTED.sub("", attrs)) is not None
+
+
+def content_key(node: int, value: int) -> int:
+    """What a content of a node is known by among the entropies."""
+    return _hash(node.to_bytes(8, "little", signed=True) + value.to_bytes(8, "little", signed=True))
+
+
 @dataclass
 class Page:
     """The tree of a page. Of a node: its key, the node above, what its names say, whether an article is in it, its children's labels."""
@@ -131,16 +156,25 @@ class Page:
         return len(self.key) - 1
 
     def settled(self) -> list[int]:
-        """PLAIN, NOISE or CONTENT for each node. One that looks like noise but holds most of the page's text, or an article, is plain."""
-        size = [0] * len(self.key)
+        """PLAIN, NOISE or CONTENT for each node. One that looks like noise but holds most of the page's text, or an article, is plain.
+
+        Comments are noise even then, unless there is no text of note besides.
+        """
+        size, noisy = [0] * len(self.key), [False] * len(self.key)
+        for i in range(1, len(size)):
+            noisy[i] = noisy[self.above[i]] or self.says[i] in (NOISE, COMMENT)
         for i, said in self.blocks:
             size[i] += len(said)
+        free = sum(n for n, x in zip(size, noisy) if not x)
         for i in range(len(size) - 1, 0, -1):
             size[self.above[i]] += size[i]
         out, opened = [PLAIN], [True]  # within a branch that is not opened, an article is as likely a teaser
         for i in range(1, len(size)):
             above, says, most = self.above[i], self.says[i], 2 * size[i] > size[0]
-            if says == NOISE:
+            if says == COMMENT and (free >= OF_NOTE or out[above] == NOISE):
+                out.append(NOISE)
+                opened.append(False)
+            elif says in (NOISE, COMMENT):
                 out.append(PLAIN if (most or self.holds[i]) and out[above] != NOISE else NOISE)
                 opened.append(opened[above] and most)
             else:
@@ -153,6 +187,28 @@ def parse_page(page: str | None, host: str = "") -> Page:
     page = page or ""
     tree = Page([node_key(0, host)])
     stack: list[tuple[str, int]] = []  # tag, node
+    places: dict[str, list[int]] = {}  # of a tag in the stack
+    open_blocks: list[int] = []  # places of blocks in the stack
+    ends: dict[str, re.Match | None] = {}  # the next end tag of an element that is skipped
+
+    def push(tag: str, node: int) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCKS:
+            open_blocks.append(len(stack))
+        stack.append((tag, node))
+
+    def cut(to: int) -> None:
+        while len(stack) > to:
+            tag, _ = stack.pop()
+            places[tag].pop()
+            if tag in BLOCKS:
+                open_blocks.pop()
+
+    def end_of(tag: str, after: int) -> re.Match | None:
+        if tag not in ends or ends[tag] is not None and ends[tag].start() < after:
+            ends[tag] = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, after)
+        return ends[tag]
+
     text: list[str] = []
 
     def flush() -> None:
@@ -180,7 +236,7 @@ def parse_page(page: str | None, host: str = "") -> Page:
         tag, attrs = tag.lower(), m["attrs"] if m["attrs"] is not None else m["open"]
         if tag in SKIPPED:
             if not m["end"] and not attrs.rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                end = end_of(tag, at)
                 if end and tag in ("button", "select") and (sure := re.compile(SURE_BLOCK, re.I).search(page, at, end.start())):
                     at = sure.start()
                 elif end:
@@ -193,19 +249,18 @@ def parse_page(page: str | None, host: str = "") -> Page:
         elif m["end"]:
             if tag in BLOCKS:
                 flush()
-            opened = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if opened is not None and not (tag not in BLOCKS and any(s[0] in BLOCKS for s in stack[opened:])):
-                del stack[opened:]
+            if places.get(tag) and (tag in BLOCKS or not open_blocks or open_blocks[-1] < places[tag][-1]):
+                cut(places[tag][-1])
         else:
             if tag in BLOCKS:
                 flush()
                 # A paragraph, or an item, ends where the next begins; inline elements left open end with it.
                 while stack and (stack[-1][0] not in BLOCKS or stack[-1][0] == "p" or stack[-1][0] == tag in ("li", "dt", "dd", "tr", "td", "th")):
-                    stack.pop()
+                    cut(len(stack) - 1)
             if tag not in VOID and not attrs.rstrip().endswith("/"):
                 label, says = _style(tag, attrs)
                 above = stack[-1][1] if stack else 0
-                stack.append((tag, tree.add(above, tag, label, says) if tag in BLOCKS or says != PLAIN else above))
+                push(tag, tree.add(above, tag, label, says) if tag in BLOCKS or says != PLAIN else above)
     if at < len(page):
         text.append(entities.unescape(page[at:]))
     flush()
@@ -246,7 +301,9 @@ def importance(tree: Page, entropies: Entropies) -> tuple[list[int], list[float]
         own = float(look[i]) if tree.counts[i] else 0.0
         above.append(max(own, above[tree.above[i]]))
     factor = {NOISE: lambda i: NOISE_FACTOR, PLAIN: lambda i: PLAIN_FACTOR + (1 - PLAIN_FACTOR) * above[i], CONTENT: lambda i: 1.0}
-    return [settled[i] for i, _ in tree.blocks], [float(content[i]) * factor[settled[i]](i) for i, _ in tree.blocks]
+    # What most pages say in the same place counts by itself, also beside texts that are each page's own.
+    own, _ = entropies.of([content_key(tree.key[i], _hash(said.encode("utf-8", "surrogatepass"))) for i, said in tree.blocks])
+    return [settled[i] for i, _ in tree.blocks], [min(float(content[i]), float(c)) * factor[settled[i]](i) for (i, _), c in zip(tree.blocks, own)]
 
 
 def kept_blocks(tree: Page, entropies: Entropies) -> list[str]:
@@ -295,7 +352,11 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     content = F.when(F.col("n") > 0, 1 - F.col("kl1") / (F.col("n") * F.log(F.col("m").cast("double")))).otherwise(1.0)
     look = 1 - F.col("kl0") / (F.col("m") * F.log(F.col("m").cast("double")))
     drawn = lambda x, to: (F.col("m") * F.greatest(F.lit(0.0), x) + PRIOR_PAGES * to) / (F.col("m") + PRIOR_PAGES)
-    return seen.select("host", "node", F.col("m").alias("pages"), drawn(content, 1).alias("content"), drawn(look, 0).alias("look"))
+    # Contents that most pages of a node share: fewer than two of a node's blocks a page, so no more rows than nodes.
+    often = values.where(f"kind = 1 and k >= {LEAST_SHARED} / 2").join(seen.where(f"m >= {LEAST_SHARED}").select("host", "node", "m"), ["host", "node"]).where("2 * k > m")
+    key = F.udf(content_key, "long")
+    shared = often.select("host", key("node", "value").alias("node"), F.col("m").alias("pages"), drawn(1 - F.log(F.col("k").cast("double")) / F.log(F.col("m").cast("double")), 1).alias("content"), F.lit(0.0).alias("look"))
+    return seen.select("host", "node", F.col("m").alias("pages"), drawn(content, 1).alias("content"), drawn(look, 0).alias("look")).unionByName(shared)
 
 
 def _texts(batch: pa.RecordBatch, host: int, html: int, entropies: Entropies) -> tuple[list[str], list[int]]:

@@ -51,7 +51,7 @@ RULES = [
     Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:(?!-----(?:BEGIN|END) )[\x00-\x7f])*-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:(?:\\[nr]|[\s\x22'+,>])*(?:(?:Proc-Type|DEK-Info):[^\r\n]*|[A-Za-z0-9+/=]{16,}))*(?:(?:\\[nr]|\s)+[A-Za-z0-9+/]*={1,2})?)"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]+"),
     Rule("bearer", r"bearer\x20+[A-Za-z0-9+/_.=-]{20,}", True),
 ]
 KINDS = [r.kind for r in RULES]
