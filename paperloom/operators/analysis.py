@@ -1,14 +1,16 @@
 """Pictures sent to a model by an injected client, and its replies as rows.
 
 A client is a picklable object with ``analyze(prompt, base64, mime)`` that gives
-(text, model, tokens_in, tokens_out). It runs in the tasks, a call a picture;
-how many run at once is the number of tasks.
+(text, model, tokens_in, tokens_out). It runs in the tasks, a call a picture; a
+task has ``Options.calls_in_flight`` of them under way and gives their rows in order.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 from typing import Protocol, TypeVar
 
 import pandas as pd
@@ -23,6 +25,8 @@ T = TypeVar("T")
 #: What a reply holds, and of what type; failures that are tried again.
 REPLY_FIELDS = {"summary": "a paragraph", "extracted_text": "all text that can be read", "visual_elements": "[{type, description, data_extracted}]", "tables": "[{title, headers, rows}]", "key_entities": "[names, dates, numbers]", "confidence": "high, medium or low", "notes": "what is unclear"}
 NETWORK = ("ECONNRESET", "ETIMEDOUT", "ENOTFOUND", "EAI_AGAIN")
+#: Replies that a task gathers before it passes them on.
+ROWS_HELD = 20
 #: Characters of a page's text that go along with its picture.
 HINT = 4_000
 
@@ -68,6 +72,22 @@ def with_retry(call: Callable[[], T], options: Options = Options(), wait: Callab
     raise AssertionError
 
 
+def in_flight(call: Callable[[tuple], tuple], rows: Iterable[tuple], most: int) -> Iterator[tuple]:
+    """What ``call`` gives of each row, in order, with ``most`` calls under way; no row is taken before there is room for it."""
+    with ThreadPoolExecutor(max(1, most)) as pool:
+        waiting: deque[Future] = deque()
+        try:
+            for row in rows:
+                if len(waiting) >= max(1, most):
+                    yield waiting.popleft().result()
+                waiting.append(pool.submit(call, row))
+            while waiting:
+                yield waiting.popleft().result()
+        finally:
+            for call_ in waiting:
+                call_.cancel()
+
+
 def parse_reply(raw: Column) -> Column:
     """(parsed, summary, extracted_text, elements, tables, entities, confidence, notes) of a reply; an empty record of low confidence for no JSON."""
     json = reply.json_candidate(raw)
@@ -88,20 +108,26 @@ def analyze_visuals(visuals: DataFrame, client: ModelClient, provider: str, opti
     """
     names = ["file", "visual_no", "label", "model", "latency", "tokens_in", "tokens_out", "error", "raw"]
 
+    def one(row: tuple) -> tuple:
+        file, number, label, mime, data, prompt = row
+        began = time.monotonic()
+        try:
+            text, model, used, given, error = *with_retry(lambda: client.analyze(prompt, data, mime), options), None
+        except Exception as e:  # noqa: BLE001
+            if options.fail_fast:
+                raise
+            text, model, used, given, error = None, None, None, None, f"{type(e).__name__}: {e}"[:300]
+        return file, number, label, model, int(1000 * (time.monotonic() - began)), used, given, error, text
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for file, number, label, mime, data, prompt in batch.itertuples(index=False):
-                began = time.monotonic()
-                try:
-                    said = with_retry(lambda p=prompt, d=data, m=mime: client.analyze(p, d, m), options)
-                    text, model, used, given, error = *said, None
-                except Exception as e:  # noqa: BLE001
-                    if options.fail_fast:
-                        raise
-                    text, model, used, given, error = None, None, None, None, f"{type(e).__name__}: {e}"[:300]
-                rows.append((file, number, label, model, int(1000 * (time.monotonic() - began)), used, given, error, text))
-            yield pd.DataFrame(rows, columns=names, dtype=object)
+        rows = (tuple(row) for batch in batches for row in batch.itertuples(index=False))
+        held = []
+        for done in in_flight(one, rows, options.calls_in_flight):
+            held.append(done)
+            if len(held) >= ROWS_HELD:
+                yield pd.DataFrame(held, columns=names, dtype=object)
+                held = []
+        yield pd.DataFrame(held, columns=names, dtype=object)
 
     schema = "file string, visual_no int, label string, model string, latency long, tokens_in long, tokens_out long, error string, raw string"
     done = visuals.select("file", F.col("visual_no").cast("int"), "label", "mime", "base64", "prompt").mapInPandas(run, schema)

@@ -21,6 +21,8 @@ class Options:
     most_cached: int = 500
     longest_side: int = 2000
     retries: int = 3
+    calls_in_flight: int = 3
+    most_files: int = 20
     first_wait: float = 1.0
     fail_fast: bool = False
 

@@ -13,7 +13,8 @@ from paperloom.operators import analysis, comparison, records, relational
 from paperloom.options import Options
 from paperloom.plans.catalogue import _EXT_SQL, _NAMED_SQL, _named, query
 from paperloom.plans.files import OFFICE, RELS, _entry, _text
-from paperloom.sources import delimited, listing, packages
+from paperloom.sources import delimited, folder_source, listing, packages, sinks
+from paperloom.streaming.folder import PROGRESS, stream_progress
 
 FIRST, SECOND = "north", "south"
 
@@ -249,3 +250,32 @@ def read_plan(documents: DataFrame) -> DataFrame:
         "doc_id", listing.read_strategy(F.col("n_chars"), F.length("text") % 2 == 0, Options(range_threshold=2_000)).alias("strategy"), records.should_render(F.col("doc_id") % 3 == 0, "auto").alias("rendered"),
         records.vision_calls(F.when(F.col("doc_id") % 5 == 0, "pdf").otherwise("docx"), F.col("n_chars"), F.col("doc_id")).alias("calls"),
     )
+
+
+@query("documents", "SELECT source AS folder, doc_id::VARCHAR AS id, doc_id || '.txt' AS name, n_chars AS size, doc_id // 50 AS page FROM documents WHERE n_chars > 1000 AND doc_id IS NOT NULL AND source IS NOT NULL")
+def folder_listing(documents: DataFrame) -> DataFrame:
+    """Listings of folders, in pages of 50 ids, written as JSON lines and read by the data source, which applies the filter."""
+    spark = documents.sparkSession
+    root = sinks.scratch_folder(spark, "listing")
+    entries = documents.where("doc_id is not null and source is not null").select(F.col("source").alias("folder"), F.expr("doc_id div 50").alias("page"), F.to_json(F.struct(
+        F.col("doc_id").cast("string").alias("id"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.lit("text/plain").alias("mimeType"), F.col("n_chars").cast("string").alias("size"), F.col("doc_id").alias("at"),
+    )).alias("value"))
+    entries.repartition("folder", "page").write.partitionBy("folder", "page").text(root)
+    folder_source.register(spark)
+    found = spark.read.format("paperloom_folder").option("root", root).load().where("size > 1000 and error is null")
+    return found.select("folder", "id", "name", "size", (F.col("id").cast("long") - F.pmod(F.col("id").cast("long"), F.lit(50))).alias("at")).select("folder", "id", "name", "size", F.expr("at div 50").alias("page"))
+
+
+@query("documents", """SELECT source AS run, n AS total, n - lost AS done, lost AS failed, hit AS hits, n - hit AS misses
+ FROM (SELECT source, count(*) AS n, count_if(doc_id % 7 = 0)::BIGINT AS lost, count_if(doc_id % 3 = 0)::BIGINT AS hit FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL GROUP BY source)""")
+def running_progress(documents: DataFrame) -> DataFrame:
+    """The last row of each run of a stateful stream over a line for each document, taken in several batches."""
+    spark = documents.sparkSession
+    folder = sinks.scratch_folder(spark, "progress")
+    rows = documents.where("source is not null and doc_id is not null")
+    sizes = rows.groupBy(F.col("source").alias("run")).agg(F.count("*").alias("total"))
+    lines = rows.select(F.col("source").alias("run"), F.col("doc_id").cast("string").alias("path"), (F.col("doc_id") % 3 == 0).alias("cached"), F.when(F.col("doc_id") % 7 == 0, "EXTRACTION_FAILED").alias("error")).join(sizes, "run")
+    lines.select(F.to_json(F.struct("run", "total", "path", "cached", "error")).alias("value")).repartition(4).write.text(f"{folder}/results")
+    stream_progress(spark, f"{folder}/results", f"{folder}/out", f"{folder}/checkpoint", files_a_batch=2).awaitTermination()
+    told = spark.read.text(f"{folder}/out").select(F.from_json("value", PROGRESS).alias("r")).select("r.*").where("type = 'done'")
+    return told.select("run", "total", "done", "failed", "hits", "misses")

@@ -2,12 +2,16 @@
 
 A client is any picklable object. ``pages(folder)`` yields lists of entries
 (dictionaries with id, name, mimeType, modifiedTime, size, md5Checksum,
-webViewLink), ``fetch(entry)`` gives an entry's bytes. It runs in the tasks.
+webViewLink), ``fetch(entry)`` gives an entry's bytes; a client with
+``chunks(entry, start)``, which yields them from an offset on, is asked for these
+instead. It runs in the tasks.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import time
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
@@ -17,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import detect
+from paperloom.operators.analysis import can_retry
 from paperloom.options import Options, PaperloomError
 
 ENTRY = "folder string, ordinal long, id string, name string, mime string, modified string, size long, md5 string, link string, error string"
@@ -39,6 +44,8 @@ def list_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     try:
         found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "modificationTime", "length")
     except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+            raise
         raise PaperloomError("FILE_NOT_FOUND", f"not found: {', '.join(paths)}") from e
     kept = found.where(detect.is_supported(F.col("path")) & ~F.rlike("path", F.lit(r"/\.")))
     if kept.isEmpty():
@@ -59,13 +66,19 @@ def read_strategy(length: Column, seekable: Column, options: Options = Options()
     return F.when(seekable & (length > options.range_threshold), "range").otherwise("buffer")
 
 
-def _told(e: BaseException) -> str:
+def error_text(e: BaseException) -> str:
     """An error as a cell: its code or kind, without what may be a secret in a URL."""
     return f"{getattr(e, 'code', None) or type(e).__name__}: {re.sub(r'([?&](?:key|token|sig)[^=]*=)[^&\s]+', r'\1...', str(e))[:300]}"
 
 
+def entry_row(folder: str, ordinal: int, e: dict[str, Any]) -> tuple:
+    """An entry of a client as a row of ENTRY."""
+    size = None if e.get("size") in (None, "") else int(e["size"])
+    return folder, ordinal, e.get("id"), e.get("name"), e.get("mimeType"), e.get("modifiedTime"), size, e.get("md5Checksum"), e.get("webViewLink"), None
+
+
 def folder_manifest(folders: DataFrame, client: FolderClient) -> DataFrame:
-    """The entries of each folder in the client's order, without contents; a folder that fails is one row with an error.
+    """The entries of each folder in the client's order, without contents, passed on page by page; where a folder fails is a row with an error.
 
     ``folders``: (folder). Ids are checked before the client is asked.
     """
@@ -73,15 +86,15 @@ def folder_manifest(folders: DataFrame, client: FolderClient) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for folder, refused in zip(batch["folder"], batch["refused"]):
-                rows: list[tuple] = []
+                names, given = [c.split()[0] for c in ENTRY.split(", ")], 0
                 try:
                     if refused:
                         raise PaperloomError(refused, "no folder id")
                     for page in client.pages(folder):
-                        rows += [(folder, len(rows) + i, e.get("id"), e.get("name"), e.get("mimeType"), e.get("modifiedTime"), None if e.get("size") in (None, "") else int(e["size"]), e.get("md5Checksum"), e.get("webViewLink"), None) for i, e in enumerate(page)]
+                        yield pd.DataFrame([entry_row(folder, given + i, e) for i, e in enumerate(page)], columns=names, dtype=object)
+                        given += len(page)
                 except Exception as e:  # noqa: BLE001 (whatever a client raises is a row)
-                    rows = [(folder, 0, *[None] * 7, _told(e))]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in ENTRY.split(", ")], dtype=object)
+                    yield pd.DataFrame([(folder, given, *[None] * 7, error_text(e))], columns=names, dtype=object)
 
     asked = folders.select(F.trim("folder").alias("folder"), detect.folder_id_error(F.col("folder")).alias("refused"))
     found = asked.mapInPandas(run, ENTRY)
@@ -89,10 +102,38 @@ def folder_manifest(folders: DataFrame, client: FolderClient) -> DataFrame:
     return found.withColumn("kind", kind).withColumn("read_name", detect.export_name(F.col("name"), F.col("mime")))
 
 
+def bounded(client: FolderClient, entry: dict[str, Any], options: Options, wait: Callable[[float], None] = time.sleep) -> tuple[bytes, str]:
+    """(bytes, MD5) of an entry. What proves larger than ``most_bytes`` is given up within a chunk of it.
+
+    A failure that may pass goes on from the bytes that are there, ``retries`` times without a new byte in between.
+    """
+    if not hasattr(client, "chunks"):
+        data = client.fetch(entry)
+        if len(data) > options.most_bytes:
+            raise PaperloomError("FILE_TOO_LARGE", str(entry.get("name")))
+        return data, hashlib.md5(data).hexdigest()
+    held, digest, failed = bytearray(), hashlib.md5(), 0
+    while True:
+        try:
+            for chunk in client.chunks(entry, len(held)):
+                held += chunk
+                digest.update(chunk)
+                failed = 0
+                if len(held) > options.most_bytes:
+                    raise PaperloomError("FILE_TOO_LARGE", str(entry.get("name")))
+            return bytes(held), digest.hexdigest()
+        except Exception as e:
+            failed += 1
+            if failed > options.retries or not can_retry(e):
+                raise
+            wait(options.first_wait * 2 ** (failed - 1))
+
+
 def fetch_entries(entries: DataFrame, client: FolderClient, options: Options = Options()) -> DataFrame:
     """``entries`` (a manifest) with content and error; what its size rules out is not fetched, what proves larger is refused.
 
-    Entries that are folders or of no supported type stay without content.
+    Contents are hashed as they come: one that differs from the manifest's ``md5`` is an error, CHECKSUM_MISMATCH, and
+    not passed on. Entries that are folders or of no supported type stay without content.
     """
     told = entries.withColumn("error", F.coalesce("error", F.when(F.col("size") > options.most_bytes, "FILE_TOO_LARGE")))
     schema = told.withColumn("content", F.lit(None).cast("binary")).schema
@@ -104,12 +145,12 @@ def fetch_entries(entries: DataFrame, client: FolderClient, options: Options = O
                 row["content"] = None
                 if row["error"] is None and row["kind"] in ("file", "export"):
                     try:
-                        data = client.fetch(row)
-                        if len(data) > options.most_bytes:
-                            raise PaperloomError("FILE_TOO_LARGE", row["name"])
+                        data, md5 = bounded(client, row, options)
+                        if row["kind"] == "file" and re.fullmatch("[0-9a-fA-F]{32}", row["md5"] or "") and md5 != row["md5"].lower():
+                            raise PaperloomError("CHECKSUM_MISMATCH", f"{row['name']}: {md5}")
                         row["content"], size = data, size + len(data)
                     except Exception as e:  # noqa: BLE001
-                        row["error"] = _told(e)
+                        row["error"] = error_text(e)
                 held.append(row)
                 if size >= HELD_BYTES:
                     yield pd.DataFrame(held, columns=schema.names, dtype=object)
