@@ -40,10 +40,11 @@ SCRIPT_RANGES = [
 ]
 SCRIPTS = ["other", *dict.fromkeys(name for name, _, _ in SCRIPT_RANGES)]
 
-#: Features are hashed to so many bits, fewer if languages x features would be more than MOST_WEIGHTS.
-BITS = 18
-MOST_WEIGHTS = 1 << 23
-MOST_LANGUAGES = 256
+#: Size of the model: features are hashed to so many bits, fewer if languages x features would be more than MOST_WEIGHTS,
+#: but not under LEAST_BITS. All labels are learnt, up to the number that these leave room for (the frequent ones first).
+BITS, LEAST_BITS = 18, 11
+MOST_WEIGHTS = 1 << 24
+MOST_LANGUAGES = MOST_WEIGHTS >> LEAST_BITS
 #: Code points handled at once; bounds the memory of a task whatever the batch.
 CHUNK = 250_000
 SWITCH_PENALTY = 12.0
@@ -225,8 +226,9 @@ def fit_language_model(docs: DataFrame, text: str = "text", lang: str = "lang",
     if not languages:
         return LanguageModel([], BITS, np.zeros((1 << BITS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool))
     bits = min(BITS, int(np.log2(MOST_WEIGHTS / len(languages))))
-    rate = F.create_map(*[F.lit(x) for l in languages for x in (l, min(1.0, docs_per_language / sizes[l]))])
-    sample = known.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < rate[F.col("l")] * 1_000_000).select("t", "l")
+    spark = docs.sparkSession
+    rate = F.broadcast(spark.createDataFrame([(l, min(1.0, docs_per_language / sizes[l])) for l in languages], "l string, rate double"))  # MOST_LANGUAGES rows
+    sample = known.join(rate, "l").where(F.pmod(F.xxhash64("k", "t"), F.lit(1_000_000)) < F.col("rate") * 1_000_000).select("t", "l")
     number = {l: i for i, l in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,9 +3,9 @@
 Both dictionaries are trained on a bounded sample of labelled rows. The one of
 ordinary text is trained on windows of ordinary documents. The one of toxic text
 has the same content, and before it what is trained on the words that set toxic
-documents apart: those with many different words before them (so that copies and
-passages that documents share don't count for more than once) and far more in
-toxic documents than in ordinary ones. A window of ordinary words is as long
+documents apart: those with many different words before and after them (so that
+copies and passages that documents share don't count for more than once) and in
+far more toxic documents than ordinary ones. A window of ordinary words is as long
 with either; what the toxic dictionary saves is the distance. The numbers of
 windows beyond thresholds of it, and their shares, become a probability by a
 logistic curve, calibrated on labelled rows that the dictionaries have not seen.
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,7 +40,7 @@ from paperloom.llm.common import delete_table, table, write_table
 WORDS, LONGEST_WORD = 8, 48
 #: Labelled rows that are learnt from, about, of toxic and ordinary documents.
 MOST_TOXIC, MOST_ORDINARY = 3_000, 12_000
-#: Of a word, or first STEM characters of words, of the toxic dictionary: different words before it, rate in toxic documents to that in ordinary ones.
+#: Of a word, or first STEM characters of words, of the toxic dictionary: different words before and after it, its share of toxic documents to that of ordinary ones.
 SUPPORT, CONTRAST, STEM = 6, 8.0, 5
 #: Words and windows that are given to the training of a dictionary at most, the frequent words first.
 MOST_MARKS, MOST_WINDOWS = 20_000, 100_000
@@ -156,26 +157,42 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, ident: str, l
     return rows, total.get(1, 0) / (sum(total.values()) or 1) if total else 0.1
 
 
+def _marks_of(text: str) -> Iterator[tuple[str, str, str]]:
+    """(mark, word before, word after) for the words of a text and for their stems; marks have the spaces beside them."""
+    found = _WORD.findall(text.lower())
+    for before, word, after in zip(["", *found], found, [*found[1:], ""]):
+        yield f" {word} ", before, after
+        if len(word) > STEM:
+            yield f" {word[:STEM]}", before, after
+
+
 def marks(sample: DataFrame, n: dict[int, int]) -> list[tuple[str, int]]:
-    """(word, number of different words before it) of the words, and the stems of words, that set toxic documents apart; with the spaces beside them."""
+    """(mark, support) of the words, and the stems of words, that set toxic documents apart.
+
+    Those that are in far more toxic documents than ordinary ones come first; of these, the ones with many different
+    words before them and many after: each word of a passage that documents share has one of them only.
+    """
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = set()
+            sums = [Counter(), Counter()]
             for t, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                before = ""
-                for m in _WORD.finditer(t.lower()):
-                    at = zlib.crc32(before.encode())
-                    found.add((toxic, f" {m[0]} ", at))
-                    if len(m[0]) > STEM:
-                        found.add((toxic, f" {m[0][:STEM]}", at))
-                    before = m[0]
-            yield pa.RecordBatch.from_pydict({"toxic": pa.array([f[0] for f in found], pa.int32()), "word": pa.array([f[1] for f in found], pa.string()), "before": pa.array([f[2] for f in found], pa.int64())})
-
-    met = sample.select("text", "toxic").mapInArrow(pairs, "toxic int, word string, before long").distinct()
-    words = met.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("o"))
-    apart = words.where((F.col("t") >= SUPPORT) & (F.col("t") / n[1] > CONTRAST * (F.col("o") + 1) / n[0]))
-    return [(r["word"], r["t"]) for r in apart.orderBy(F.desc("t"), "word").limit(MOST_MARKS).collect()]
+                sums[toxic].update({m for m, _, _ in _marks_of(t)})
+            words = list(sums[0].keys() | sums[1].keys())
+            yield pa.RecordBatch.from_pydict({"mark": pa.array(words, pa.string()), "t": pa.array([sums[1][w] for w in words], pa.int64()), "o": pa.array([sums[0][w] for w in words], pa.int64())})
+
+    counted = sample.select("text", "toxic").mapInArrow(documents, "mark string, t long, o long").groupBy("mark").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    apart = counted.where((F.col("t") >= SUPPORT) & (F.col("t") / n[1] > CONTRAST * (F.col("o") + 1) / n[0]))
+    chosen = {r["mark"] for r in apart.orderBy(F.desc("t"), "mark").limit(MOST_MARKS).collect()}
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {(m, side, zlib.crc32(w.encode())) for t in batch.column(0).to_pylist() for m, *beside in _marks_of(t) if m in chosen for side, w in enumerate(beside)}
+            yield pa.RecordBatch.from_pydict({"mark": pa.array([f[0] for f in found], pa.string()), "side": pa.array([f[1] for f in found], pa.int32()), "word": pa.array([f[2] for f in found], pa.int64())})
+
+    met = sample.where("toxic = 1").select("text").mapInArrow(neighbours, "mark string, side int, word long").distinct()
+    support = met.groupBy("mark", "side").agg(F.count("*").alias("n")).groupBy("mark").agg(F.min("n").alias("n"))
+    return [(r["mark"], r["n"]) for r in support.where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "mark").collect()]  # MOST_MARKS at most
 
 
 def ordinary_windows(sample: DataFrame) -> list[bytes]:
