@@ -346,7 +346,8 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     """
     told = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(F.col(html)).alias("page"), F.col(html).alias("html"))
     once = told.mapInArrow(_described, "host long, page long, node long, kind int, value long").distinct()
-    values = once.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("k"))
+    # Written, since it is read twice and pages are not to be parsed anew.
+    values = materialize(once.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("k")), "contents")
     kl = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("k") * F.log(F.col("k").cast("double")))).alias(f"kl{kind}")
     seen = values.groupBy("host", "node").agg(F.sum(F.when(F.col("kind") == 0, F.col("k"))).alias("m"), F.sum(F.when(F.col("kind") == 1, F.col("k"))).alias("n"), kl(0), kl(1)).where("m > 1")
     content = F.when(F.col("n") > 0, 1 - F.col("kl1") / (F.col("n") * F.log(F.col("m").cast("double")))).otherwise(1.0)
