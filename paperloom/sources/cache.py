@@ -44,8 +44,8 @@ def _pointer(root: str) -> dict:
 
 
 def upsert(rows: DataFrame, root: str, run: str, key: str = "key") -> None:
-    """Rows of one run; those without a key are left out. The same run again replaces what it has written."""
-    by = rows.where(F.col(key).isNotNull()).withColumn("bucket", bucket_of(F.col(key)))
+    """Rows of one run, one a key; those without a key are left out. The same run again replaces what it has written."""
+    by = rows.where(F.col(key).isNotNull()).dropDuplicates([key]).withColumn("bucket", bucket_of(F.col(key)))
     by.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/runs/run={run}")
 
 
@@ -63,7 +63,7 @@ def current(spark: SparkSession, root: str, schema: str, key: str = "key") -> Da
         rows = rows.unionByName(more)
     names = [c for c in rows.columns if c != "_run"]
     # Within (bucket, key), whose folders a task reads: a row a key and run, so no group is large.
-    place = F.row_number().over(Window.partitionBy("bucket", key).orderBy(F.desc("_run"), *[F.col(c) for c in names if c not in (key, "bucket")]))
+    place = F.row_number().over(Window.partitionBy("bucket", key).orderBy(F.desc("_run")))
     return rows.withColumn("_at", place).where("_at = 1").select(names)
 
 

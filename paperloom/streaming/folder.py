@@ -58,7 +58,7 @@ def stream_folder(spark: SparkSession, landing: str, results: str, cache: str, c
         lines.write.mode("overwrite").text(path)
         told.unpersist()
         written = session.read.text(path).select(F.from_json("value", LINE_SCHEMA).alias("r")).select("r.*")
-        results_cache.upsert(written.where("not cached and error is null").select("key", "kind", "text", "units", "error").dropDuplicates(["key"]), cache, str(number))
+        results_cache.upsert(written.where("not cached and error is null").select("key", "kind", "text", "units", "error"), cache, str(number))
         if number % COMPACT_EVERY == COMPACT_EVERY - 1:
             results_cache.compact(session, cache, CACHE_SCHEMA)
 
