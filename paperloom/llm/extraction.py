@@ -338,26 +338,45 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.int32() if n == "kind" else pa.int64()) for i, n in enumerate(names)})
 
 
-def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, node, pages, content, look): the entropies of each node that two different pages of a host or more have.
+def node_contents(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, node, kind, value, k): on how many different pages of a host a node looks like this (kind 0), or says this (kind 1).
 
-    The keys of all groups but the last one's hold a digest, so a large host is spread over tasks; the last one
-    gets a row for each node and task.
+    The keys of all groups hold a digest, so a large host is spread over tasks. Written, since it is read more than once
+    and pages are not to be parsed anew.
     """
     told = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(F.col(html)).alias("page"), F.col(html).alias("html"))
     once = told.mapInArrow(_described, "host long, page long, node long, kind int, value long").distinct()
-    # Written, since it is read twice and pages are not to be parsed anew.
-    values = materialize(once.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("k")), "contents")
+    return materialize(once.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("k")), "contents")
+
+
+def _drawn(x: Column, to: float) -> Column:
+    return (F.col("m") * F.greatest(F.lit(0.0), x) + PRIOR_PAGES * to) / (F.col("m") + PRIOR_PAGES)
+
+
+def _counted(values: DataFrame) -> DataFrame:
+    """(host, node, m, n, kl0, kl1) of each node that two different pages of a host or more have: a row for each node and task is shuffled."""
     kl = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("k") * F.log(F.col("k").cast("double")))).alias(f"kl{kind}")
-    seen = values.groupBy("host", "node").agg(F.sum(F.when(F.col("kind") == 0, F.col("k"))).alias("m"), F.sum(F.when(F.col("kind") == 1, F.col("k"))).alias("n"), kl(0), kl(1)).where("m > 1")
+    return values.groupBy("host", "node").agg(F.sum(F.when(F.col("kind") == 0, F.col("k"))).alias("m"), F.sum(F.when(F.col("kind") == 1, F.col("k"))).alias("n"), kl(0), kl(1)).where("m > 1")
+
+
+def _nodes(values: DataFrame) -> DataFrame:
     content = F.when(F.col("n") > 0, 1 - F.col("kl1") / (F.col("n") * F.log(F.col("m").cast("double")))).otherwise(1.0)
     look = 1 - F.col("kl0") / (F.col("m") * F.log(F.col("m").cast("double")))
-    drawn = lambda x, to: (F.col("m") * F.greatest(F.lit(0.0), x) + PRIOR_PAGES * to) / (F.col("m") + PRIOR_PAGES)
-    # Contents that most pages of a node share: fewer than two of a node's blocks a page, so no more rows than nodes.
-    often = values.where(f"kind = 1 and k >= {LEAST_SHARED} / 2").join(seen.where(f"m >= {LEAST_SHARED}").select("host", "node", "m"), ["host", "node"]).where("2 * k > m")
+    return _counted(values).select("host", "node", F.col("m").alias("pages"), _drawn(content, 1).alias("content"), _drawn(look, 0).alias("look"))
+
+
+def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, node, pages, content, look): the entropies of each node that two different pages of a host or more have."""
+    return _nodes(node_contents(pages, url, html))
+
+
+def shared_contents(values: DataFrame) -> DataFrame:
+    """As rows of ``style_tree``, by ``content_key``: the contents that most pages of a node share; fewer than twice a node's blocks a page."""
+    large = _counted(values.where(f"kind = 0 or k >= {LEAST_SHARED} / 2")).where(f"m >= {LEAST_SHARED}").select("host", "node", "m")
+    often = values.where(f"kind = 1 and k >= {LEAST_SHARED} / 2").join(large, ["host", "node"]).where("2 * k > m")
     key = F.udf(content_key, "long")
-    shared = often.select("host", key("node", "value").alias("node"), F.col("m").alias("pages"), drawn(1 - F.log(F.col("k").cast("double")) / F.log(F.col("m").cast("double")), 1).alias("content"), F.lit(0.0).alias("look"))
-    return seen.select("host", "node", F.col("m").alias("pages"), drawn(content, 1).alias("content"), drawn(look, 0).alias("look")).unionByName(shared)
+    content = 1 - F.log(F.col("k").cast("double")) / F.log(F.col("m").cast("double"))
+    return often.select("host", key("node", "value").alias("node"), F.col("m").alias("pages"), _drawn(content, 1).alias("content"), F.lit(0.0).alias("look"))
 
 
 def _texts(batch: pa.RecordBatch, host: int, html: int, entropies: Entropies) -> tuple[list[str], list[int]]:
@@ -373,7 +392,8 @@ def _texts(batch: pa.RecordBatch, host: int, html: int, entropies: Entropies) ->
 def extract_main_text(pages: DataFrame, ident: str = "page_id", url: str = "url", html: str = "html", most_told: int = MOST_TOLD) -> DataFrame:
     """(page_id, url, host, text, n_cut): the main text of each page, and how many blocks were cut."""
     spark = pages.sparkSession
-    tree = materialize(style_tree(pages, url, html), "style-tree")
+    values = node_contents(pages, url, html)
+    tree = materialize(_nodes(values).unionByName(shared_contents(values)), "style-tree")
     rows = pages.select(F.col(ident).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
     schema = f"page_id {dict(rows.dtypes)['page_id']}, url string, host string, text string, n_cut int"
     given = lambda some, texts, cut: pa.RecordBatch.from_arrays([*(some.column(i) for i in range(3)), pa.array(texts, pa.string()), pa.array(cut, pa.int32())], names=["page_id", "url", "host", "text", "n_cut"])
