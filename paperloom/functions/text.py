@@ -136,6 +136,12 @@ def table_text(table: Column) -> Column:
     return markdown_to_text(table)
 
 
+def safe_average(value: Column) -> Column:
+    """The average of what is a number, to three places; null without any."""
+    number = value.cast("double")
+    return round3(F.avg(F.when(~F.isnan(number), number)))
+
+
 def round3(value: Column) -> Column:
     """Rounded half up to three places."""
     return F.floor(value * 1000 + 0.5) / 1000

@@ -8,16 +8,21 @@ the report, which has a line for each file and a fixed head, becomes text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.reply import keyword_recall, text_agreement
-from paperloom.functions.text import round3, shown
+from paperloom.functions.text import safe_average, shown
+from paperloom.operators.relational import provider_metrics
 
 #: What one provider said of a picture, as ``compare_visuals`` gives it.
 SIDE = ("parsed", "confidence", "latency", "elements", "tables", "summary", "extracted_text")
 
 
+#: An analysis as JSON.
+ANALYSIS = "file string, visual_no int, label string, provider string, model string, latency long, tokens_in long, tokens_out long, error string, parsed boolean, summary string, extracted_text string, elements int, tables int, entities int, confidence string, notes string"
+
+
 def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]*)[/\\]*$", 1)
 
@@ -39,6 +44,12 @@ def compare_visuals(analyses: DataFrame, first: str, second: str) -> DataFrame:
     return both.select("file", "visual_no", "label", text_agreement(F.col("first.extracted_text"), F.col("second.extracted_text")).alias("agreement"), "first", "second")
 
 
+def read_truth(spark: SparkSession, path: str) -> DataFrame:
+    """(name, keywords) from a JSON file of ``{name: {"expectedKeywords": [...]}}``; a file that is none of these gives no rows."""
+    told = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, struct<expectedKeywords: array<string>>>").alias("files"))
+    return told.select(F.explode("files").alias("name", "found")).where("found.expectedKeywords is not null").select("name", F.col("found.expectedKeywords").alias("keywords"))
+
+
 def with_recall(visuals: DataFrame, truth: DataFrame) -> DataFrame:
     """``visuals`` with first_recall and second_recall: keywords of the file's name in ``truth`` (name, keywords) that a side found; null without any.
 
@@ -60,11 +71,11 @@ def comparison_totals(visuals: DataFrame, first: str, second: str) -> DataFrame:
         F.struct(F.lit(i).alias("place"), F.lit(name).alias("provider"), F.col(side).alias("said"), F.col(f"{side}_recall").alias("recall")) for i, name, side in sides
     ])).alias("x")).select("file", "visual_no", "agreement", "x.*")
     there = F.col("said").isNotNull()
-    mean = lambda c: round3(F.avg(F.when(there, c.cast("double"))))
+    mean = lambda c: safe_average(F.when(there, c))
     totals = rows.groupBy("place", "provider").agg(
         F.count_if(there).alias("analyses"), mean(F.col("said.parsed").cast("int")).alias("parse_rate"), mean(F.col("said.latency")).alias("latency"),
-        mean(F.coalesce("said.elements", F.lit(0))).alias("elements"), mean(F.coalesce("said.tables", F.lit(0))).alias("tables"), round3(F.avg("recall")).alias("recall"),
-        F.count_if(there & (F.col("said.confidence") == "low")).alias("n_low"), round3(F.avg("agreement")).alias("agreement"),
+        mean(F.coalesce("said.elements", F.lit(0))).alias("elements"), mean(F.coalesce("said.tables", F.lit(0))).alias("tables"), safe_average(F.col("recall")).alias("recall"),
+        F.count_if(there & (F.col("said.confidence") == "low")).alias("n_low"), safe_average(F.col("agreement")).alias("agreement"),
         F.count("*").alias("visuals"), F.count_distinct("file").alias("files"),
     )
     return totals.orderBy("place").drop("place")
@@ -88,6 +99,13 @@ def recommendation(totals: DataFrame, first: str, second: str) -> DataFrame:
     )
 
 
+def file_summaries(analyses: DataFrame) -> DataFrame:
+    """(file, provider, parse_rate, latency, elements, tables, failures): what a report says of each file."""
+    metrics = provider_metrics(analyses, ["file", "provider"]).select("file", "provider", "parse_rate", F.col("avg_latency").alias("latency"), F.col("avg_elements").alias("elements"), F.col("avg_tables").alias("tables"))
+    failed = failure_cases(analyses).groupBy("file", "provider").agg(F.count("*").alias("failures"))
+    return metrics.join(failed, ["file", "provider"], "left").withColumn("failures", F.coalesce("failures", F.lit(0)))
+
+
 def report_lines(totals: DataFrame, advice: DataFrame, summaries: DataFrame, first: str, second: str) -> DataFrame:
     """(place, line) of a Markdown report: a table of totals, the advice, and a row for each file and provider.
 

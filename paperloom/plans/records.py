@@ -179,11 +179,8 @@ def comparison_advice(conversations: DataFrame) -> DataFrame:
 def report_rows(conversations: DataFrame) -> DataFrame:
     """The lines of a report that tell of files; ``report_lines`` has the head too."""
     told = _analyses(conversations)
-    metrics = relational.provider_metrics(told, ["file", "provider"]).select("file", "provider", "parse_rate", F.col("avg_latency").alias("latency"), F.col("avg_elements").alias("elements"), F.col("avg_tables").alias("tables"))
-    failed = comparison.failure_cases(told).groupBy("file", "provider").agg(F.count("*").alias("failures"))
-    summaries = metrics.join(failed, ["file", "provider"], "left").withColumn("failures", F.coalesce("failures", F.lit(0)))
     totals = comparison.comparison_totals(_visuals(conversations), FIRST, SECOND)
-    return comparison.report_lines(totals, comparison.recommendation(totals, FIRST, SECOND), summaries, FIRST, SECOND).where("place.part = 3").select("line")
+    return comparison.report_lines(totals, comparison.recommendation(totals, FIRST, SECOND), comparison.file_summaries(told), FIRST, SECOND).where("place.part = 3").select("line")
 
 
 @query("conversations", "SELECT a.conv_id, a.turn AS page, b.text AS hint FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
