@@ -2,14 +2,17 @@
 
 import io
 import json
+import random
 import zipfile
 import zlib
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions.images import image_size, model_size
 from paperloom.sources import packages, pdf
-from paperloom.sources.delimited import parse_delimited
+from paperloom.sources.delimited import delimited_cells, parse_texts
 from paperloom.sources.reader import read_documents
 from paperloom.streaming.folder import stream_folder
 
@@ -22,6 +25,46 @@ def _zip(entries):
     return held.getvalue()
 
 
+def parse_delimited(text, delimiter=","):
+    return parse_texts(pa.array([text]), delimiter).to_pylist()[0]
+
+
+def _plain(text, delimiter):
+    """Rows of cells, a character at a time."""
+    rows, row, cell, quoted, at = [], [], "", False, 0
+    while at < len(text):
+        c, at = text[at], at + 1
+        if c == '"':
+            if quoted and text[at : at + 1] == '"':
+                cell, at = cell + '"', at + 1
+            else:
+                quoted = not quoted
+        elif quoted or c not in (delimiter, "\r", "\n"):
+            cell += c
+        else:
+            row.append(cell)
+            cell = ""
+            if c != delimiter:
+                at += text[at - 1 : at + 1] == "\r\n"
+                rows.append(row)
+                row = []
+    return [*rows, [*row, cell]] if cell or row else rows
+
+
+def test_delimited_texts_as_one_buffer(spark):
+    draw = random.Random(5)
+    some = lambda: None if draw.random() < 0.1 else "".join(draw.choices('"",;\r\naé😀 ', k=draw.randrange(16)))
+    for _ in range(2_000):
+        texts, mark = [some() for _ in range(draw.randrange(6))], draw.choice(",;")
+        want = [None if t is None else _plain(t, mark) for t in texts]
+        assert parse_texts(pa.array(["x", *texts], pa.string())[1:], mark).to_pylist() == want == parse_texts(pa.array(texts, pa.string()), mark).to_pylist(), texts
+    texts = [some() for _ in range(300)] + ['"' * 100_001 + ",\n" * 100_000, "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", delimited_cells(F.col("t")).alias("cells")).collect()
+    assert {r.i: r.cells for r in rows} == {i: None if t is None else _plain(t, ",") for i, t in enumerate(texts)}
+    with pytest.raises(ValueError):
+        parse_texts(pa.array(["a"]), "ab")
+
+
 def test_delimited_states():
     assert parse_delimited('name,note\n"Smith, J","said ""hi""\nthen left"\nLee,ok\n') == [["name", "note"], ["Smith, J", 'said "hi"\nthen left'], ["Lee", "ok"]]
     assert parse_delimited("a\tb\n1\t2", "\t") == [["a", "b"], ["1", "2"]]
