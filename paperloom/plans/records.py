@@ -13,8 +13,8 @@ from paperloom.operators import analysis, comparison, records, relational
 from paperloom.options import Options
 from paperloom.plans.catalogue import _EXT_SQL, _NAMED_SQL, _named, query
 from paperloom.plans.files import OFFICE, RELS, _entry, _text
-from paperloom.sources import delimited, folder_source, listing, packages, sinks
-from paperloom.streaming.folder import PROGRESS, stream_progress
+from paperloom.sources import cache, delimited, folder_source, listing, packages, sinks
+from paperloom.streaming.folder import PROGRESS, admitted, stream_progress
 
 FIRST, SECOND = "north", "south"
 
@@ -276,3 +276,29 @@ def running_progress(documents: DataFrame) -> DataFrame:
     stream_progress(spark, f"{folder}/results", f"{folder}/out", f"{folder}/checkpoint", files_a_batch=2).awaitTermination()
     told = spark.read.text(f"{folder}/out").select(F.from_json("value", PROGRESS).alias("r")).select("r.*").where("type = 'done'")
     return told.select("run", "total", "done", "failed", "hits", "misses")
+
+
+_LANDED_SQL = "(SELECT source || '/' || doc_id // 60 || '/' || doc_id || '.txt' AS path, source || '/' || doc_id // 60 AS request, n_chars AS length FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL AND n_chars IS NOT NULL)"
+
+
+@query("documents", f"""SELECT path, length, CASE WHEN length > 600 THEN 'FILE_TOO_LARGE' WHEN row_number() OVER (PARTITION BY request, length > 600 ORDER BY path) > 5 THEN 'TOO_MANY_FILES' END AS refused FROM {_LANDED_SQL}""")
+def landing_admitted(documents: DataFrame) -> DataFrame:
+    """Documents as landed files, 60 ids of a source as a request: which are admitted, under limits of 5 files a request and 600 bytes a file."""
+    named = documents.where("source is not null and doc_id is not null and n_chars is not null")
+    landed = named.select(F.concat_ws("/", "source", F.expr("doc_id div 60"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.col("n_chars").alias("length"))
+    return admitted(landed, Options(most_bytes=600, most_files=5))
+
+
+@query("documents", """WITH k AS (SELECT md5(text) AS key, min(doc_id) AS id FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY ALL)
+  SELECT key, CASE WHEN id % 5 = 0 THEN 2 * id WHEN id % 3 = 1 OR id % 6 = 0 THEN -id ELSE id END AS result FROM k WHERE id % 5 = 0 OR id % 3 < 2""")
+def cache_upserts(documents: DataFrame) -> DataFrame:
+    """The cache table after three runs, the first one tried twice, with a compaction before the last: a row a key, of its latest run."""
+    spark, schema = documents.sparkSession, "key string, result long"
+    root = sinks.scratch_folder(spark, "cache")
+    held = documents.where("text is not null and doc_id is not null").groupBy(F.md5("text").alias("key")).agg(F.min("doc_id").alias("result"))
+    first = held.where("result % 3 = 0")
+    for rows, run in ((first.where("result % 2 = 0"), "1"), (first, "1"), (held.where("result % 3 = 1 or result % 6 = 0").withColumn("result", -F.col("result")), "2")):
+        cache.upsert(rows, root, run)
+    cache.compact(spark, root, schema)
+    cache.upsert(held.where("result % 5 = 0").withColumn("result", 2 * F.col("result")), root, "3")
+    return cache.current(spark, root, schema).select("key", "result")
