@@ -6,7 +6,7 @@ before kept; its result is written as Parquet and read again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.bpe import encode_texts, tokenizer_path
@@ -27,12 +27,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return labelled.withColumn("lang", F.col("language.lang")).where("lang <> 'und'").select(COLUMNS)
 
 
+#: Keys that different rows share: above this the hashes themselves are at fault.
+MOST_SHARED = 10_000
+
+
+def _distinct_keys(rows: DataFrame, other: Column) -> DataFrame:
+    """``rows`` with ``other`` as key wherever rows of different ``other`` share a key."""
+    seen = rows.select("key", other.alias("other")).groupBy("key").agg(F.min("other").alias("low"), F.max("other").alias("high"))
+    shared = [r.key for r in seen.where("low < high").select("key").limit(MOST_SHARED + 1).collect()]
+    if len(shared) > MOST_SHARED:
+        raise RuntimeError("hashes of rows collide")
+    return rows.withColumn("key", F.when(F.col("key").isin(shared), other).otherwise(F.col("key"))) if shared else rows
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays, one without an id only if all are.
 
     Rows are told apart by id and text, so rows that share an id, or have none, stay if their texts are no near copies.
+    A row's key has 64 bits; different rows of one key, of which n * n / 2**65 are expected, take a second one.
     """
-    keyed = docs.withColumn("key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    of = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text")]
+    keyed = _distinct_keys(docs.withColumn("key", F.xxhash64(*of)), F.xxhash64(F.lit(1), *of))
     component = near_duplicates(keyed, ident="key").select(F.col("doc_id").alias("key"), "component_id").distinct()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key"))
     kept = keyed.select("doc_id", "key").distinct().join(component, "key").groupBy("component_id").agg(first.alias("first")).select("first.key")

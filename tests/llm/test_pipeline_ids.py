@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from paperloom.llm import mixing
 
@@ -27,3 +29,10 @@ def test_mix_by_row(spark):
         want[r.doc_id, r.text_hash] += r.epochs
     got = corpus_pipeline.mix(spark, docs, "").selectExpr("doc_id", "xxhash64(text) as text_hash").collect()
     assert sum(want.values()) and Counter((r.doc_id, r.text_hash) for r in got) == +want
+
+
+def test_rows_of_one_key_get_another(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "c"), (2, "c"), (3, None)], "key long, text string")
+    got = corpus_pipeline._distinct_keys(rows, F.xxhash64(F.lit(1), "text")).collect()
+    keys = {(r.text, r.key) for r in got}
+    assert len(got) == 6 and len(keys) == 4 == len({k for _, k in keys}) and {("c", 2), (None, 3)} <= keys
