@@ -281,12 +281,12 @@ def running_progress(documents: DataFrame) -> DataFrame:
 _LANDED_SQL = "(SELECT source || '/' || doc_id // 60 || '/' || doc_id || '.txt' AS path, source || '/' || doc_id // 60 AS request, n_chars AS length FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL AND n_chars IS NOT NULL)"
 
 
-@query("documents", f"""SELECT path, length, CASE WHEN length > 600 THEN 'FILE_TOO_LARGE' WHEN row_number() OVER (PARTITION BY request, length > 600 ORDER BY path) > 5 THEN 'TOO_MANY_FILES' END AS refused FROM {_LANDED_SQL}""")
+@query("documents", f"""SELECT path, length, CASE WHEN length > 2000 THEN 'FILE_TOO_LARGE' WHEN row_number() OVER (PARTITION BY request, length > 2000 ORDER BY path) > 5 THEN 'TOO_MANY_FILES' END AS refused FROM {_LANDED_SQL}""")
 def landing_admitted(documents: DataFrame) -> DataFrame:
-    """Documents as landed files, 60 ids of a source as a request: which are admitted, under limits of 5 files a request and 600 bytes a file."""
+    """Documents as landed files, 60 ids of a source as a request: which are admitted, under limits of 5 files a request and 2,000 bytes a file."""
     named = documents.where("source is not null and doc_id is not null and n_chars is not null")
     landed = named.select(F.concat_ws("/", "source", F.expr("doc_id div 60"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.col("n_chars").alias("length"))
-    return admitted(landed, Options(most_bytes=600, most_files=5))
+    return admitted(landed, Options(most_bytes=2_000, most_files=5))
 
 
 @query("documents", """WITH k AS (SELECT md5(text) AS key, min(doc_id) AS id FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY ALL)
