@@ -6,11 +6,14 @@ before kept; its result is written as Parquet and read again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.bpe import encode_texts, tokenizer_path
-from paperloom.llm.common import delete_table, table, write_table
+from paperloom.llm.common import bound_batches, delete_table, table, write_table
 from paperloom.llm.jaccard_join import near_duplicates
 from paperloom.llm.language_id import fit_language_model, held_out, label_languages
 from paperloom.llm.mixing import mix_sources
@@ -20,6 +23,18 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None  # models, tokenizers and hashes; tests hold it against a brute-force version
 
 
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """Batches are small in a stage that is given its documents, too."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return f(spark, docs, sf_dir)
+
+    return run
+
+
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (``und``: null text, or no letter) go; the others get the predicted one."""
     model = fit_language_model(docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))))
@@ -40,6 +55,7 @@ def _distinct_keys(rows: DataFrame, other: Column) -> DataFrame:
     return rows.withColumn("key", F.when(F.col("key").isin(shared), other).otherwise(F.col("key"))) if shared else rows
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays, one without an id only if all are.
 
@@ -54,11 +70,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select(COLUMNS)
 
 
+@_stage
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; all documents stay."""
     return mask_secrets(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     # Rows that share id, source and text are one here, with the epochs of all.
@@ -69,6 +87,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("epoch", F.explode(F.sequence(F.lit(1), "epochs"))).select(COLUMNS)
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document; a null or empty text has none."""
     done = encode_texts(docs, tokenizer_path(), keep=["doc_id", "lang", "source"], decoded=False)
