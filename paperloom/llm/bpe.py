@@ -1,18 +1,19 @@
 """BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-Words that are frequent in the corpus are merged once and compiled into an
-automaton whose common suffixes are shared; the numbers on its arcs add up to a
-word's place among the outputs, so a walk yields the word's token ids. Tasks
-map it into memory; all new words of a slice of text walk it together. Words
-that it lacks are merged exactly, those of about the same length at once.
+The tokenizer's own words are merged once and compiled into an automaton whose
+common suffixes are shared; the numbers on its arcs add up to a word's place
+among the outputs, so a walk yields the word's token ids. Tasks map it into
+memory; all new words of a slice of text walk it together. Words that it lacks
+are merged exactly, those of about the same length at once; a worker remembers
+them, up to MOST_WORDS, then begins anew.
 
 The tokenizer's file (a parameter) gives vocabulary, merges and special tokens.
 The pipeline that is followed: special tokens are cut out of the raw text; the
 rest is NFC-normalised and lower-cased; pieces are taken by the split pattern;
 bytes become visible characters; the last one of a piece carries the end mark.
 
-The lexicon only saves work, so it is fitted on a bounded sample of the rows
-(SAMPLE_ROWS, by a hash of the text); any other lexicon gives the same ids.
+The lexicon follows from the tokenizer's file alone and only saves work: any
+other one, and any state of what a worker remembers, gives the same ids.
 
 Defined results: null text counts as empty and has no ids; its decoded text is
 empty. Texts of any length are encoded whole. Repeated rows are encoded each on
@@ -29,8 +30,8 @@ import mmap
 import re
 import struct
 import unicodedata
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from contextlib import suppress
 from itertools import chain
 
 import numpy as np
@@ -42,15 +43,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from paperloom.llm.common import free_name, materialize, table
+from paperloom.llm.common import free_name, table
 
 BPE_TYPE = StructType([StructField("ids", ArrayType(IntegerType(), False)), StructField("n_tokens", LongType()), StructField("decoded", StringType())])
 
-#: The lexicon holds so many words at most, of so many rows; so its size is bounded.
-MOST_WORDS = 50_000
-SAMPLE_ROWS = 20_000
-#: Words counted together; of them so many of the most frequent are passed on at most.
-COUNT_BLOCK = 500_000
+#: A worker remembers so many words that the lexicon lacks, of so many bytes each, at most.
+MOST_WORDS, LONGEST_WORD = 50_000, 64
 #: Bytes of text that a task handles at once.
 SLICE = 1_000_000
 #: Pieces of more symbols are merged with a queue, one by one.
@@ -95,7 +93,7 @@ class Merger:
     def __init__(self, spec: dict):
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
-        end = model.get("end_of_word_suffix") or ""
+        self.end = end = model.get("end_of_word_suffix") or ""
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
         by = np.argsort(keys)
@@ -298,10 +296,10 @@ class Transducer:
 
 
 class Codec:
-    """Encodes and decodes texts. Remembers the ids of those words of the lexicon that it has met, so MOST_WORDS at most."""
+    """Encodes and decodes texts. Remembers the ids of the words of the lexicon that it has met, and of MOST_WORDS others at most."""
 
-    def __init__(self, merger: Merger, lexicon: bytes | None = None):
-        self.merger, self.lexicon = merger, Transducer(lexicon) if lexicon else None
+    def __init__(self, merger: Merger, lexicon: bytes | Transducer | None = None):
+        self.merger, self.lexicon = merger, Transducer(lexicon) if isinstance(lexicon, bytes) and lexicon else lexicon or None
         self.find = regex.compile(merger.pattern).findall
         self.find_ascii, self.find_plane = (p.findall for p in split_patterns()) if merger.pattern == PATTERN else (self.find, self.find)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, merger.special)) + ")").split if merger.special else None
@@ -309,6 +307,7 @@ class Codec:
         self.slot: dict[str, int] = {}
         self.starts, self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.shown: list[str] = []
+        self.others = 0  # words remembered that the lexicon lacks
         self._add(list(merger.special), np.array(list(merger.special.values()), np.int32), np.ones(len(merger.special), np.int64))
 
     def _add(self, pieces: list[str], flat: np.ndarray, counts: np.ndarray) -> None:
@@ -337,6 +336,8 @@ class Codec:
     def encode_batch(self, texts: list[str | None], decoded: bool = True) -> tuple[np.ndarray, np.ndarray, list[str] | None]:
         """The ids of all texts laid end to end, how many each has, and their decoded texts."""
         split = [self.all_pieces(t) for t in texts]
+        if self.others >= MOST_WORDS:
+            self.__init__(self.merger, self.lexicon)
         new = list(set(chain.from_iterable(split)).difference(self.slot))
         data = [p.encode("utf-8", "surrogatepass") for p in new]
         places = self.lexicon.places(data).tolist() if self.lexicon else [-1] * len(new)
@@ -344,8 +345,13 @@ class Codec:
         if known:
             outputs = [self.lexicon.output(places[i]) for i in known]
             self._add([new[i] for i in known], np.concatenate(outputs), np.array([len(x) for x in outputs], np.int64))
+        lacked = [i for i, x in enumerate(places) if x < 0]
+        often = [i for i in lacked if len(data[i]) <= LONGEST_WORD][: MOST_WORDS - self.others]
+        if often:
+            self._add([new[i] for i in often], *self.merger.batch([data[i] for i in often]))
+            self.others += len(often)
         keep, kept = len(self.shown), len(self.flat)
-        rare = [i for i, x in enumerate(places) if x < 0]
+        rare = [i for i in lacked if new[i] not in self.slot]
         if rare:
             self._add([new[i] for i in rare], *self.merger.batch([data[i] for i in rare]))
         size = np.array([len(p) for p in split], np.int64)
@@ -360,7 +366,7 @@ class Codec:
             for n in size.tolist():
                 shown.append(" ".join(told[a : a + n]))
                 a += n
-        # Words that the lexicon lacks are rare and are not kept.
+        # Long words, and those beyond MOST_WORDS, are not kept.
         for i in rare:
             del self.slot[new[i]]
         del self.shown[keep:]
@@ -391,42 +397,15 @@ def slices(batch: pa.RecordBatch, place: int) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
-def frequent_words(docs: DataFrame, text: str, merger: Merger, most: int = MOST_WORDS, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """The pieces that are most frequent in about ``sample_rows`` rows, ``most`` at most, sorted.
-
-    A histogram of the counts gives the least count that is sent to the driver.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(merger)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(counter: Counter) -> pa.RecordBatch:
-            pairs = counter.most_common(most)
-            return pa.RecordBatch.from_pydict({"w": pa.array([w for w, _ in pairs], pa.string()), "n": pa.array([n for _, n in pairs], pa.int64())})
-
-        counter, held, split, special = Counter(), 0, Codec(shared.value).all_pieces, shared.value.special
-        for batch in batches:
-            for t in (t for part in slices(batch, 0) for t in part.column(0).to_pylist()):
-                pieces = split(t)
-                counter.update(p for p in pieces if len(p) > 1 and p not in special)
-                held += len(pieces)
-                if held >= COUNT_BLOCK:
-                    yield rows(counter)
-                    counter, held = Counter(), 0
-        yield rows(counter)
-
-    share = min(1.0, sample_rows / max(docs.count(), 1))
-    some = docs.select(F.col(text).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    counts = some.mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
-    counts = materialize(counts, "words")
-    levels = counts.groupBy(F.floor(F.log2("n") * 8).alias("level")).count().orderBy(F.desc("level")).collect()
-    kept, level = 0, None
-    for r in levels:
-        if kept + r["count"] > most:
-            break
-        kept, level = kept + r["count"], r["level"]
-    if level is None:
-        return []
-    return sorted((r.w for r in counts.where(F.floor(F.log2("n") * 8) >= level).select("w").collect()), key=lambda p: p.encode("utf-8", "surrogatepass"))
+def whole_words(merger: Merger) -> list[str]:
+    """The tokenizer's own words: what its tokens that end a piece spell, sorted. No text is looked at."""
+    byte = {c: b for b, c in enumerate(byte_characters())}
+    found = set()
+    for token in merger.text:
+        if merger.end and token.endswith(merger.end) and token not in merger.special:
+            with suppress(KeyError, UnicodeDecodeError):
+                found.add(bytes(byte[c] for c in token[: -len(merger.end)]).decode())
+    return sorted(w for w in found if len(w) > 1)
 
 
 def build_lexicon(words: list[str], merger: Merger) -> bytes:
@@ -452,7 +431,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", lexicon: bytes
     """``docs`` (only the columns in ``keep``, if given) with a struct column ``bpe``: ids, n_tokens, decoded (null unless asked for)."""
     merger = Merger(load_spec(path))
     if lexicon is None:
-        lexicon = build_lexicon(frequent_words(docs, text, merger), merger)
+        lexicon = build_lexicon(whole_words(merger), merger)
     shared = docs.sparkSession.sparkContext.broadcast((merger, lexicon))
 
     # The text goes last, so that it need not come back.
