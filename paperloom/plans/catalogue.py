@@ -14,11 +14,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Rows and bytes that Spark sends to Python at once, so that a worker's memory does not follow the size of the input.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4_000_000
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame, *keys: str, each: int = 200_000) -> DataFrame:
+    """``rows`` dealt by ``keys`` over as many tasks as leave about ``each`` rows to one, twice the cores at least.
+
+    Spark would choose by bytes alone: too few tasks for work that is slow for its bytes, and tasks that grow up to a fixed size.
+    """
+    return rows.repartition(max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each)), *keys)
+
+
 def query(table: str, sql: str) -> Callable:
     """Registers a function of a table's DataFrame under its own name, with its SQL."""
 
     def register(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in table.split()])
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[read_table(spark, sf_dir, t) for t in table.split()])
         ORACLES[f.__name__] = sql
         return f
 
@@ -204,7 +222,7 @@ def zip_refusal(documents: DataFrame) -> DataFrame:
 @query("lineitem", """SELECT l_suppkey, min(l_partkey) AS first_block, max(l_partkey) AS last_block, count(*)::BIGINT AS blocks FROM (SELECT l_suppkey, l_partkey, l_partkey - row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS g
   FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)) GROUP BY l_suppkey, g""")
 def block_runs(lineitem: DataFrame) -> DataFrame:
-    return relational.runs(lineitem, "l_suppkey", "l_partkey")
+    return relational.runs(spread(lineitem.select("l_suppkey", "l_partkey"), "l_suppkey"), "l_suppkey", "l_partkey")
 
 
 @query("documents", "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 16777216 WHEN n_chars * 10000 > 33554432 THEN 33554432 ELSE 20000 * n_chars END::BIGINT AS bytes FROM documents")
