@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import images
 from paperloom.options import Options
-from paperloom.plans.catalogue import query
+from paperloom.plans.catalogue import query, spread
 from paperloom.sources import delimited, packages, pdf, reader, sinks
 
 RELS = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+#: Rows that a task packs into files and reads again, about.
+PACKED = 50_000
 OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
 
@@ -37,6 +39,7 @@ def _long(path: Column) -> Column:
 
 @query("conversations", """SELECT conv_id, turn AS row_no, UNNEST([0, 1]) AS col_no, UNNEST([role, text]) AS value FROM (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn FROM conversations)""")
 def delimited_cells(conversations: DataFrame) -> DataFrame:
+    conversations = spread(conversations, "conv_id", each=PACKED)
     files = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", _text(F.col("role"), ',"', F.replace("text", F.lit('"'), F.lit('""')), '"').alias("line")))).alias("l"))
     rows = delimited.delimited_rows(files.select("conv_id", F.array_join(F.col("l.line"), "\r\n").alias("text")), "conv_id", "text")
     return rows.select("conv_id", F.col("row_no").cast("long").alias("row_no"), F.posexplode("cells").alias("col_no", "value"))
@@ -44,7 +47,7 @@ def delimited_cells(conversations: DataFrame) -> DataFrame:
 
 @query("conversations", "SELECT conv_id, turn || '.txt' AS name, strlen(text)::BIGINT AS size, md5(text) AS md5 FROM conversations")
 def archive_members(conversations: DataFrame) -> DataFrame:
-    entries = conversations.groupBy("conv_id").agg(F.collect_list(_entry(_text(F.col("turn"), ".txt"), F.col("text"))).alias("e"))
+    entries = spread(conversations, "conv_id", each=PACKED).groupBy("conv_id").agg(F.collect_list(_entry(_text(F.col("turn"), ".txt"), F.col("text"))).alias("e"))
     files = packages.build_packages(entries, F.col("conv_id"), F.map_from_entries("e"))
     return packages.zip_members(files).select(_long(F.col("path")).alias("conv_id"), "name", "size", F.md5("content").alias("md5"))
 
@@ -71,7 +74,7 @@ def _decks(conversations: DataFrame, *more: Column) -> DataFrame:
         _entry(_text("ppt/slides/_rels/slide", number, ".xml.rels"), _text(f'{RELS}<Relationship Id="r1" Type="{OFFICE}/notesSlide" Target="../notesSlides/notesSlide', number, '.xml"/></Relationships>')),
         _entry(_text("ppt/notesSlides/notesSlide", number, ".xml"), slide(F.col("role"))),
     )
-    decks = conversations.groupBy("conv_id").agg(F.flatten(F.collect_list(parts)).alias("e"))
+    decks = spread(conversations, "conv_id", each=PACKED).groupBy("conv_id").agg(F.flatten(F.collect_list(parts)).alias("e"))
     return packages.build_packages(decks, F.col("conv_id"), F.map_from_entries(F.concat("e", F.array(*more)) if more else F.col("e")))
 
 
@@ -82,7 +85,7 @@ FILM = 400_000
 @query("conversations", r"SELECT conv_id, turn + 1 AS number, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, role AS notes, 'range' AS strategy, TRUE AS under_quarter FROM conversations")
 def ranged_decks(conversations: DataFrame) -> DataFrame:
     """Decks with a large film are written as files and read by ranges: text and notes are whole, and under a quarter of each file is fetched."""
-    noise = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(FILM // 64)), lambda i: F.sha2(F.concat_ws(":", "conv_id", i), 256)), "")
+    noise = F.repeat(F.sha2(F.col("conv_id").cast("string"), 256), FILM // 64)  # films are stored, not packed
     files = _decks(conversations, _entry(F.lit("ppt/media/film.mp4"), noise))
     spark = conversations.sparkSession
     written = sinks.write_files(files.withColumn("path", F.concat("path", F.lit(".pptx"))), sinks.scratch_folder(spark, "decks"))
@@ -94,7 +97,7 @@ def ranged_decks(conversations: DataFrame) -> DataFrame:
 
 @query("orders", """SELECT o_orderkey, UNNEST([1, 2]) AS row_no, UNNEST([[o_orderstatus, '', o_orderpriority], [o_orderkey::VARCHAR, 'TRUE', o_orderstatus]]) AS cells FROM orders""")
 def sheet_rows(orders: DataFrame) -> DataFrame:
-    key = F.col("o_orderkey")
+    orders, key = spread(orders.select("o_orderkey", "o_orderstatus", "o_orderpriority"), "o_orderkey", each=PACKED), F.col("o_orderkey")
     shared = _text("<sst><si><t>", _escaped(F.col("o_orderstatus")), "</t></si><si><r><t>", F.substring("o_orderpriority", 1, 2), "</t></r><r><t>", F.substring("o_orderpriority", 3, 99), "</t></r></si></sst>")
     sheet = _text('<worksheet><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row r="2"><c r="A2"><v>', key, '</v></c><c r="B2" t="b"><v>1</v></c><c r="C2" t="inlineStr"><is><t>', F.col("o_orderstatus"), "</t></is></c></row></sheetData></worksheet>")
     book = F.lit(f'<workbook xmlns:r="{OFFICE}"><sheets><sheet name="One" sheetId="1" r:id="r7"/></sheets></workbook>')
@@ -108,6 +111,7 @@ def sheet_rows(orders: DataFrame) -> DataFrame:
 def chart_points(lineitem: DataFrame) -> DataFrame:
     point = lambda c: _text('<c:pt idx="', F.col("at"), '"><c:v>', F.col(c), "</c:v></c:pt>")
     at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    lineitem = spread(lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), "l_orderkey", each=PACKED)
     charts = lineitem.withColumn("at", at).groupBy("l_orderkey").agg(F.array_join(F.collect_list(point("l_linenumber")), "").alias("cat"), F.array_join(F.collect_list(point("l_quantity")), "").alias("val"))
     chart = _text('<c:chartSpace xmlns:c="c"><c:chart><c:barChart><c:ser><c:cat><c:strCache>', F.col("cat"), "</c:strCache></c:cat><c:val><c:numCache>", F.col("val"), "</c:numCache></c:val></c:ser></c:barChart></c:chart></c:chartSpace>")
     files = packages.build_packages(charts, F.col("l_orderkey"), F.create_map(F.lit("xl/charts/chart1.xml"), chart))
