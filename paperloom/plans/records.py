@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from paperloom.functions import detect, text
 from paperloom.operators import analysis, comparison, records, relational
 from paperloom.options import Options
-from paperloom.plans.catalogue import _EXT_SQL, _NAMED_SQL, _named, query
-from paperloom.plans.files import OFFICE, RELS, _entry, _text
+from paperloom.plans.catalogue import _EXT_SQL, _NAMED_SQL, _named, query, spread
+from paperloom.plans.files import OFFICE, PACKED, RELS, _entry, _text
 from paperloom.sources import cache, delimited, folder_source, listing, packages, sinks
 from paperloom.streaming.folder import PROGRESS, admitted, stream_progress
 
@@ -72,7 +72,7 @@ def slide_verdicts(lineitem: DataFrame) -> DataFrame:
 
 @query("lineitem", f"{_SLIDES_SQL} SELECT o AS l_orderkey, p::VARCHAR AS part, min(n) AS section FROM s GROUP BY o, p")
 def first_slides(lineitem: DataFrame) -> DataFrame:
-    return records.first_slides(_slides(lineitem)).select(F.col("path").alias("l_orderkey"), "part", "section")
+    return records.first_slides(_slides(spread(lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey"))).select(F.col("path").alias("l_orderkey"), "part", "section")
 
 
 @query("conversations", """SELECT conv_id, sum(length(text) + 1)::BIGINT - 1 AS characters, sum(len(regexp_extract_all(text, '\\S+')))::BIGINT AS words, count(*)::BIGINT AS sections, count(*)::BIGINT AS images,
@@ -225,7 +225,7 @@ def folder_progress(documents: DataFrame) -> DataFrame:
 def sheet_charts(customer: DataFrame) -> DataFrame:
     """Workbooks of one or two sheets, each with a drawing that shows a chart."""
     n = F.explode(F.sequence(F.lit(1), (F.col("c_custkey") % 2 + 1).cast("int")))
-    sheets = customer.select("c_custkey", n.alias("n"))
+    sheets = spread(customer.select("c_custkey"), "c_custkey", each=PACKED).select("c_custkey", n.alias("n"))
     rel = lambda kind, place, target: _text(f'<Relationship Id="r', F.col("n"), f'" Type="{OFFICE}/{kind}" Target="', place, F.col("n"), target, '"/>')
     whole = lambda x: F.concat(F.lit(RELS), x, F.lit("</Relationships>"))
     parts = F.array(
@@ -251,10 +251,10 @@ def read_plan(documents: DataFrame) -> DataFrame:
 
 @query("documents", "SELECT source AS folder, doc_id::VARCHAR AS id, doc_id || '.txt' AS name, n_chars AS size, doc_id // 50 AS page FROM documents WHERE n_chars > 1000 AND doc_id IS NOT NULL AND source IS NOT NULL")
 def folder_listing(documents: DataFrame) -> DataFrame:
-    """Listings of folders, in pages of 50 ids, written as JSON lines and read by the data source, which applies the filter."""
+    """Listings of folders, in pages of 1,000 ids (few files), written as JSON lines and read by the data source, which applies the filter."""
     spark = documents.sparkSession
     root = sinks.scratch_folder(spark, "listing")
-    entries = documents.where("doc_id is not null and source is not null").select(F.col("source").alias("folder"), F.expr("doc_id div 50").alias("page"), F.to_json(F.struct(
+    entries = documents.where("doc_id is not null and source is not null").select(F.col("source").alias("folder"), F.expr("doc_id div 1000").alias("page"), F.to_json(F.struct(
         F.col("doc_id").cast("string").alias("id"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.lit("text/plain").alias("mimeType"), F.col("n_chars").cast("string").alias("size"), F.col("doc_id").alias("at"),
     )).alias("value"))
     entries.repartition("folder", "page").write.partitionBy("folder", "page").text(root)
